@@ -32,9 +32,34 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_filter
+
+    found, _ = quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op10_token_output": op10_token_output,
+    "op1_warc_transactions": op1_warc_transactions,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_transactions": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT q.page_id, CAST(q.payload_bytes AS BIGINT) AS payload_bytes, q.payload_digest,
+       CASE WHEN f.first_id IS NOT NULL AND f.first_id <> q.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_id IS NOT NULL AND f.first_id <> q.page_id THEN f.first_id END AS refers_to
+FROM q LEFT JOIN f ON q.payload_digest = f.payload_digest AND q.payload_bytes >= 100
+""",
+}

@@ -57,7 +57,7 @@ def write_whole(uri: str, write) -> None:
     system, path = store(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}"
-    with system.open_output_stream(draft) as out:
+    with system.open_output_stream(draft, compression=None) as out:
         write(out)
     system.move(draft, path)
 
