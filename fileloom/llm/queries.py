@@ -45,11 +45,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op10_token_output": op10_token_output,
     "op1_warc_transactions": op1_warc_transactions,
     "op9_quality_rules": op9_quality_rules,
+    "op4_near_duplicates": op4_near_duplicates,
 }
 
 SQL: dict[str, str] = {
