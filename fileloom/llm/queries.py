@@ -51,12 +51,36 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=80)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"), per_language=1200, per_document=4)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how often the mixture uses it."""
+    from .mixing import with_copies
+
+    mixed = with_copies(table(spark, sf_dir, "documents"), repetition=1.5)
+    return mixed.selectExpr("doc_id", "source", "mix_tokens AS n_tokens", "mix_weight AS weight", "mix_epochs AS epochs", "mix_exponent AS exponent", "mix_copies AS copies")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import tile
+
+    found = tile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.5)
+    return found.select("doc_id", "contaminated", "hit_items", "best_item", "coverage", "n_tiles")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op10_token_output": op10_token_output,
     "op1_warc_transactions": op1_warc_transactions,
     "op9_quality_rules": op9_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
+    "op2_language_id": op2_language_id,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_decontamination": op8_decontamination,
 }
 
 SQL: dict[str, str] = {
