@@ -1,14 +1,55 @@
-"""A training corpus from documents: language, near-duplicates, decontamination, mixing, token ids."""
+"""A training corpus from documents: language, near-duplicates, decontamination, mixing, token ids.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written as Parquet
+and read again as the next stage's docs. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from fileloom.llm import decontam, langid, mixing, neardup, tokenout
+from fileloom.llm.queries import table, tokenizer_path
+from fileloom.llm.shared import stored
+
+#: A language is rejected below this probability.
+LEAST_SCORE = 0.34
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts in no language: null, without a letter, or with no clear prediction."""
+    seen = langid.predict(docs, langid.fit(docs), tuple(docs.columns))
+    return seen.filter((seen.lang_pred != "und") & (seen.score >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group with 0.8 of their five-word shingles in common."""
+    return neardup.without_copies(docs, percent=80, size=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain half of a benchmark item or more."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), threshold=0.5)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of small sources, each at least once and on average 1.5 times at most."""
+    return mixing.mix(docs, repetition=1.5)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token files and returns what they hold: doc_id, start, n_tokens, ids_crc32."""
+    return tokenout.token_output(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("token_ids", token_ids)]
 
 #: No SQL expresses a trained classifier or a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return stored(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])

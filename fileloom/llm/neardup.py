@@ -1,6 +1,6 @@
 """MinHash near-duplicates: HyperMinHash registers, banding, estimation, confirmation, components.
 
-A document's distinct 2-word shingles are hashed once. The hash's top bits choose a register; the
+A document's distinct word shingles are hashed once. The hash's top bits choose a register; the
 register stores the leading-zero count and the mantissa bits after it of its smallest remainder,
 in 16 bits. Empty registers borrow from others by a fixed rule, so that two sets still agree in a
 register with a probability of about their Jaccard similarity. Bands of registers propose links,
@@ -117,13 +117,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
     """Per document: set size, a 128-bit fingerprint of the set, and registers (null if empty)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, bounds = flat(b.column("text"))
-            h, at = shingle_sets(words(data, bounds), b.num_rows)
+            h, at = shingle_sets(words(data, bounds), b.num_rows, size)
             regs = registers(h, at)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (mix(h), mix(h ^ np.uint64(0x6A09E667F3BCC909)))]
             prints = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
@@ -165,13 +165,13 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """doc_id and its sorted shingle hashes as bytes, for the documents listed."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, bounds = flat(b.column("text"))
-            h, at = shingle_sets(words(data, bounds), b.num_rows)
+            h, at = shingle_sets(words(data, bounds), b.num_rows, size)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "members"])
 
     wanted = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(ids, "doc_id", "left_semi")
@@ -218,17 +218,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Documents are linked where 100 * |A and B| >= percent * |A or B| of their shingle sets, and
-    component_id is the smallest doc_id reachable. Null and empty texts have no shingles and are
+    Documents are linked where 100 * |A and B| >= percent * |A or B| of their sets of size-word shingles,
+    and component_id is the smallest doc_id reachable. Null and empty texts have no shingles and are
     linked with nothing; equal texts are one class; repeated doc_ids share what any of their rows
     is linked with only through equal or similar texts. A row without doc_id is alone, and kept.
 
     Two sets at the threshold share no band with a probability of (1 - 0.8^4)^32, 5 in 10^8.
     """
-    signed = stored(signatures(docs), "signatures")
+    signed = stored(signatures(docs, size), "signatures")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes")
     keyed = bands(classes)
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links, tried = None, None
     pairs = buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     members = buckets.select("band", "rep")
-    sets = stored(full_sets(docs, stored(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")), "sets")
+    sets = stored(full_sets(docs, stored(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), size), "sets")
     sets = sets.dropDuplicates(["doc_id"])
     spent = None
     while True:
@@ -263,3 +263,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     labels = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     out = signed.join(labels, (signed.set_a == labels.set_a) & (signed.set_b == labels.set_b) & (signed.n_shingles == labels.n) & signed.doc_id.isNotNull(), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_copies(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """docs with one document of each near-duplicate group, that with the smallest doc_id. Rows
+    that repeat a doc_id stand or fall together; rows without doc_id stay."""
+    gone = near_duplicates(docs, percent, size).filter("not kept").select("doc_id").distinct()
+    return docs.join(stored(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)

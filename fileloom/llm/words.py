@@ -79,14 +79,17 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(row, start, end, span_hash(sums, start, end), first)
 
 
-def shingle_sets(w: Words, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's distinct 2-word shingles as sorted 64-bit hashes, and the n + 1 bounds of the
-    rows; a single word is its own shingle, and a row without words has none."""
+def shingle_sets(w: Words, n_rows: int, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct shingles of size words as sorted 64-bit hashes, and the n + 1 bounds of
+    the rows. Fewer words are one shingle in whole, and a row without words has none."""
     count = np.diff(w.first)
-    pair = np.flatnonzero(w.row[:-1] == w.row[1:]) if len(w.row) else np.zeros(0, int)
-    single = w.first[:-1][count == 1]
-    h = np.concatenate([mix(w.hash[pair] * np.uint64(3) + mix(w.hash[pair + 1])), mix(w.hash[single] ^ np.uint64(0x5851F42D4C957F2D))])
-    row = np.concatenate([w.row[pair], w.row[single]])
+    length = np.minimum(count, size)
+    at = np.flatnonzero(np.arange(len(w.row)) + length[w.row] <= w.first[1:][w.row]) if len(w.row) else np.zeros(0, int)
+    row = w.row[at]
+    h = np.full(len(at), np.uint64(0x5851F42D4C957F2D)) + length[row].astype(np.uint64)
+    for k in range(size):
+        more = k < length[row]
+        h = np.where(more, mix(h * np.uint64(3) + w.hash[np.minimum(at + k, len(w.hash) - 1)]), h) if len(at) else h
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
