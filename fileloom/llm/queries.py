@@ -72,6 +72,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "hit_items", "best_item", "coverage", "n_tiles")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op10_token_output": op10_token_output,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op6_source_mixing": op6_source_mixing,
     "op8_decontamination": op8_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
