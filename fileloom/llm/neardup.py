@@ -7,10 +7,11 @@ register with a probability of about their Jaccard similarity. Bands of register
 registers estimate them with a correction for chance collisions, and full sets confirm them.
 
 Bands are never expanded into all pairs. Equal sets are one class. In each band bucket all classes
-are compared with the bucket's smallest id; once components are known, only members outside the
-bucket's largest component are compared further, each with every member of another component, so
-a bucket ends when all of it is linked or compared. Pairs within one component are not compared:
-they cannot change it.
+are compared with the bucket's smallest id; buckets that share members form a family. Most of a
+family is then one linked component. Only classes outside their family's largest component are
+compared further, as queries against the family's members, in blocks bounded by their shingles,
+with exact intersections, and only links that join components are returned. Pairs within one
+component are not compared: they cannot change it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .shared import flat, slices, stored
 from .words import mix, shingle_sets, words
@@ -32,8 +33,9 @@ MANTISSA = 10
 DEVIATIONS = 6
 #: Sets below this size go to confirmation without an estimate: their registers repeat.
 ESTIMATED_SIZE = 256
-#: Members outside a bucket's largest component that are compared in one round.
-HUBS = 32
+#: Shingles of the members, and of the outsiders, that one comparison task holds.
+MEMBER_SHINGLES = 1 << 20
+OUTSIDER_SHINGLES = 1 << 19
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -218,6 +220,106 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def intersections(q: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections of sorted sets, queries x members. Shingles that many
+    share are counted by a matrix product, the others one by one."""
+    out = np.zeros((len(q), len(m)), np.float32)
+    nq, nm = [np.array([len(x) for x in side]) for side in (q, m)]
+    h = np.concatenate([*q, *m])
+    owner = np.concatenate([np.repeat(np.arange(len(q)), nq), np.repeat(np.arange(len(m)), nm)])
+    is_q = np.arange(len(h)) < nq.sum()
+    _, column = np.unique(h, return_inverse=True)
+    cq = np.bincount(column[is_q], minlength=column.max(initial=-1) + 1)
+    cm = np.bincount(column[~is_q], minlength=len(cq))
+    busy = cq * cm
+    dense = np.flatnonzero(busy > max(64, len(q) * len(m) // 64))
+    place = np.full(len(cq), -1)
+    place[dense] = np.arange(len(dense))
+    where = place[column]
+    for at in range(0, len(dense), 2048):
+        here = (where >= at) & (where < at + 2048)
+        x, y = np.zeros((len(q), 2048), np.float32), np.zeros((len(m), 2048), np.float32)
+        x[owner[here & is_q], where[here & is_q] - at] = 1
+        y[owner[here & ~is_q], where[here & ~is_q] - at] = 1
+        out += x @ y.T
+    light = (busy > 0) & (place < 0)
+    left, right = is_q & light[column], ~is_q & light[column]
+    if left.any():
+        order = np.argsort(column[right], kind="stable")
+        col, own = column[right][order], owner[right][order]
+        first = np.searchsorted(col, column[left])
+        n = cm[column[left]]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        flat_at = np.repeat(owner[left], n) * len(m) + own[at]
+        out += np.bincount(flat_at, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def compare_outsiders(family: DataFrame, own: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within a family: each class outside its family's largest
+    component against all of the family."""
+    members = family.join(own.withColumnRenamed("component", "c"), "id", "left").join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
+    members = stored(members.select("id", F.col("component").alias("family"), F.coalesce("c", "id").alias("component"), "n_shingles"), "members")
+    parts = members.groupBy("family", "component").agg(F.sum("n_shingles").alias("n"))
+    top = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).filter("k > 1")
+    top = top.select("family", F.col("top.component").alias("major"), F.ceil(F.col("all") / MEMBER_SHINGLES).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / OUTSIDER_SHINGLES).cast("int").alias("chunks"))
+    open_ = members.join(top, "family")
+    place = F.xxhash64("id")
+    asked = open_.filter("component != major").select("family", F.pmod(place, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", F.lit(True).alias("asks"))
+    there = open_.select("family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(place, "blocks").cast("int").alias("block"), "id", "component", F.lit(False).alias("asks"))
+    n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = asked.union(there).join(sets.withColumnRenamed("doc_id", "id"), "id").repartition(n, "family", "chunk", "block").sortWithinPartitions("family", "chunk", "block")
+
+    def solve(ids: list[int], component: list[int], asks: list[bool], raw: list[bytes]) -> list[tuple[int, int]]:
+        q, m = [i for i, a in enumerate(asks) if a], [i for i, a in enumerate(asks) if not a]
+        held = [np.frombuffer(x, np.uint64) for x in raw]
+        size = np.array([len(x) for x in held], np.float64)
+        label = np.unique(component, return_inverse=True)[1]
+        root = list(range(int(label.max()) + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        q, m = np.array(q, int), np.array(m, int)
+        for at in range(0, len(q), 512):
+            some = q[at : at + 512]
+            inter = intersections([held[i] for i in some], [held[i] for i in m]).astype(np.float64)
+            good = (100 * inter >= percent * (size[some][:, None] + size[m][None, :] - inter)) & (label[some][:, None] != label[m][None, :])
+            r, c = np.nonzero(good)
+            _, one = np.unique(label[some[r]] * len(root) + label[m[c]], return_index=True)
+            for k in one:
+                x, y = find(int(label[some[r[k]]])), find(int(label[m[c[k]]]))
+                if x != y:
+                    root[x] = y
+                    out.append((ids[some[r[k]]], ids[m[c[k]]]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, ([], [], [], [])
+
+        def done() -> pa.RecordBatch:
+            found = solve(*held) if any(held[2]) and not all(held[2]) else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in ("family", "chunk", "block")))
+            for key, *row in zip(keys, *(b.column(c).to_pylist() for c in ("id", "component", "asks", "members"))):
+                if key != last and last is not None:
+                    yield done()
+                    held = ([], [], [], [])
+                last = key
+                for c, v in zip(held, row):
+                    c.append(v)
+        if last is not None:
+            yield done()
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -234,32 +336,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     keyed = bands(classes)
     hubs = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
     buckets = stored(keyed.join(hubs, "band"), "buckets")
-    links, tried = None, None
-    pairs = buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    members = buckets.select("band", "rep")
-    sets = stored(full_sets(docs, stored(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), size), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
-    spent = None
-    while True:
-        tried_now = stored(pairs, "pairs")
-        found = stored(confirm(plausible(tried_now, classes, percent), sets, percent), "links")
-        links = found if links is None else links.union(found)
-        tried = tried_now if tried is None else tried.union(tried_now)
-        linked = stored(components(links), "linked")
-        own = members.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-        if spent is not None:
-            own = own.join(spent, ["band", "rep"], "left_anti")
-        parts = own.groupBy("band", "component").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("band", F.col("top.component").alias("major"))
-        open_ = stored(own.join(largest, "band"), "open")
-        outside = open_.filter("component != major").withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("rep"))).filter(F.col("k") <= HUBS)
-        hub = outside.select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-        fresh = open_.join(hub, "band").filter("component != hub_component").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-        pairs = fresh.join(tried, ["a", "b"], "left_anti")
-        members = open_.select("band", "rep")
-        spent = stored(hub.select("band", F.col("hub").alias("rep")), "spent")
-        if spent.isEmpty():
-            break
+    pairs = stored(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = stored(full_sets(docs, wanted, size).dropDuplicates(["doc_id"]), "sets")
+    links = stored(confirm(plausible(pairs, classes, percent), sets, percent), "links")
+    own = stored(components(links), "linked")
+    family = stored(components(pairs), "families")
+    more = stored(compare_outsiders(family, own, classes, sets, percent), "links")
+    linked = components(links.union(more))
     labels = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
     out = signed.join(labels, (signed.set_a == labels.set_a) & (signed.set_b == labels.set_b) & (signed.n_shingles == labels.n) & signed.doc_id.isNotNull(), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
