@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = rows.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     found = long_ones.select("digest", "data").mapInArrow(find, "digest string, place int, h long").select(F.unhex("digest").alias("digest"), "place", "h").distinct()
     found = stored(found, "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    again = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
     marks = found.join(again, "h").groupBy("digest").agg(F.collect_list(F.struct("place", "h")).alias("marks")).withColumn("digest", F.lower(F.hex("digest")))
     wanted = marks.join(own, "digest")
     texts = long_ones.join(wanted.withColumnRenamed("digest", "d").withColumnRenamed("doc_id", "r"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("r"))).select("digest", "data", "marks")
