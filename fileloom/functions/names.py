@@ -8,24 +8,34 @@ from . import fixed
 from .paths import basename, dirname, extension, sanitised_name, stem, text
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def export_name(name: Column | str) -> Column:
     """A name as it was before export: no revision stamp, pin mark, (N) or cut end; lower case."""
-    low = F.lower(text(name))
-    tail = F.regexp_extract(low, fixed.REVISION_TAIL, 1)
-    bare = F.regexp_replace(F.regexp_replace(low, "-pinned|-pin", ""), fixed.REVISION_STUB, "")
-    s = F.when(low.rlike(fixed.REVISION_TAIL), F.concat(F.regexp_replace(low, fixed.REVISION_TAIL, ""), tail)).otherwise(bare)
-    ext = extension(s)
-    fake = ext.rlike(r"^\.\d+$") | (F.length(ext) > 8)
-    kept = F.when(fake, "").otherwise(ext)
-    body = F.when(fake, s).otherwise(stem(s))
-    body = F.btrim(F.regexp_replace(F.regexp_replace(body, r"\(\d+\)", ""), r"\s+", " "))
-    return F.concat(F.btrim(F.regexp_replace(body, "[-_ ]+$", "")), kept)
+
+    def unmarked(low: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(low, "-pinned|-pin", ""), fixed.REVISION_STUB, "")
+        return F.when(low.rlike(fixed.REVISION_TAIL), F.concat(F.regexp_replace(low, fixed.REVISION_TAIL, ""), F.regexp_extract(low, fixed.REVISION_TAIL, 1))).otherwise(bare)
+
+    def split(s: Column) -> Column:
+        def cut(ext: Column) -> Column:
+            kept = F.when(ext.rlike(r"^\.\d+$") | (F.length(ext) > 8), "").otherwise(ext)
+            body = F.substr(s, F.lit(1), F.length(s) - F.length(kept))
+            body = F.btrim(F.regexp_replace(F.regexp_replace(body, r"\(\d+\)", ""), r"\s+", " "))
+            return F.concat(F.btrim(F.regexp_replace(body, "[-_ ]+$", "")), kept)
+
+        return let(extension(s), cut)
+
+    return let(F.lower(text(name)), lambda low: let(unmarked(low), split))
 
 
 def export_path(rel: Column | str) -> Column:
     """export_name of the base; the folder in lower case."""
     folder = F.lower(dirname(rel))
-    return F.when(folder != "", F.concat(folder, F.lit("/"), export_name(basename(rel)))).otherwise(export_name(basename(rel)))
+    return F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), export_name(basename(rel)))
 
 
 def folder_name(name: Column | str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.names import export_path
 from ..functions.paths import basename, dirname, extension, stem
 from ..functions.predicates import has_revision
+from .storage import stored
 
 LEAST_PREFIX = 10
 COLUMNS = ["action", "rel", "from_rel", "id", "via"]
@@ -44,16 +45,16 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], left_order: s
 
 
 def prefix_pairs(remote: DataFrame, local: DataFrame) -> DataFrame:
-    """Remote names of which a local one of the same folder and extension is a cut: (to_rel,
+    """Remote names (both sides with rel, size and their normal form norm) of which a local one of the same folder and extension is a cut: (to_rel,
     from_rel). A remote takes its only candidate, or the only one of its size; a local file that
     several remotes would take goes to the first of them by path."""
 
-    def split(df: DataFrame, rel: str, tag: str) -> DataFrame:
-        norm = export_path(F.col(rel))
-        s = stem(basename(norm))
-        return df.select(F.col(rel).alias(f"{tag}_rel"), F.col("size").alias(f"{tag}_size"), dirname(norm).alias("folder"), extension(basename(norm)).alias("ext"), s.alias(f"{tag}_stem"), F.substring(s, 1, LEAST_PREFIX).alias("head")).filter(F.length(f"{tag}_stem") >= LEAST_PREFIX)
+    def split(df: DataFrame, tag: str) -> DataFrame:
+        rows = df.select(F.col("rel").alias(f"{tag}_rel"), F.col("size").alias(f"{tag}_size"), dirname("norm").alias("folder"), basename("norm").alias("base"))
+        rows = rows.select(f"{tag}_rel", f"{tag}_size", "folder", extension("base").alias("ext"), stem("base").alias(f"{tag}_stem"))
+        return rows.withColumn("head", F.substring(f"{tag}_stem", 1, LEAST_PREFIX)).filter(F.length(f"{tag}_stem") >= LEAST_PREFIX)
 
-    pairs = split(remote, "rel", "to").join(split(local, "rel", "from"), ["folder", "ext", "head"]).filter(F.startswith("to_stem", "from_stem"))
+    pairs = split(remote, "to").join(split(local, "from"), ["folder", "ext", "head"]).filter(F.startswith("to_stem", "from_stem"))
     counts = pairs.groupBy("to_rel").agg(F.count("*").alias("n"), F.count_if(F.col("to_size") == F.col("from_size")).alias("same"))
     chosen = pairs.join(counts, "to_rel").filter((F.col("n") == 1) | ((F.col("same") == 1) & (F.col("to_size") == F.col("from_size"))))
     first = chosen.groupBy("from_rel").agg(F.min("to_rel").alias("to_rel"))
@@ -62,23 +63,22 @@ def prefix_pairs(remote: DataFrame, local: DataFrame) -> DataFrame:
 
 def actions(local: DataFrame, remote: DataFrame) -> DataFrame:
     """One row per decision: add, delete, move, update, reexport, version_artifact or skip."""
-    state = by_path(local, remote)
+    state = stored(by_path(local, remote), "state")
     direct = state.filter(F.col("state").isin("reexport", "update", "skip"))
-    orphans = state.filter("state = 'local_orphan'").select("rel", F.col("local_size").alias("size"), F.col("local_md5").alias("md5")).withColumn("norm", export_path("rel"))
-    wanted = state.filter("state = 'drive_orphan'").select("rel", "id", F.col("remote_size").alias("size"), F.col("remote_md5").alias("md5")).withColumn("norm", export_path("rel"))
+    orphans = stored(state.filter("state = 'local_orphan'").select("rel", F.col("local_size").alias("size"), F.col("local_md5").alias("md5"), export_path("rel").alias("norm"), has_revision(basename("rel")).alias("stamped")), "orphans")
+    wanted = stored(state.filter("state = 'drive_orphan'").select("rel", "id", F.col("remote_size").alias("size"), F.col("remote_md5").alias("md5"), export_path("rel").alias("norm")), "wanted")
     current = remote.select(export_path("rel").alias("norm")).union(local.filter(~has_revision(basename("rel"))).select(export_path("rel").alias("norm"))).distinct()
-    stamped = has_revision(basename("rel"))
-    artifacts = orphans.filter(stamped).join(current, "norm", "left_semi")
+    artifacts = stored(orphans.filter("stamped").join(current, "norm", "left_semi"), "artifacts")
     orphans = orphans.join(artifacts.select("rel"), "rel", "left_anti")
 
-    named = one_to_one(wanted.select("norm", F.col("rel").alias("to_rel"), "id"), orphans.select("norm", F.col("rel").alias("from_rel")), ["norm"], "to_rel", "from_rel").select("to_rel", "from_rel", "id")
+    named = stored(one_to_one(wanted.select("norm", F.col("rel").alias("to_rel"), "id"), orphans.select("norm", F.col("rel").alias("from_rel")), ["norm"], "to_rel", "from_rel").select("to_rel", "from_rel", "id"), "named")
     wanted1 = wanted.join(named.select(F.col("to_rel").alias("rel")), "rel", "left_anti")
     orphans1 = orphans.join(named.select(F.col("from_rel").alias("rel")), "rel", "left_anti")
-    cut = prefix_pairs(wanted1, orphans1).join(wanted1.select(F.col("rel").alias("to_rel"), "id"), "to_rel")
-    wanted2 = wanted1.join(cut.select(F.col("to_rel").alias("rel")), "rel", "left_anti")
-    orphans2 = orphans1.join(cut.select(F.col("from_rel").alias("rel")), "rel", "left_anti")
+    cut = stored(prefix_pairs(wanted1, orphans1).join(wanted1.select(F.col("rel").alias("to_rel"), "id"), "to_rel"), "cut")
+    wanted2 = stored(wanted1.join(cut.select(F.col("to_rel").alias("rel")), "rel", "left_anti"), "wanted")
+    orphans2 = stored(orphans1.join(cut.select(F.col("from_rel").alias("rel")), "rel", "left_anti"), "orphans")
     sized = orphans2.join(wanted2.select("size").distinct(), "size", "left_semi").filter("md5 != ''")
-    hashed = one_to_one(wanted2.filter("md5 != ''").select("md5", F.col("rel").alias("to_rel"), "id"), sized.select("md5", F.col("rel").alias("from_rel")), ["md5"], "to_rel", "from_rel").select("to_rel", "from_rel", "id")
+    hashed = stored(one_to_one(wanted2.filter("md5 != ''").select("md5", F.col("rel").alias("to_rel"), "id"), sized.select("md5", F.col("rel").alias("from_rel")), ["md5"], "to_rel", "from_rel").select("to_rel", "from_rel", "id"), "hashed")
     adds = wanted2.join(hashed.select(F.col("to_rel").alias("rel")), "rel", "left_anti")
     deletes = orphans2.join(hashed.select(F.col("from_rel").alias("rel")), "rel", "left_anti")
     rel, to, frm, id_ = F.col("rel"), F.col("to_rel"), F.col("from_rel"), F.col("id")

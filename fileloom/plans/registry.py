@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import duplicates
+from . import duplicates, naming, trees
 
-_MODULES = [duplicates]
+_MODULES = [duplicates, naming, trees]
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
