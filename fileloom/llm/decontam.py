@@ -117,22 +117,13 @@ class Items:
         return out
 
 
-COLUMNS = "hit_items array<long>, best_item long, coverage double, n_tiles long"
-
-
-def tile(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with hit_items (ids of contained items, ascending), best_item (most covered; smallest
-    id of equals), its coverage and n_tiles (null, 0 and 0 without any seed), contaminated.
-
-    Words are compared without ASCII case. Null or empty texts and items contain nothing. An item
-    under SEED words must stand in whole. Items repeated under several ids are all listed.
-    """
+def _tiled(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """Each row of docs as a struct _row, beside what its tiles say."""
     items = stored(benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropDuplicates(), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (BLOCK_BYTES // 2)))
     sc = docs.sparkSession.sparkContext
-    own = docs.columns
-    out = docs.withColumns({"_text": F.col("text").cast("string"), "_hits": F.array().cast("array<long>"), "_best": F.lit(None).cast("long"), "_cover": F.lit(0.0), "_tiles": F.lit(0).cast("long")})
+    out = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"), F.array().cast("array<long>").alias("_hits"), F.lit(None).cast("long").alias("_best"), F.lit(0.0).alias("_cover"), F.lit(0).cast("long").alias("_tiles"))
     schema = out.schema
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
@@ -163,9 +154,23 @@ def tile(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataF
                 yield pa.RecordBatch.from_arrays(fresh, schema=b.schema)
 
         out = out.mapInArrow(run, schema)
-    return out.select(*own, F.col("_hits").alias("hit_items"), F.col("_best").alias("best_item"), F.col("_cover").alias("coverage"), F.col("_tiles").alias("n_tiles"), (F.size("_hits") > 0).alias("contaminated"))
+    return out
+
+
+def tile(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs with hit_items (ids of contained items, ascending), best_item (most covered; smallest
+    id of equals), its coverage and n_tiles (null, 0 and 0 without any seed), contaminated. Columns
+    of docs with one of these names are left out.
+
+    Words are compared without ASCII case. Null or empty texts and items contain nothing. An item
+    under SEED words must stand in whole. Items repeated under several ids are all listed. Repeated
+    rows each have their row.
+    """
+    added = {"hit_items": F.col("_hits"), "best_item": F.col("_best"), "coverage": F.col("_cover"), "n_tiles": F.col("_tiles"), "contaminated": F.size("_hits") > 0}
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in added]
+    return _tiled(docs, benchmark, threshold).select(*own, *(c.alias(k) for k, c in added.items()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that contain no benchmark item, with their own columns."""
-    return tile(docs, benchmark, threshold).filter("not contaminated").select(*docs.columns)
+    """The documents that contain no benchmark item, with all of their own columns."""
+    return _tiled(docs, benchmark, threshold).filter(F.size("_hits") == 0).select("_row.*")

@@ -172,10 +172,10 @@ def fit(docs: DataFrame, per_language: int = 1200, per_document: int = 4, langua
     return train(x, y, names) if len(x) else Model([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named, lang_pred and score. All windows of the whole text count. und, with
-    score 0, where text is null or has no letter; ties go to the language first by name."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string", "score double"])
+def _predicted(docs: DataFrame, model: Model) -> DataFrame:
+    """Each row of docs as a struct _row, beside lang_pred and score."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"))
+    schema = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).drop("_text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.pairs()
@@ -192,11 +192,25 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             known = [bool(model.languages) and t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()]
             pred = [model.languages[k] if ok else "und" for k, ok in zip(best, known)]
             score = np.where(known, np.clip(prob.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(pred, pa.string()), pa.array(score)], ["_row", "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score, in place of columns of these names. All windows of the whole
+    text count. und, with score 0, where text is null or has no letter; ties go to the language
+    first by name. Repeated rows each have their row."""
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return _predicted(docs, model).select(*own, "lang_pred", "score")
+
+
+def in_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is predicted with that score."""
+    return _predicted(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
 
 
 def identify(docs: DataFrame, **sample: int) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
-    return predict(docs.withColumn("doc_id", F.col("doc_id").cast("long")), fit(docs, **sample)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return predict(narrow, fit(docs, **sample)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -81,25 +81,36 @@ def plan(narrow: DataFrame, repetition: float | None, entropy: float | None, bud
     return per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
-def with_copies(docs: DataFrame, repetition: float | None = 1.5, entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
-    """docs with mix_tokens, mix_copies, mix_weight, mix_epochs, mix_exponent, mix_block_key and
-    mix_doc_key. Text null or without words: no tokens, one copy where its source has none.
-    Repeated rows of one doc_id go together. The join with the plan is by source alone: Spark
-    broadcasts the plan if its measured size allows it, else splits a skewed source."""
+def _counted(docs: DataFrame, repetition: float | None, entropy: float | None, budget_tokens: int | None) -> DataFrame:
+    """Each row of docs as a struct row, beside mix_tokens, mix_copies, mix_weight, mix_epochs,
+    mix_exponent, mix_block_key and mix_doc_key."""
     tokens = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(TOKEN)), F.lit(0)).cast("long")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED))
-    narrow = stored(docs.select(F.col("source").cast("string").alias("source"), tokens.alias("n_tokens"), key.alias("doc_key")), "tokens")
+    source = F.col("source").cast("string")
+    narrow = stored(docs.select(source.alias("source"), tokens.alias("n_tokens"), key.alias("doc_key")), "tokens")
     per = stored(plan(narrow, repetition, entropy, budget_tokens), "plan")
     per = per.select(F.col("source").alias("mix_source"), "whole", "blocks", "left_tokens", "end_block", "end_key", "end_doc", F.col("weight").alias("mix_weight"), F.col("epochs").alias("mix_epochs"), F.col("exponent").alias("mix_exponent"))
-    rows = docs.withColumns({"mix_tokens": tokens, "mix_doc_key": key}).join(per, F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), source.alias("own_source"), tokens.alias("mix_tokens"), key.alias("mix_doc_key"))
+    rows = rows.join(per, F.col("own_source").eqNullSafe(F.col("mix_source")), "left")
     rows = rows.withColumn("mix_block", F.pmod("mix_doc_key", "blocks")).withColumn("mix_block_key", F.xxhash64("mix_source", "mix_block", F.lit(SEED)))
     extra = F.when(F.col("left_tokens") <= 0, 0).when(F.col("end_key").isNull(), 1).when(F.col("mix_block") == F.col("end_block"), F.when(F.col("mix_doc_key") <= F.col("end_doc"), 1).otherwise(0)).otherwise(F.when(F.struct("mix_block_key", "mix_block") < F.struct("end_key", "end_block"), 1).otherwise(0))
-    rows = rows.withColumn("mix_copies", (F.coalesce("whole", F.lit(1)) + F.coalesce(extra, F.lit(0))).cast("int"))
-    return rows.drop("whole", "blocks", "left_tokens", "end_block", "end_key", "end_doc", "mix_source", "mix_block")
+    copies = (F.coalesce("whole", F.lit(1)) + F.coalesce(extra, F.lit(0))).cast("int")
+    return rows.select("row", "mix_tokens", copies.alias("mix_copies"), "mix_weight", "mix_epochs", "mix_exponent", "mix_block_key", "mix_doc_key")
+
+
+def with_copies(docs: DataFrame, repetition: float | None = 1.5, entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
+    """docs with mix_tokens, mix_copies, mix_weight, mix_epochs, mix_exponent, mix_block_key and
+    mix_doc_key, in place of columns of these names. Text null or without words: no tokens, one
+    copy where its source has none. Repeated rows of one doc_id go together; a null source is a
+    source, and an empty table stays empty. The join with the plan is by source alone: Spark
+    broadcasts the plan if its measured size allows it, else splits a skewed source."""
+    rows = _counted(docs, repetition, entropy, budget_tokens)
+    added = rows.columns[1:]
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
 def mix(docs: DataFrame, repetition: float | None = 1.5, entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
     """The mixed corpus: docs' own columns, each row as often as it is used. Sorting the result of
     with_copies by (copy, mix_block_key, mix_doc_key) gives the order of the permutation."""
-    rows = with_copies(docs, repetition, entropy, budget_tokens).filter("mix_copies > 0")
-    return rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    rows = _counted(docs, repetition, entropy, budget_tokens).filter("mix_copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
