@@ -18,8 +18,7 @@ LEAST_SCORE = 0.34
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no language: null, without a letter, or with no clear prediction."""
-    seen = langid.predict(docs, langid.fit(docs), tuple(docs.columns))
-    return seen.filter((seen.lang_pred != "und") & (seen.score >= LEAST_SCORE)).select(*docs.columns)
+    return langid.in_language(docs, langid.fit(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
