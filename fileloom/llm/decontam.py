@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import flat, slices, stored
+from .shared import flat, released, slices, stored
 from .words import mix, words
 
 SEED = 5
@@ -153,7 +153,7 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame
                 fresh = [pa.array(columns[c], b.schema.field(c).type) if c in columns else b.column(c) for c in b.schema.names]
                 yield pa.RecordBatch.from_arrays(fresh, schema=b.schema)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(released(run), schema)
     return out
 
 

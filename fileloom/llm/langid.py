@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import flat, slices
+from .shared import flat, released, slices
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -152,7 +152,7 @@ def training_windows(labelled: DataFrame, per_language: int, per_document: int,
             take = nth % step == 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[take])), b.column("lang").take(pa.array(row[take])), pa.array([w.tobytes() for w in x[take]], pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = labelled.filter(chosen).select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, x binary").collect()
+    rows = labelled.filter(chosen).select("doc_id", "lang", "text").mapInArrow(released(cut), "doc_id long, lang string, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     names = sorted(share)
     return np.frombuffer(b"".join(bytes(r.x) for r in rows), np.uint8).reshape(-1, WINDOW), np.array([names.index(r.lang) for r in rows]), names
@@ -194,7 +194,7 @@ def _predicted(docs: DataFrame, model: Model) -> DataFrame:
             score = np.where(known, np.clip(prob.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(pred, pa.string()), pa.array(score)], ["_row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

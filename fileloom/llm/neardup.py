@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import flat, slices, stored
+from .shared import flat, released, slices, stored
 from .words import mix, shingle_sets, words
 
 REGISTERS = 128
@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
             raw = [regs[i].tobytes() if n[i] else None for i in range(len(n))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, prints), pa.array(raw, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "registers"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(sign, SIGNATURE)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(released(sign), SIGNATURE)
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def bands(classes: DataFrame) -> DataFrame:
                 keys = band_keys(regs)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), keys.shape[1]))], ["band", "rep"])
 
-    return classes.select("rep", "registers").mapInArrow(spread, "band long, rep long")
+    return classes.select("rep", "registers").mapInArrow(released(spread), "band long, rep long")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +164,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             good = (np.minimum(n, m) < ESTIMATED_SIZE) | (estimate(ra, rb, n, m) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    return both.mapInArrow(keep, "a long, b long")
+    return both.mapInArrow(released(keep), "a long, b long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -177,7 +177,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "members"])
 
     wanted = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(collect, "doc_id long, members binary")
+    return wanted.mapInArrow(released(collect), "doc_id long, members binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +196,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if good:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(released(check), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -317,7 +317,7 @@ def compare_outsiders(family: DataFrame, own: DataFrame, classes: DataFrame, set
         if last is not None:
             yield done()
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:

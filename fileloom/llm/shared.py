@@ -3,10 +3,12 @@ lineage, files written from tasks, and bounded Arrow slices."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the Python worker hands what it has freed back to the system. Spark keeps
+    its workers, and memory that one merely holds would count beside the next stage's."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(ctypes.CDLL(None), "malloc_trim"):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as one byte array and the n + 1 bounds of its rows in it.
     Null is empty."""

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import flat, slices, stored
+from .shared import flat, released, slices, stored
 from .words import mix, prefix_hash, span_hash
 
 LENGTH = 400
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     long_ones = named.filter(F.octet_length("data") >= LENGTH)
     own = rows.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    found = long_ones.select("digest", "data").mapInArrow(find, "digest string, place int, h long").select(F.unhex("digest").alias("digest"), "place", "h").distinct()
+    found = long_ones.select("digest", "data").mapInArrow(released(find), "digest string, place int, h long").select(F.unhex("digest").alias("digest"), "place", "h").distinct()
     found = stored(found, "anchors")
     again = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
     marks = found.join(again, "h").groupBy("digest").agg(F.collect_list(F.struct("place", "h")).alias("marks")).withColumn("digest", F.lower(F.hex("digest")))
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     out = [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["digest", "place", "h", "before", "after"])
 
-    around = texts.mapInArrow(surround, "digest string, place int, h long, before binary, after binary")
+    around = texts.mapInArrow(released(surround), "digest string, place int, h long, before binary, after binary")
     around = around.withColumn("c", F.md5(F.concat(F.col("before"), F.lit(b"|"), F.col("after"), F.octet_length("before").cast("string").cast("binary"))))
     kinds = around.groupBy("h", "c").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.count("*").alias("times"))
 
@@ -283,7 +283,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield done(held)
 
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    solved = kinds.repartition(n, "h").sortWithinPartitions("h").mapInArrow(solve, "h long, c string, back int, ahead int")
+    solved = kinds.repartition(n, "h").sortWithinPartitions("h").mapInArrow(released(solve), "h long, c string, back int, ahead int")
     spans = around.select("digest", "place", "h", "c").join(stored(solved, "solved"), ["h", "c"]).groupBy("digest").agg(F.collect_list(F.struct((F.col("place") - F.col("back")).alias("a"), (F.col("place") + F.col("ahead")).alias("b"))).alias("spans"))
     return texts.select("digest", "data").join(spans, "digest"), rows
 
@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["digest", "n_removed", "n_spans", "kept_sha256"])
 
-    changed = stored(texts.mapInArrow(cut, "digest string, n_removed long, n_spans long, kept_sha256 string"), "changed")
+    changed = stored(texts.mapInArrow(released(cut), "digest string, n_removed long, n_spans long, kept_sha256 string"), "changed")
     copies = rows.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest", F.lit(True).alias("whole"))
     both = copies.join(changed, "digest", "full")
     out = rows.join(both, "digest", "left")

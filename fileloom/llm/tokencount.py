@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import parts
-from .shared import slices
+from .shared import released, slices
 
 KEPT_PARTS = 900_000
 #: Symbols merged at once.
@@ -156,4 +156,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
                 [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(released(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import parts
-from .shared import read_bytes, run_dir, slices, store, stored, write_whole
+from .shared import read_bytes, released, run_dir, slices, store, stored, write_whole
 
 MAGIC = b"FLTOK001"
 FOOTER = struct.Struct("<IQQIB8s")
@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder:
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(placed.mapInArrow(write, "part int, uri string, docs long, ids long"), "token-files")
+    return stored(placed.mapInArrow(released(write), "part int, uri string, docs long, ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array(file.docs["doc_id"], "Int64").copy(), "start": at + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc, "uri": uri}).assign(doc_id=lambda x: x.doc_id.mask(file.docs["null"].astype(bool)))
 
     listed = spark.createDataFrame(plan, "uri string, start long").repartition(max(1, len(plan)))
-    return listed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, uri string")
+    return listed.mapInPandas(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long, uri string")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:

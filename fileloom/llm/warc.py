@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import run_dir, slices, store, stored, write_whole
+from .shared import released, run_dir, slices, store, stored, write_whole
 
 #: Payloads below this many bytes are always written whole.
 REVISIT_BYTES = 100
@@ -92,7 +92,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
         write_whole(uri, body)
         yield pa.RecordBatch.from_pydict({"uri": [uri], "captures": [captures], "bytes": [size]})
 
-    return stored(planned.mapInArrow(write, "uri string, captures long, bytes long"), "warc-files")
+    return stored(planned.mapInArrow(released(write), "uri string, captures long, bytes long"), "warc-files")
 
 
 def _head(f: io.BufferedReader) -> dict[str, list[str]] | None:
@@ -146,7 +146,7 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
     n = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return files.filter("captures > 0").select("uri").repartition(n).mapInArrow(read, RECORDS)
+    return files.filter("captures > 0").select("uri").repartition(n).mapInArrow(released(read), RECORDS)
 
 
 def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
