@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import duplicates, media, naming, trees
+from . import duplicates, media, naming, streams, trees
 
-_MODULES = [duplicates, naming, trees, media]
+_MODULES = [duplicates, naming, trees, media, streams]
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
