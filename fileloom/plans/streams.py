@@ -31,6 +31,6 @@ def q_ring(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"st01_running_groups": q_running_groups, "snk14_log_ring": q_ring}
 SQL = {
-    "st01_running_groups": "SELECT md5(text) AS hash, n_chars AS size, count(*) AS copies, CAST((count(*) - 1) * n_chars AS BIGINT) AS reclaim FROM documents GROUP BY ALL HAVING count(*) > 1",
+    "st01_running_groups": "SELECT md5(text) AS hash, n_chars AS size, count(*) AS copies, CAST((count(*) - 1) * n_chars AS BIGINT) AS reclaim FROM documents GROUP BY md5(text), n_chars HAVING count(*) > 1",
     "snk14_log_ring": "SELECT event_id, user_id, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000)",
 }
