@@ -27,8 +27,8 @@ DATE = "2024-01-01T00:00:00Z"
 RECORDS = "record_type string, record_id string, concurrent_to array<string>, target_uri string, date string, refers_to string, declared_digest string, payload_bytes long, payload_digest string, fields map<string,string>, payload binary"
 
 
-def record_id(kind: str, page_id: int | None, copy: int) -> str:
-    return f"<urn:fileloom:{kind}:{'none' if page_id is None else page_id}:{copy}>"
+def record_id(kind: str, page: int | str, copy: int) -> str:
+    return f"<urn:fileloom:{kind}:{page}:{copy}>"
 
 
 def _record(kind: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -41,19 +41,20 @@ def _record(kind: str, headers: list[tuple[str, str | None]], block: bytes) -> b
 def capture(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, original: tuple[int, int] | None) -> bytes:
     """The three records of one page."""
     uri = None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%~")
-    main, digest = record_id("response", page_id, copy), f"sha256:{digest}"
+    page = f"none-{digest}" if page_id is None else page_id
+    main, digest = record_id("response", page, copy), f"sha256:{digest}"
     parts = urlsplit(uri) if uri and "[" not in uri else None
     get = f"GET {(parts.path or '/') if parts else '/'}{'?' + parts.query if parts and parts.query else ''} HTTP/1.1\r\nHost: {parts.netloc if parts else ''}\r\n\r\n".encode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     named = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest)]
-    out = _record("request", [("WARC-Record-ID", record_id("request", page_id, copy)), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/http; msgtype=request")], get)
+    out = _record("request", [("WARC-Record-ID", record_id("request", page, copy)), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/http; msgtype=request")], get)
     if original is None:
         out += _record("response", [("WARC-Record-ID", main), *named, ("Content-Type", "application/http; msgtype=response")], head + payload)
     else:
         refers = record_id("response", *original)
         out += _record("revisit", [("WARC-Record-ID", main), *named, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers), ("Content-Type", "application/http; msgtype=response")], head)
     fields = "" if page_id is None else f"page-id: {page_id}\r\n"
-    return out + _record("metadata", [("WARC-Record-ID", record_id("metadata", page_id, copy)), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")], fields.encode())
+    return out + _record("metadata", [("WARC-Record-ID", record_id("metadata", page, copy)), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")], fields.encode())
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -62,19 +63,27 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Of pages with equal payloads of REVISIT_BYTES or more, the one with the smallest page_id is a
     response and the others revisit it. Repeated page_ids are told apart by a copy number, in
-    payload order; a page without page_id is a response that nothing refers to. Payloads are
-    compared by SHA-256: only digests and ids are grouped, with partial aggregation, so a payload
-    that a third of the pages share costs one row per task.
+    payload order; a page without page_id is a response that nothing refers to, named by its
+    digest. Payloads are compared by SHA-256: what decides is grouped from ids and digests alone,
+    and payloads are shuffled once, by page_id and digest, which spreads a payload that a third of
+    the pages share as well as a page_id that many rows repeat.
     """
     spark = pages.sparkSession
     folder = folder or run_dir(spark, "warc")
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    keyed = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")))
-    large = keyed.filter((F.octet_length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("digest", F.struct("page_id", "copy").alias("at"))
-    first = large.groupBy("digest").agg(F.min("at").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = large.join(first, "digest").filter("at != original").select("at.page_id", "at.copy", "original")
-    planned = keyed.join(again, ["page_id", "copy"], "left").select("page_id", "copy", "url", "payload", "digest", "original")
+    # rows of one page_id and digest have the copy numbers after before
+    groups = keyed.filter("page_id is not null").select("page_id", "digest", F.octet_length("payload").alias("size")).groupBy("page_id", "digest").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    earlier = Window.partitionBy("page_id").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    groups = stored(groups.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "payloads")
+    large = groups.filter(F.col("size") >= REVISIT_BYTES)
+    first = large.groupBy("digest").agg(F.min(F.struct("page_id", (F.col("before") + 1).alias("copy"))).alias("original"), F.sum("n").alias("rows")).filter("rows > 1")
+    facts = groups.join(first, "digest", "left").filter("before > 0 or original is not null").select("page_id", "digest", "before", "original")
+    counted = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    copy = (F.coalesce("before", F.lit(0)) + F.col("nth")).alias("copy")
+    planned = counted.join(facts, ["page_id", "digest"], "left").select("page_id", copy, "url", "payload", "digest", "original")
+    again = F.col("original") != F.struct("page_id", "copy")
+    planned = planned.withColumn("original", F.when(again, F.col("original")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
