@@ -333,6 +333,21 @@ def test_language_model_is_normalised_and_better_than_its_base(spark):
     assert found[True].perplexity < found[True].base_perplexity
 
 
+def test_language_model_scores_unknown_words_below_known_ones(spark):
+    out = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:10]
+    rng = random.Random(12)
+    junk = [(i, " ".join("".join(rng.choices("bcdfghjkxz0189", k=11)) for _ in range(80)), None, None) for i in out[:4]]
+    junk.append((out[4], " ".join("шчцж" + "".join(rng.choices("абвг", k=7)) for _ in range(80)), None, None))
+    clean = [(i, prose(rng, 80), None, None) for i in out[5:]]
+    learnt = [(i, prose(rng, 400), None, None) for i in range(200)]
+    got = {r.doc_id: r for r in lm.score_texts(frame(spark, learnt + junk + clean)).collect()}
+    assert all(got[i].held_out for i in out)
+    mean = {i: got[i].score / got[i].n_tokens for i in out}
+    assert max(mean[i] for i, *_ in junk) < min(mean[i] for i, *_ in clean)
+    known = [r for r in got.values() if r.held_out and r.n_known == r.n_tokens]
+    assert known and sum(r.score for r in known) > sum(r.base_score for r in known)
+
+
 # 8 --------------------------------------------------------------------------------------------
 
 
