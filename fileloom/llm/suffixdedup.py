@@ -224,14 +224,16 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], ["digest", "place", "h"])
 
     long_ones = named.filter(F.octet_length("data") >= LENGTH)
-    own = rows.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    own = rows.filter(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("copied"))
     found = long_ones.select("digest", "data").mapInArrow(released(find), "digest string, place int, h long").select(F.unhex("digest").alias("digest"), "place", "h").distinct()
     found = stored(found, "anchors")
     again = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
     marks = found.join(again, "h").groupBy("digest").agg(F.collect_list(F.struct("place", "h")).alias("marks")).withColumn("digest", F.lower(F.hex("digest")))
     wanted = marks.join(own, "digest")
-    texts = long_ones.join(wanted.withColumnRenamed("digest", "d").withColumnRenamed("doc_id", "r"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("r"))).select("digest", "data", "marks")
+    texts = long_ones.join(wanted.withColumnRenamed("digest", "d").withColumnRenamed("doc_id", "r"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("r"))).select("digest", "data", "marks", "copied")
     texts = stored(texts, "texts")
+    # repeated rows share their doc_id, and rows without one share none: only their texts are dealt again
+    texts = texts.filter("not copied").union(stored(texts.filter("copied").dropDuplicates(["digest"]), "texts")).drop("copied")
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach_back = LENGTH - GRAM

@@ -262,6 +262,14 @@ def test_suffix_dedup_passages(spark):
     assert rows(suffixdedup.remove_repeats(frame(spark, some))) == repeats_brute(some, 400)
 
 
+def test_suffix_dedup_keeps_one_row_for_each_repeated_row(spark):
+    rng = random.Random(15)
+    shared = prose(rng, 75)
+    same, lone = prose(rng, 60) + shared, shared + prose(rng, 50)
+    some = [(1, same, None, None), (1, same, None, None), (2, prose(rng, 40) + shared, None, None), (None, lone, None, None), (None, lone, None, None), (None, lone, None, None)]
+    assert rows(suffixdedup.remove_repeats(frame(spark, some))) == repeats_brute(some, 400)
+
+
 def test_deep_shallow_sorts():
     rng = random.Random(1)
     stem = bytes(rng.randrange(2) for _ in range(200))
