@@ -33,9 +33,9 @@ def _keywords(spark, sf):
 
 
 def q_sentences(spark, sf):
-    """Items of speech from the first words of documents; a '.' ends an item of its own."""
+    """Items of speech from all words of documents; a '.' ends an item of its own."""
     d = table(spark, sf, "documents")
-    words = d.select(F.col("doc_id").alias("file_id"), F.posexplode(F.regexp_extract_all(F.substring("text", 1, 400), F.lit(r"([\p{L}]+|[.,])"), 1)).alias("seq", "content"))
+    words = d.select(F.col("doc_id").alias("file_id"), F.posexplode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+|[.,])"), 1)).alias("seq", "content"))
     mark = F.col("content").isin(".", ",")
     items = words.select("file_id", "seq", F.when(mark, "punctuation").otherwise("pronunciation").alias("kind"), "content", (F.col("seq") * 0.5 + 1).alias("start_time"), (F.col("seq") * 0.5 + 1.25).alias("end_time"), (F.col("seq") % 4 / 4).alias("confidence"))
     return media.sentences(items).select("file_id", "seg", "start_time", "end_time", "text", F.round("confidence", 6).alias("confidence"))
@@ -64,7 +64,7 @@ def q_topic_search(spark, sf):
 
 
 def q_visual_search(spark, sf):
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("file_id"), (F.col("doc_id") * 2.5).alias("timestamp"), F.substring("text", 1, 60).alias("description"), F.when(F.col("doc_id") % 3 == 0, F.lit("50%_off")).alias("ocr_text"))
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("file_id"), (F.col("doc_id") * 2.5).alias("timestamp"), F.col("text").alias("description"), F.when(F.col("doc_id") % 3 == 0, F.lit("50%_off")).alias("ocr_text"))
     return media.search_visual(d, _media_files(spark, sf), "50%_", 40).select("file_id", "timestamp")
 
 
