@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.paths import sanitised
+from .storage import stored
 
 
 def index(listing: DataFrame) -> DataFrame:
@@ -20,23 +21,23 @@ def index(listing: DataFrame) -> DataFrame:
     ).filter("id is not null and id != ''")
 
 
-def paths(nodes: DataFrame, depth: int = 64) -> DataFrame:
-    """id and rel_path of every node, from the roots down, a level per step: each step joins the
-    last level's nodes to their children, so a cycle, which no root reaches, ends nothing. A
-    parent that isn't listed makes a node a root."""
-    own = nodes.select("id", "parent", "name")
+def paths(nodes: DataFrame) -> DataFrame:
+    """id and rel_path of every node, from the roots down, a stored level per step, until a step
+    finds no node: each step joins the last level's nodes to their children, so a cycle, which no
+    root reaches, ends nothing. A parent that isn't listed makes a node a root. A way of more
+    nodes than there are comes round to a repeated id, and is an error."""
+    own = stored(nodes.select("id", "parent", "name"), "nodes")
     ids = own.select(F.col("id").alias("parent"))
-    level = own.join(ids, "parent", "left_anti").select("id", F.col("name").alias("rel_path"), F.lit(1).alias("depth"))
-    spark = nodes.sparkSession
-    level.createOrReplaceTempView("fileloom_roots")
-    own.createOrReplaceTempView("fileloom_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE tree (id, rel_path, depth) AS (
-              SELECT id, rel_path, depth FROM fileloom_roots
-              UNION ALL
-              SELECT n.id, concat(t.rel_path, '/', n.name), t.depth + 1 FROM tree t JOIN fileloom_nodes n ON n.parent = t.id WHERE t.depth < {int(depth)})
-            SELECT id, rel_path, depth FROM tree"""
-    )
+    level = stored(own.join(ids, "parent", "left_anti").select("id", F.col("name").alias("rel_path"), F.lit(1).alias("depth")), "level")
+    tree, most, depth = level, own.count(), 1
+    while not level.isEmpty():
+        if depth > most:
+            raise ValueError("a repeated id makes a cycle that a root reaches")
+        above = level.select(F.col("id").alias("parent"), F.col("rel_path").alias("above"))
+        depth += 1
+        level = stored(own.join(above, "parent").select("id", F.concat("above", F.lit("/"), "name").alias("rel_path"), F.lit(depth).alias("depth")), "level")
+        tree = tree.union(level)
+    return tree
 
 
 def office_path(rel: Column, mime: Column) -> Column:

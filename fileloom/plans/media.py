@@ -118,7 +118,7 @@ def q_both(spark, sf):
 def _nodes(spark, sf):
     d = table(spark, sf, "documents")
     parent = F.when(F.col("doc_id") % 40 == 1, F.lit("gone")).otherwise(F.concat(F.lit("n"), F.floor(F.col("doc_id") / 7).cast("string")))
-    return d.filter("doc_id <= 600").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") == 0, F.lit("")).otherwise(parent).alias("parent"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"))
+    return d.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") == 0, F.lit("")).otherwise(parent).alias("parent"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"))
 
 
 def q_paths(spark, sf):

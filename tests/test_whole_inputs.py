@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from fileloom.operators import drives
 from fileloom.plans import registry
 
 
@@ -31,3 +32,27 @@ def test_visual_search_looks_at_whole_texts(spark, long_texts):
     texts, folder = long_texts
     got = registry.QUERIES["jn21_visual_search"](spark, folder).collect()
     assert [(r.file_id, r.timestamp) for r in got] == [(3 * k + 1, (3 * k + 1) * 2.5) for k, t in enumerate(texts) if "50%_" in (t or "")]
+
+
+def test_paths_take_every_document(spark, tmp_path):
+    spark.range(700).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    parent = {k: None if k % 40 == 1 or k == 0 else k // 7 for k in range(700)}
+
+    def way(k):
+        return [*(way(parent[k]) if parent[k] is not None else []), f"f{k}"]
+
+    got = registry.QUERIES["jn25_paths"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"n{k}", "/".join(way(k)), len(way(k))) for k in parent)
+
+
+def test_paths_go_below_64_levels(spark):
+    chain = [(f"c{k}", f"c{k - 1}" if k else "", str(k)) for k in range(70)]
+    nodes = spark.createDataFrame([*chain, ("x", "y", "x"), ("y", "x", "y")], "id string, parent string, name string").coalesce(1)
+    got = {r.id: (r.rel_path, r.depth) for r in drives.paths(nodes).collect()}
+    assert got == {f"c{k}": ("/".join(map(str, range(k + 1))), k + 1) for k in range(70)}
+
+
+def test_paths_name_a_cycle_below_a_root(spark):
+    nodes = spark.createDataFrame([("a", "", "a"), ("a", "b", "a"), ("b", "a", "b")], "id string, parent string, name string")
+    with pytest.raises(ValueError, match="cycle"):
+        drives.paths(nodes).collect()
