@@ -56,3 +56,12 @@ def test_paths_name_a_cycle_below_a_root(spark):
     nodes = spark.createDataFrame([("a", "", "a"), ("a", "b", "a"), ("b", "a", "b")], "id string, parent string, name string")
     with pytest.raises(ValueError, match="cycle"):
         drives.paths(nodes).collect()
+
+
+def test_throughput_has_every_user(spark, tmp_path):
+    some = [(k, k % 60, 1_700_000_000 + 7 * k, float(k)) for k in range(180)]
+    events = spark.createDataFrame(some, "event_id long, user_id long, t long, value double")
+    events.selectExpr("event_id", "user_id", "timestamp_seconds(t) as ts", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.rate for r in registry.QUERIES["fn53_throughput"](spark, str(tmp_path)).collect()}
+    # without an event before it, greatest() leaves one second
+    assert got == {k: round(v / (420 if k >= 60 else 1), 6) for k, _, _, v in some}
