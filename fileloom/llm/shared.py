@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task holds as numpy arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +42,19 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = run_dir(spark, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """Filesystem and path of a URI, usable in tasks."""
     from pyarrow import fs
@@ -70,6 +79,12 @@ def read_bytes(uri: str, start: int, size: int) -> bytes:
         return f.read_at(size, start)
 
 
+def read_whole(uri: str) -> bytes:
+    system, path = store(uri)
+    with system.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, cut so that each part holds about limit bytes of the column,
     and one row at least."""

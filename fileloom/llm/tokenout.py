@@ -16,9 +16,11 @@ documents that are asked for, each checked against its CRC.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import parts
-from .shared import read_bytes, released, run_dir, slices, store, stored, write_whole
+from .chunks import PartTable, cut, gather, per_worker, special_rows
+from .shared import discard, flat, read_bytes, released, run_dir, slices, store, stored, write_whole
 
 MAGIC = b"FLTOK001"
 FOOTER = struct.Struct("<IQQIB8s")
@@ -36,41 +38,51 @@ SEEK = np.dtype([("offset", "<u8"), ("size", "<u8"), ("ids", "<u4"), ("docs", "<
 DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u4"), ("frame", "<u4"), ("place", "<u4")])
 #: Ids in a frame before it is closed; a longer document has a frame of its own.
 FRAME_IDS = 1 << 18
-#: Parts whose ids a task keeps before it starts anew.
-KEPT_PARTS = 700_000
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, as the library gives them without added
-    tokens. Parts of texts that were seen before are not encoded again."""
+    tokens. Parts of texts that a worker has seen before are not encoded again."""
 
     def __init__(self, tokenizer: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer)
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.special) else parts(t) for t in texts]
-        fresh = list({p for c in cut if c for p in c}.difference(self.kept))
-        if len(self.kept) + len(fresh) > KEPT_PARTS:
-            self.kept.clear()
-            fresh = list({p for c in cut if c for p in c})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.kept[p] = np.array(e.ids, self.kind).tobytes()
-        get = self.kept.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.table = PartTable(self._learn, self.kind)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        sizes = np.zeros(len(fresh), np.int64)
+        for at in range(0, len(fresh), 20_000):
+            for k, e in enumerate(self.library.encode_batch_fast([p.decode() for p in fresh[at : at + 20_000]], add_special_tokens=False), at):
+                some = e.ids
+                sizes[k] = len(some)
+                ids.extend(some)
+        return np.array(ids, self.kind), sizes
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the n + 1 bounds of the texts among them. Texts with a
+        special string inside go to the library whole."""
+        data, bounds = flat(texts)
+        odd = special_rows(texts, self.special)
+        start, parts = cut(data, bounds)
+        if len(odd):  # their own ids stand in for those of their first part
+            keep = np.ones(len(start), bool)
+            for r in odd:
+                keep[parts[r] + 1 : parts[r + 1]] = False
+        first, size = self.table(data, start)
+        if not len(odd):
+            return gather(self.table.values, first, size), np.concatenate([[0], np.cumsum(size)])[parts]
+        whole = [np.array(self.library.encode(texts[int(r)].as_py(), add_special_tokens=False).ids, self.kind) for r in odd]
+        values = np.concatenate([self.table.values, *whole])
+        size[~keep] = 0
+        lengths = np.array([len(w) for w in whole], np.int64)
+        size[parts[odd]] = lengths
+        first[parts[odd]] = len(self.table.values) + np.cumsum(lengths) - lengths
+        return gather(values, first, size), np.concatenate([[0], np.cumsum(size)])[parts]
 
 
 def write_file(uri: str, documents: Iterator[tuple[int | None, bytes]], id_bytes: int) -> tuple[int, int]:
@@ -145,31 +157,49 @@ class Reader:
             yield int(r), np.frombuffer(raw, f"<u{self.id_bytes}", count=int(d["ids"]), offset=start)
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """Per row: doc_id and the ids of its whole text, end_id last, as little-endian bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = per_worker("ids", tokenizer, Encoder)
+        end = np.array([end_id], encode.kind).tobytes()
+        for b in slices(batches):
+            ids, at = encode(b.column("text"))
+            raw, at = ids.tobytes(), (at * encode.kind.itemsize).tolist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([raw[x:y] + end for x, y in zip(at, at[1:])], pa.binary()), pa.array([encode.kind.itemsize] * b.num_rows, pa.int32())], ["doc_id", "ids", "id_bytes"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, ids binary, id_bytes int")
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
-    """Encodes every text and writes files in ascending doc_id order (null first; rows of one
-    doc_id by their text); one row per file: part, uri, docs, ids. A null text is empty and has
-    the end id alone. The table of files is stored, so that the files are written once."""
+    """Encodes every text where it lies, and writes files in ascending doc_id order (null first;
+    rows of one doc_id by their ids); one row per file: part, uri, docs, ids. A null or empty text
+    has the end id alone, a very long one a frame of its own, and repeated rows are each written.
+    Ids are shuffled, not texts. The table of files is stored, so that they are written once."""
     spark = docs.sparkSession
     folder = folder or run_dir(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
         part = TaskContext.get().partitionId()
-        end = np.array([end_id], encode.kind).tobytes()
+        batches = (b for b in batches if b.num_rows)
+        head = next(batches, None)
+        if head is None:
+            return
 
         def all_documents():
-            for b in slices(batches):
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(texts)):
-                    yield doc_id, ids + end
+            for b in chain([head], batches):
+                yield from zip(b.column("doc_id").to_pylist(), (x.as_py() for x in b.column("ids")))
 
         uri = f"{folder}/part-{part:06d}.tok"
-        n, ids = write_file(uri, all_documents(), encode.kind.itemsize)
+        n, ids = write_file(uri, all_documents(), head.column("id_bytes")[0].as_py())
         yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "docs": [n], "ids": [ids]}, schema=pa.schema([("part", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(placed.mapInArrow(released(write), "part int, uri string, docs long, ids long"), "token-files")
+    ids = stored(encoded(docs, tokenizer, end_id), "ids")
+    placed = ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    files = stored(placed.mapInArrow(released(write), "part int, uri string, docs long, ids long"), "token-files")
+    discard(ids)
+    return files
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -198,5 +228,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
-    """Writes the token files, then reads them back."""
+    """Writes the token files, then reads them back: doc_id, start, n_tokens, ids_crc32 and uri of
+    every row, repeated rows and rows without doc_id included; null and empty texts are the end id
+    alone, and an empty table gives no rows."""
     return read_token_files(write_token_files(docs, tokenizer, end_id, folder))

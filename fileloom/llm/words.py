@@ -14,9 +14,6 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))
@@ -26,17 +23,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _small_powers(base: int) -> tuple[np.ndarray, int]:
+    out, step = np.empty(1024, np.uint64), 1
+    for k in range(1024):
+        out[k] = step
+        step = step * base & 0xFFFFFFFFFFFFFFFF
+    return out, step
+
+
+_STEPS = {base: _small_powers(base) for base in (_BASE, _INVERSE)}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        have = np.full(size, np.uint64(base & 0xFFFFFFFFFFFFFFFF))
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size > 1 << 23:  # a very long text's powers aren't kept
-            return have
-        _powers[base] = have
-    return have
+    """The first n powers modulo 2^64, as products of two short tables; nothing long is kept."""
+    low, step = _STEPS[base]
+    high = np.full(-(-n // 1024), np.uint64(step))
+    high[:1] = 1
+    return np.multiply.outer(np.multiply.accumulate(high), low).reshape(-1)[:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -52,6 +55,21 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As span_hash over prefix_hash(data), for spans in order that don't overlap: only places
+    within spans are needed, and one short table of powers serves most of them."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    at = np.arange(int(size.sum())) + np.repeat(starts - np.cumsum(size) + size, size)
+    off = at - np.repeat(starts, size)
+    values = _TABLE[data[at]] * powers(_BASE, int(size.max()))[off]
+    some = np.flatnonzero(size > 0)
+    out = np.zeros(len(starts), np.uint64)
+    out[some] = np.add.reduceat(values, (np.cumsum(size) - size)[some]) if len(some) else 0
+    return mix(out + size.astype(np.uint64))
+
+
 class Words(NamedTuple):
     row: np.ndarray  #: row of each word
     start: np.ndarray  #: byte bounds
@@ -62,7 +80,6 @@ class Words(NamedTuple):
 
 def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     data = _LOWER[data]
-    n = len(data)
     inside = ~_SPACE[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -75,8 +92,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     end = np.flatnonzero(closes) + 1
     first = np.searchsorted(start, bounds)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-    sums = prefix_hash(data) if n else np.zeros(1, np.uint64)
-    return Words(row, start, end, span_hash(sums, start, end), first)
+    return Words(row, start, end, spans_hash(data, start, end), first)
 
 
 def shingle_sets(w: Words, n_rows: int, size: int = 2) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import resource
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from fileloom.llm import chunks, decontam, langid, lm, mixing, neardup, quality, suffixdedup, tokencount, tokenout, warc
 from fileloom.llm.queries import QUERIES, SQL, tokenizer_path
 
+from fileloom.llm.shared import flat
+
 from ..oracle import of_duckdb, of_spark
 from .conftest import frame, prose
 
@@ -103,7 +106,7 @@ def library():
 
 def awkward(n=300):
     rng = random.Random(11)
-    bits = ["a", "ab", " ", "  ", "\n", "\t", ".", ",", "..", "'s", "'ll", "12", "7", "é", "日本", "😀", "_", "-", "X", "The", "\x00", "\x0b", " ", " ", "<|endoftext|>", "aaaaa", "!?", "é"]
+    bits = ["a", "ab", " ", "  ", "\n", "\t", ".", ",", "..", "'s", "'ll", "12", "7", "é", "日本", "\u00a0", "\u2003", "\u3000", "\u0085", "\x1c", "😀", "_", "-", "X", "The", "\x00", "\x0b", " ", " ", "<|endoftext|>", "aaaaa", "!?", "é"]
     return ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(n)]
 
 
@@ -116,19 +119,29 @@ def test_token_counts_equal_the_library(spark, docs, texts, empty, library):
     assert tokencount.count_tokens(empty, tokenizer_path()).count() == 0
     merger = tokencount.Merger(tokenizer_path())
     some = awkward()
-    assert merger(some) == [want(t) for t in some]
+    assert merger(pa.array(some)).tolist() == [want(t) for t in some]
+    merger.table.clear()
+    assert merger(pa.array(some[::-1])).tolist() == [want(t) for t in some[::-1]]
 
 
-def test_parts_are_whole():
-    for t in awkward():
-        if "\x00" not in t:
-            assert "".join(chunks.parts(t)) == t
+def test_parts_start_rows_and_repeat(library):
+    some = awkward(2000)
+    data, bounds = flat(pa.array(some))
+    start, parts = chunks.cut(data, bounds)
+    assert set(bounds[:-1][np.diff(bounds) > 0]) <= set(start) and len(parts) == len(some) + 1
+    encode = tokenout.Encoder(tokenizer_path())
+    ids, at = encode(pa.array(some))
+    for k, t in enumerate(some):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files(spark, docs, texts, empty, library):
     got = tokenout.token_output(docs, tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     got.sort(key=lambda r: r.start)
-    order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    def bytes_of(t):
+        return np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u2").tobytes()
+
+    order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, bytes_of(r[1])))
     at = 0
     assert len(got) == len(order)
     for r, (i, t, *_) in zip(got, order):
@@ -141,8 +154,9 @@ def test_token_files(spark, docs, texts, empty, library):
 def test_token_file_reads_single_documents_and_finds_damage(tmp_path, library):
     encode = tokenout.Encoder(tokenizer_path())
     some = awkward(40)
+    ids, at = encode(pa.array(some))
     uri = f"file://{tmp_path}/x.tok"
-    tokenout.write_file(uri, [(k, ids) for k, ids in enumerate(encode(some))], encode.kind.itemsize)
+    tokenout.write_file(uri, [(k, ids[at[k] : at[k + 1]].tobytes()) for k in range(len(some))], encode.kind.itemsize)
     (r, ids), = tokenout.Reader(uri).documents(np.array([17]))
     assert r == 17 and ids.tolist() == library.encode(some[17], add_special_tokens=False).ids
     raw = bytearray((tmp_path / "x.tok").read_bytes())
@@ -209,6 +223,28 @@ def test_near_duplicate_chains_and_hot_groups(spark):
     assert rows(neardup.near_duplicates(frame(spark, some), 80, 2)) == near_brute(some, 80, 2)
 
 
+def test_near_duplicates_link_every_text_of_a_doc_id(spark):
+    rng = random.Random(21)
+    x, y = prose(rng, 90), prose(rng, 90)
+    near = [" ".join([*t.split()[:-1], "other"]) for t in (x, y)]
+    some = [(1, x, None, None), (1, y, None, None), (2, near[0], None, None), (3, near[1], None, None), (5, "a b c d e f g", None, None), (4, "a b c d e f h", None, None)]
+    assert rows(neardup.near_duplicates(frame(spark, some), 80, 2)) == near_brute(some, 80, 2)
+
+
+def test_near_duplicates_of_boilerplate_families(spark, monkeypatch):
+    """Texts that share most of a form collide in many bands without being linked to its middle."""
+    monkeypatch.setattr(neardup, "CELL_ROWS", 16)
+    rng = random.Random(22)
+    form = prose(rng, 100).split()
+    some = []
+    for k in range(90):
+        t = list(form)
+        for _ in range(rng.randrange(4, 16)):
+            t[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        some.append((k, " ".join(t), None, None))
+    assert rows(neardup.near_duplicates(frame(spark, some), 80, 2)) == near_brute(some, 80, 2)
+
+
 def test_near_duplicates_leave_columns(spark, docs, texts):
     kept = neardup.without_copies(docs, 80, 5)
     assert kept.columns == docs.columns
@@ -391,6 +427,25 @@ def test_tiles_equal_brute_force():
             assert sum(n for *_, n in decontam.tiles(doc, item, least)) == tiling_brute(doc.tolist(), item.tolist(), least)
 
 
+def test_tiles_of_repetitive_texts_stay_small():
+    doc, item = np.full(20_000, 7, np.uint64), np.full(2000, 7, np.uint64)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert decontam.tiles(doc, item) == [(0, 0, 2000)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # kB
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rng = random.Random(16)
+    items = [prose(rng, 30) for _ in range(40)]
+    some = [(k, prose(rng, 20) + " " + items[k % 40] + " " + items[(k * 7) % 40], None, None) for k in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = rows(decontam.tile(frame(spark, some), bench).select("doc_id", "hit_items", "best_item", "coverage", "n_tiles"))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 700)
+    assert len(decontam.prepared(bench)) > 5
+    assert rows(decontam.tile(frame(spark, some), bench).select("doc_id", "hit_items", "best_item", "coverage", "n_tiles")) == whole
+    assert all(set(r[1]) == {r[0] % 40, r[0] * 7 % 40} for r in whole)
+
+
 def test_decontamination(spark, docs, texts, empty):
     rng = random.Random(6)
     items = [prose(rng, 40) for _ in range(6)]
