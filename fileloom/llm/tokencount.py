@@ -18,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import parts
-from .shared import released, slices
+from .chunks import PartTable, cut, per_worker, special_rows
+from .shared import flat, released, slices
 
-KEPT_PARTS = 900_000
 #: Symbols merged at once.
 BATCH_SYMBOLS = 1 << 20
 
@@ -58,7 +57,7 @@ class Merger:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.kept: dict[str, int] = {}
+        self.table = PartTable(self._learn, np.dtype(np.int64))
 
     def ranks(self, symbols: np.ndarray, same: np.ndarray) -> np.ndarray:
         """Rank of each symbol with its right neighbour; the largest int32 where there is none."""
@@ -111,33 +110,27 @@ class Merger:
             at = to
         return result
 
-    def learn(self, fresh: list[str]) -> None:
-        found = [self.pattern.findall(p) for p in fresh]
+    def _learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.pattern.findall(p.decode()) for p in fresh]
         distinct = list({t for f in found for t in f})
         of = dict(zip(distinct, self.count(distinct).tolist()))
-        for p, f in zip(fresh, found):
-            self.kept[p] = sum(map(of.__getitem__, f))
+        return np.array([sum(map(of.__getitem__, f)) for f in found], np.int64), np.ones(len(fresh), np.int64)
 
-    def __call__(self, texts: list[str]) -> list[int]:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each whole text. A special string inside a text is one token, as the library
         has it by default, and the text before and after it is split on its own."""
-        cut, extra = [], []
-        for t in texts:
-            if self.cut_special and any(s in t for s in self.special):
-                pieces = self.cut_special.split(t)
-                cut.append([p for piece in pieces for p in parts(piece)])
-                extra.append(len(pieces) - 1)
-            else:
-                cut.append(parts(t))
-                extra.append(0)
-        wanted = {p for c in cut for p in c}
-        fresh = wanted.difference(self.kept)
-        if len(self.kept) + len(fresh) > KEPT_PARTS:
-            self.kept.clear()
-            fresh = wanted
-        self.learn(list(fresh))
-        get = self.kept.__getitem__
-        return [n + sum(map(get, c)) for n, c in zip(extra, cut)]
+        odd = special_rows(texts, [s.encode() for s in self.special])
+        out = self._plain(texts)
+        for r in odd:
+            pieces = self.cut_special.split(texts[int(r)].as_py())
+            out[r] = len(pieces) - 1 + self._plain(pa.array(pieces, pa.string())).sum()
+        return out
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        data, bounds = flat(texts)
+        start, parts = cut(data, bounds)
+        first, _ = self.table(data, start)
+        return np.diff(np.concatenate([[0], np.cumsum(self.table.values[first])])[parts])
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
@@ -148,12 +141,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(tokenizer)
+        merger = per_worker("counts", tokenizer, Merger)
         for b in slices(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            n = merger(texts)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
-            )
+            n = merger(b.column("text"))
+            _, bounds = flat(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(released(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
