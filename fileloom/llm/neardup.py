@@ -6,12 +6,12 @@ in 16 bits. Empty registers borrow from others by a fixed rule, so that two sets
 register with a probability of about their Jaccard similarity. Bands of registers propose links,
 registers estimate them with a correction for chance collisions, and full sets confirm them.
 
-Bands are never expanded into all pairs. Equal sets are one class. In each band bucket all classes
-are compared with the bucket's smallest id; buckets that share members form a family. Most of a
-family is then one linked component. Only classes outside their family's largest component are
-compared further, as queries against the family's members, in blocks bounded by their shingles,
-with exact intersections, and only links that join components are returned. Pairs within one
-component are not compared: they cannot change it.
+Bands are never expanded into all pairs. Equal sets are one class, named by a number of its own. In
+each band bucket all classes are compared with the bucket's smallest; mostly the bucket is then one
+linked component. Only in buckets that are not, classes outside the bucket's largest component are
+compared with the bucket's members, in cells of bounded size: registers first, then, where those
+don't rule a link out, full sets. Only links that join components are returned. Pairs within one
+component are not compared: they cannot change it. Pairs that share no band are not candidates.
 """
 
 from __future__ import annotations
@@ -22,20 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import flat, released, slices, stored
+from .shared import discard, flat, released, slices, stored
 from .words import mix, shingle_sets, words
 
 REGISTERS = 128
 ROWS = 4
 MANTISSA = 10
-#: Registers' estimate is off by 0.035 at a similarity of 0.8; below this many standard
-#: deviations under the threshold a pair isn't confirmed.
+#: Below this many standard deviations under the threshold a pair isn't confirmed.
 DEVIATIONS = 6
-#: Sets below this size go to confirmation without an estimate: their registers repeat.
-ESTIMATED_SIZE = 256
-#: Shingles of the members, and of the outsiders, that one comparison task holds.
-MEMBER_SHINGLES = 1 << 20
-OUTSIDER_SHINGLES = 1 << 19
+#: Members, and outsiders, of a bucket in one cell of comparisons, and their shingles.
+CELL_ROWS = 256
+CELL_SHINGLES = 1 << 19
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -116,9 +113,23 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
+def least_estimate(percent: int, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The estimate below which sets of n and m shingles aren't linked. Small sets fill few
+    registers, and borrowed ones say nothing of their own: the fewer are expected to be filled,
+    the further an estimate may be off."""
+    own = REGISTERS * -np.expm1(-np.maximum(n, m) / REGISTERS)
+    return percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / np.maximum(own, 1.0))
+
+
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
 
 
+def fingerprints(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each row's set."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (mix(h), mix(h ^ np.uint64(0x6A09E667F3BCC909)))]
+    return [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
+
+
 def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
     """Per document: set size, a 128-bit fingerprint of the set, and registers (null if empty)."""
 
@@ -127,8 +138,7 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
             data, bounds = flat(b.column("text"))
             h, at = shingle_sets(words(data, bounds), b.num_rows, size)
             regs = registers(h, at)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (mix(h), mix(h ^ np.uint64(0x6A09E667F3BCC909)))]
-            prints = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
+            prints = fingerprints(h, at)
             n = np.diff(at)
             raw = [regs[i].tobytes() if n[i] else None for i in range(len(n))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, prints), pa.array(raw, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "registers"])
@@ -155,35 +165,36 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").filter((100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
         for batch in batches:
             if not batch.num_rows:
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             n, m = (batch.column(c).to_numpy().astype(float) for c in ("n", "m"))
-            good = (np.minimum(n, m) < ESTIMATED_SIZE) | (estimate(ra, rb, n, m) >= least)
+            good = estimate(ra, rb, n, m) >= least_estimate(percent, n, m)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
     return both.mapInArrow(released(keep), "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes as bytes, for the documents listed."""
+def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """rep and its sorted shingle hashes as bytes, for the classes listed. A class is found by its
+    smallest doc_id and its fingerprint, as several texts may bear one doc_id."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, bounds = flat(b.column("text"))
             h, at = shingle_sets(words(data, bounds), b.num_rows, size)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, fingerprints(h, at)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "set_a", "set_b", "members"])
 
-    wanted = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(released(collect), "doc_id long, members binary")
+    wanted = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = wanted.mapInArrow(released(collect), "doc_id long, set_a long, set_b long, members binary")
+    return found.join(classes.select("doc_id", "set_a", "set_b", "rep"), ["doc_id", "set_a", "set_b"]).select("rep", "members").dropDuplicates(["rep"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their full sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("members").alias("ma"))
+    right = sets.select(F.col("rep").alias("b"), F.col("members").alias("mb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,25 +266,29 @@ def intersections(q: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare_outsiders(family: DataFrame, own: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components within a family: each class outside its family's largest
-    component against all of the family."""
-    members = family.join(own.withColumnRenamed("component", "c"), "id", "left").join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
-    members = stored(members.select("id", F.col("component").alias("family"), F.coalesce("c", "id").alias("component"), "n_shingles"), "members")
-    parts = members.groupBy("family", "component").agg(F.sum("n_shingles").alias("n"))
-    top = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).filter("k > 1")
-    top = top.select("family", F.col("top.component").alias("major"), F.ceil(F.col("all") / MEMBER_SHINGLES).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / OUTSIDER_SHINGLES).cast("int").alias("chunks"))
-    open_ = members.join(top, "family")
-    place = F.xxhash64("id")
-    asked = open_.filter("component != major").select("family", F.pmod(place, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", F.lit(True).alias("asks"))
-    there = open_.select("family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(place, "blocks").cast("int").alias("block"), "id", "component", F.lit(False).alias("asks"))
+def compare_outsiders(buckets: DataFrame, own: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within a band bucket: each class outside the bucket's
+    largest component against all of the bucket, in cells of about CELL_ROWS x CELL_ROWS."""
+    named = own.select(F.col("id").alias("rep"), F.col("component").alias("c"))
+    members = buckets.select("band", "rep").join(named, "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
+    members = members.select("band", "rep", F.coalesce("c", "rep").alias("component"), "n_shingles")
+    parts = members.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("n"))
+    whole = parts.groupBy("band").agg(F.max(F.struct("k", "n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("parts")).filter("parts > 1")
+    cells = lambda k, n: F.greatest(F.ceil(k / CELL_ROWS), F.ceil(n / CELL_SHINGLES)).cast("int")
+    whole = whole.select("band", F.col("top.component").alias("major"), cells(F.col("k"), F.col("n")).alias("blocks"), cells(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("chunks"))
+    open_ = stored(members.join(whole, "band"), "open")
+    place = F.xxhash64("rep")
+    asked = open_.filter("component != major").select("band", F.pmod(place, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("asks"))
+    there = open_.select("band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(place, "blocks").cast("int").alias("block"), "rep", "component", F.lit(False).alias("asks"))
     n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cells = asked.union(there).join(sets.withColumnRenamed("doc_id", "id"), "id").repartition(n, "family", "chunk", "block").sortWithinPartitions("family", "chunk", "block")
+    content = sets.join(classes.select("rep", "registers").join(open_.select("rep").distinct(), "rep"), "rep")
+    rows = asked.union(there).join(content, "rep").repartition(n, "band", "chunk", "block").sortWithinPartitions("band", "chunk", "block")
 
-    def solve(ids: list[int], component: list[int], asks: list[bool], raw: list[bytes]) -> list[tuple[int, int]]:
-        q, m = [i for i, a in enumerate(asks) if a], [i for i, a in enumerate(asks) if not a]
+    def solve(ids: list[int], component: list[int], asks: list[bool], regs: list[bytes], raw: list[bytes]) -> list[tuple[int, int]]:
+        asks = np.array(asks)
         held = [np.frombuffer(x, np.uint64) for x in raw]
         size = np.array([len(x) for x in held], np.float64)
+        regs = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
         label = np.unique(component, return_inverse=True)[1]
         root = list(range(int(label.max()) + 1))
 
@@ -284,40 +299,48 @@ def compare_outsiders(family: DataFrame, own: DataFrame, classes: DataFrame, set
             return x
 
         out = []
-        q, m = np.array(q, int), np.array(m, int)
-        for at in range(0, len(q), 512):
-            some = q[at : at + 512]
-            inter = intersections([held[i] for i in some], [held[i] for i in m]).astype(np.float64)
-            good = (100 * inter >= percent * (size[some][:, None] + size[m][None, :] - inter)) & (label[some][:, None] != label[m][None, :])
-            r, c = np.nonzero(good)
-            _, one = np.unique(label[some[r]] * len(root) + label[m[c]], return_index=True)
-            for k in one:
-                x, y = find(int(label[some[r[k]]])), find(int(label[m[c[k]]]))
-                if x != y:
-                    root[x] = y
-                    out.append((ids[some[r[k]]], ids[m[c[k]]]))
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        for at in range(0, len(q), 64):
+            some = q[at : at + 64]
+            x, y = np.repeat(some, len(m)), np.tile(m, len(some))
+            likely = (label[x] != label[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            x, y = x[likely], y[likely]
+            likely = estimate(regs[x], regs[y], size[x], size[y]) >= least_estimate(percent, size[x], size[y])
+            x, y = x[likely], y[likely]
+            if not len(x):
+                continue
+            left, ax = np.unique(x, return_inverse=True)
+            right, ay = np.unique(y, return_inverse=True)
+            inter = intersections([held[i] for i in left], [held[i] for i in right]).astype(np.float64)[ax, ay]
+            good = np.flatnonzero(100 * inter >= percent * (size[x] + size[y] - inter))
+            _, one = np.unique(label[x[good]] * len(root) + label[y[good]], return_index=True)
+            for k in good[one]:
+                u, v = find(int(label[x[k]])), find(int(label[y[k]]))
+                if u != v:
+                    root[u] = v
+                    out.append((ids[x[k]], ids[y[k]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, ([], [], [], [])
+        last, held = None, ([], [], [], [], [])
 
         def done() -> pa.RecordBatch:
             found = solve(*held) if any(held[2]) and not all(held[2]) else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for b in batches:
-            keys = zip(*(b.column(c).to_pylist() for c in ("family", "chunk", "block")))
-            for key, *row in zip(keys, *(b.column(c).to_pylist() for c in ("id", "component", "asks", "members"))):
+            keys = zip(*(b.column(c).to_pylist() for c in ("band", "chunk", "block")))
+            for key, *row in zip(keys, *(b.column(c).to_pylist() for c in ("rep", "component", "asks")), (x.as_py() for x in b.column("registers")), (x.as_py() for x in b.column("members"))):
                 if key != last and last is not None:
                     yield done()
-                    held = ([], [], [], [])
+                    held = ([], [], [], [], [])
                 last = key
                 for c, v in zip(held, row):
                     c.append(v)
         if last is not None:
             yield done()
 
-    return cells.mapInArrow(released(run), "a long, b long")
+    return rows.select("band", "chunk", "block", "rep", "component", "asks", "registers", "members").mapInArrow(released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
@@ -325,28 +348,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
 
     Documents are linked where 100 * |A and B| >= percent * |A or B| of their sets of size-word shingles,
     and component_id is the smallest doc_id reachable. Null and empty texts have no shingles and are
-    linked with nothing; equal texts are one class; repeated doc_ids share what any of their rows
-    is linked with only through equal or similar texts. A row without doc_id is alone, and kept.
+    linked with nothing; equal texts are one class, repeated rows too, and several texts under one
+    doc_id are each linked as their own. A row without doc_id is alone, and kept.
 
     Two sets at the threshold share no band with a probability of (1 - 0.8^4)^32, 5 in 10^8.
+    Components settle in some ten rounds at most for the usual shapes; sixty without an end is an
+    error, not a result.
     """
     signed = stored(signatures(docs, size), "signatures")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes")
+    classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
+    # numbers given while the table is written, and read from it alone
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keyed = bands(classes)
     hubs = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
     buckets = stored(keyed.join(hubs, "band"), "buckets")
     pairs = stored(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = stored(full_sets(docs, wanted, size).dropDuplicates(["doc_id"]), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = stored(classes.select("rep", "doc_id", "set_a", "set_b").join(wanted, "rep"), "wanted")
+    sets = stored(full_sets(docs, wanted, size), "sets")
     links = stored(confirm(plausible(pairs, classes, percent), sets, percent), "links")
     own = stored(components(links), "linked")
-    family = stored(components(pairs), "families")
-    more = stored(compare_outsiders(family, own, classes, sets, percent), "links")
-    linked = components(links.union(more))
-    labels = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
-    out = signed.join(labels, (signed.set_a == labels.set_a) & (signed.set_b == labels.set_b) & (signed.n_shingles == labels.n) & signed.doc_id.isNotNull(), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    more = stored(compare_outsiders(buckets, own, classes, sets, percent), "links")
+    discard(sets, pairs, wanted, buckets)
+    linked = components(links.union(more)).select(F.col("id").alias("rep"), "component")
+    labels = classes.join(linked, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), "doc_id", F.coalesce("component", "rep").alias("component"))
+    least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = stored(labels.join(least, "component").select("set_a", "set_b", "n", "component_id"), "labels")
+    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(labels, (signed.set_a == labels.set_a) & (signed.set_b == labels.set_b) & (signed.n_shingles == labels.n) & signed.doc_id.isNotNull(), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_copies(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
