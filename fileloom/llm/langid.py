@@ -11,7 +11,6 @@ prediction the tables of neighbouring bytes are added beforehand and looked up b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,10 @@ WINDOW = 256
 WIDTHS = (2, 4, 6)
 FILTERS = 8
 CLASSES = 128
-_LETTER = re.compile(r"[^\W\d_]")
+#: Documents in the sample that the network learns from, over all languages.
+SAMPLE = 60_000
+#: Languages beyond which learning is refused rather than cut.
+MOST_LANGUAGES = 5_000
 
 
 def _classes() -> np.ndarray:
@@ -45,6 +47,11 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of category L occurs: neither digits nor number signs such as ½ or Ⅷ."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -131,20 +138,23 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, b
     return Model(languages, params[: len(WIDTHS)], *params[len(WIDTHS) :])
 
 
-def training_windows(labelled: DataFrame, per_language: int, per_document: int, languages: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """A bounded sample: about per_language documents of each language (by a hash of doc_id, so
-    the same on every run), per_document evenly spaced windows of each. Beyond the most frequent
-    languages, none is learned."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    share = {r.lang: min(1.0, per_language / r["count"]) for r in counts}
-    if not share:
+def training_windows(labelled: DataFrame, per_language: int, per_document: int, sample: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """A bounded sample: about per_language documents of each language, or as many fewer as keeps
+    all of them at sample, by a hash of doc_id, so the same on every run; per_document evenly
+    spaced windows of each. Rows that repeat a doc_id and language are one document, with the text
+    that is first in order."""
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    chosen = F.lit(False)
-    for lang, s in share.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(s * 1_000_003) + 1))
+    each = max(1, min(per_language, sample // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, int(min(1.0, each / r["count"]) * 1_000_003) + 1)))
+    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            b = b.filter(pa.array(list(map(has_letter, b.column("text").to_pylist())), pa.bool_()))
             x, row = windows(*flat(b.column("text")))
             n = np.bincount(row, minlength=b.num_rows)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -152,10 +162,11 @@ def training_windows(labelled: DataFrame, per_language: int, per_document: int,
             take = nth % step == 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[take])), b.column("lang").take(pa.array(row[take])), pa.array([w.tobytes() for w in x[take]], pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = labelled.filter(chosen).select("doc_id", "lang", "text").mapInArrow(released(cut), "doc_id long, lang string, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    names = sorted(share)
-    return np.frombuffer(b"".join(bytes(r.x) for r in rows), np.uint8).reshape(-1, WINDOW), np.array([names.index(r.lang) for r in rows]), names
+    rows = chosen.select("doc_id", "lang", "text").mapInArrow(released(cut), "doc_id long, lang string, x binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.x)))
+    names = sorted({r.lang for r in rows})
+    number = {n: k for k, n in enumerate(names)}
+    return np.frombuffer(b"".join(bytes(r.x) for r in rows), np.uint8).reshape(-1, WINDOW), np.array([number[r.lang] for r in rows], np.int64), names
 
 
 def held_out() -> Column:
@@ -163,12 +174,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, per_language: int = 1200, per_document: int = 4, languages: int = 200) -> Model:
-    """Learns from text and non-null lang of documents that aren't held out. per_language bounds
-    the sample. Without any such document the model has no language and predicts und."""
+def fit(docs: DataFrame, per_language: int = 1200, per_document: int = 4, sample: int = SAMPLE) -> Model:
+    """Learns from text and non-null lang of documents that aren't held out and have a letter.
+    per_language and sample bound the documents that are learned from; every language is learned.
+    Without any such document the model has no language and predicts und."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    labelled = labelled.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    x, y, names = training_windows(labelled, per_language, per_document, languages)
+    labelled = labelled.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    x, y, names = training_windows(labelled, per_language, per_document, sample)
     return train(x, y, names) if len(x) else Model([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
 
 
@@ -189,7 +201,7 @@ def _predicted(docs: DataFrame, model: Model) -> DataFrame:
                     prob[:, k] = np.bincount(row, got[:, k], b.num_rows)
                 prob /= np.maximum(1, np.bincount(row, minlength=b.num_rows))[:, None]
             best = prob.argmax(axis=1)
-            known = [bool(model.languages) and t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()]
+            known = [bool(model.languages) and has_letter(t) for t in texts.to_pylist()]
             pred = [model.languages[k] if ok else "und" for k, ok in zip(best, known)]
             score = np.where(known, np.clip(prob.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(pred, pa.string()), pa.array(score)], ["_row", "lang_pred", "score"])

@@ -58,6 +58,8 @@ def test_warc(spark):
     got = warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert rows(got) == sorted(want, key=repr)
     assert warc.archive_pages(pages.limit(0)).count() == 0
+    many = warc.archive_pages(spark.createDataFrame([(4, "http://r", page)] * 40 + [(None, None, page)] * 3, "page_id long, url string, html string")).collect()
+    assert len(many) == len({r.capture_id for r in many}) == 43 and sum(r.record_type == "revisit" for r in many) == 39
 
 
 def test_warc_transactions_nest_their_records(spark):
@@ -94,6 +96,13 @@ def test_language_edges(spark, docs, texts, empty):
     assert langid.predict(docs, model).columns.count("lang_pred") == 1
 
 
+def test_a_letter_has_category_l(spark):
+    some = [(1, "½ ² Ⅷ", "en", "s"), (2, "12 _ -", "fr", "s"), (3, "語", "en", "s"), (5, "ª", "fr", "s"), *((k, f"the river {k}" if k % 2 else f"la maison {k}", ("fr", "en", "rare")[k % 2 if k > 12 else 2], "s") for k in range(10, 60))]
+    found = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, some)).collect()}
+    assert found[1] == found[2] == "und" and "und" not in (found[3], found[5])
+    assert "rare" in langid.fit(frame(spark, some)).languages
+
+
 # 3 and 10 ---------------------------------------------------------------------------------------
 
 
@@ -334,6 +343,34 @@ def test_mixing(spark, docs, texts, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_realises_its_permutation(spark, docs, texts):
+    """Copies by brute force from the positions: whole epochs, then the permutation until the
+    tokens left are spent."""
+    found = mixing.with_copies(docs, repetition=1.5).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r.source].append(r)
+    for some in by.values():
+        some.sort(key=lambda r: r.mix_position)
+        assert [r.mix_position for r in some] == list(range(1, len(some) + 1))
+        ranks = [r.mix_block_rank for r in some]
+        assert ranks == sorted(ranks)
+        left = math.floor(round((some[0].mix_epochs - math.floor(some[0].mix_epochs)) * sum(r.mix_tokens for r in some), 6))
+        spent, want, at = 0, [], 0
+        while at < len(some):
+            to = next((k for k in range(at, len(some)) if some[k].doc_id != some[at].doc_id), len(some))
+            n = sum(r.mix_tokens for r in some[at:to])
+            want += [math.floor(some[0].mix_epochs) + (left > 0 and spent + n <= left)] * (to - at)
+            spent = spent + n if spent + n <= left else math.inf
+            at = to
+        assert [r.mix_copies for r in some] == want
+    order = mixing.sequence(docs, repetition=1.5)
+    got = order.collect()
+    assert order.columns == [*docs.columns, "mix_epoch", "mix_place"]
+    assert len(got) == sum(r.mix_copies for r in found)
+    assert [(r.mix_epoch, r.mix_place) for r in got] == sorted((r.mix_epoch, r.mix_place) for r in got)
+
+
 def test_mixing_entropy_and_budget(spark):
     some = [(k, "w " * (1 + k % 7), None, "big" if k % 10 else "small") for k in range(500)]
     d = frame(spark, some)
@@ -500,6 +537,35 @@ def test_quality_statistics(spark, docs, texts, empty):
     assert quality.quality_filter(docs, labels.limit(0))[1] == []
 
 
+def test_first_condition_has_the_most_gain(spark):
+    rng = random.Random(31)
+    some = []
+    for k in range(600):
+        v = {f: round(rng.random(), 3) if f != "symbols_per_word" else (0.0 if rng.random() < 0.8 else round(rng.random(), 2)) for f in quality.FEATURES}
+        bad = int(v["symbols_per_word"] > 0.4 or (v["word_length"] < 0.2 and v["repeat_share"] > 0.5))
+        some.append((bad, k % 3, *(v[f] for f in quality.FEATURES)))
+    d = spark.createDataFrame(some, "bad int, part int, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    cuts = quality.thresholds(d, 32)
+    assert len(cuts["symbols_per_word"]) > 10
+    grow = [r for r in some if r[1] < 2]
+    all_p, all_n = sum(r[0] for r in grow), sum(1 - r[0] for r in grow)
+
+    def gain(f, above, t):
+        k = 2 + quality.FEATURES.index(f)
+        hit = [r[0] for r in grow if (r[k] > t if above else r[k] <= t)]
+        p = sum(hit)
+        return p * (math.log2(p / len(hit)) - math.log2(all_p / (all_p + all_n))) if p else -1
+
+    rules = quality.learn(d)
+    first = rules[0][0]
+    assert gain(first.feature, first.above, first.threshold) == max(gain(f, a, t) for f in quality.FEATURES for a in (True, False) for t in cuts[f])
+    got = [r.v for r in d.select(quality.verdict(rules).alias("v")).collect()]
+    for row, v in zip(some, got):
+        want = next((k for k, rule in enumerate(rules, 1) if all((row[2 + quality.FEATURES.index(c.feature)] > c.threshold) == c.above for c in rule)), 0)
+        assert v == want
+    assert sum((v > 0) == bool(r[0]) for v, r in zip(got, some)) > 570
+
+
 def test_decision_list_learns(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
