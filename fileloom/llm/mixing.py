@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .shared import stored
 
 SEED = 20240301
+OWN = "mix_own_"
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,7 +56,7 @@ def exponent(sources: DataFrame, repetition: float | None, entropy: float | None
 
         k = next((i for i, a in enumerate(grid) if fits(a)), 32)
         low, high = (grid[k - 1], grid[k]) if k else (grid[0], grid[0])
-    return round(high, places)
+    return math.ceil(high * 10**places - 1e-9) / 10**places  # rounded to where the limits hold
 
 
 def plan(narrow: DataFrame, repetition: float | None, entropy: float | None, budget_tokens: int | None) -> DataFrame:
@@ -82,35 +83,57 @@ def plan(narrow: DataFrame, repetition: float | None, entropy: float | None, bud
 
 
 def _counted(docs: DataFrame, repetition: float | None, entropy: float | None, budget_tokens: int | None) -> DataFrame:
-    """Each row of docs as a struct row, beside mix_tokens, mix_copies, mix_weight, mix_epochs,
-    mix_exponent, mix_block_key and mix_doc_key."""
+    """Each row of docs, its columns renamed by OWN, beside mix_tokens, mix_copies, mix_weight,
+    mix_epochs, mix_exponent, mix_source, mix_block, mix_block_key and mix_doc_key."""
     tokens = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(TOKEN)), F.lit(0)).cast("long")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED))
     source = F.col("source").cast("string")
     narrow = stored(docs.select(source.alias("source"), tokens.alias("n_tokens"), key.alias("doc_key")), "tokens")
     per = stored(plan(narrow, repetition, entropy, budget_tokens), "plan")
     per = per.select(F.col("source").alias("mix_source"), "whole", "blocks", "left_tokens", "end_block", "end_key", "end_doc", F.col("weight").alias("mix_weight"), F.col("epochs").alias("mix_epochs"), F.col("exponent").alias("mix_exponent"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), source.alias("own_source"), tokens.alias("mix_tokens"), key.alias("mix_doc_key"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"{OWN}{k}") for k, c in enumerate(docs.columns)), source.alias("own_source"), tokens.alias("mix_tokens"), key.alias("mix_doc_key"))
     rows = rows.join(per, F.col("own_source").eqNullSafe(F.col("mix_source")), "left")
     rows = rows.withColumn("mix_block", F.pmod("mix_doc_key", "blocks")).withColumn("mix_block_key", F.xxhash64("mix_source", "mix_block", F.lit(SEED)))
     extra = F.when(F.col("left_tokens") <= 0, 0).when(F.col("end_key").isNull(), 1).when(F.col("mix_block") == F.col("end_block"), F.when(F.col("mix_doc_key") <= F.col("end_doc"), 1).otherwise(0)).otherwise(F.when(F.struct("mix_block_key", "mix_block") < F.struct("end_key", "end_block"), 1).otherwise(0))
     copies = (F.coalesce("whole", F.lit(1)) + F.coalesce(extra, F.lit(0))).cast("int")
-    return rows.select("row", "mix_tokens", copies.alias("mix_copies"), "mix_weight", "mix_epochs", "mix_exponent", "mix_block_key", "mix_doc_key")
+    return rows.select(*(f"{OWN}{k}" for k in range(len(docs.columns))), "mix_tokens", copies.alias("mix_copies"), "mix_weight", "mix_epochs", "mix_exponent", "mix_source", "mix_block", "mix_block_key", "mix_doc_key")
 
 
 def with_copies(docs: DataFrame, repetition: float | None = 1.5, entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
-    """docs with mix_tokens, mix_copies, mix_weight, mix_epochs, mix_exponent, mix_block_key and
-    mix_doc_key, in place of columns of these names. Text null or without words: no tokens, one
-    copy where its source has none. Repeated rows of one doc_id go together; a null source is a
-    source, and an empty table stays empty. The join with the plan is by source alone: Spark
-    broadcasts the plan if its measured size allows it, else splits a skewed source."""
+    """docs with mix_tokens, mix_copies, mix_weight, mix_epochs, mix_exponent, mix_block_rank and
+    mix_position, in place of columns of these names: where the row's block stands in its source's
+    permutation of blocks, and the row in that of documents, both from 1. Epochs 1 to mix_copies
+    use the row there. Text null or without words: no tokens, one copy where its source has none.
+    Repeated rows of one doc_id go together; a null source is a source, and an empty table stays
+    empty. The join with the plan is by source alone: Spark broadcasts the plan if its measured
+    size allows it, else splits a skewed source. A source has about as many blocks as a block has
+    rows, so that neither grouping meets more than the root of a source in one place.
+    """
     rows = _counted(docs, repetition, entropy, budget_tokens)
-    added = rows.columns[1:]
-    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *added)
+    sizes = rows.groupBy("mix_source", "mix_block", "mix_block_key").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("mix_source").orderBy("mix_block_key", "mix_block")
+    starts = sizes.withColumn("mix_block_rank", F.row_number().over(order)).withColumn("mix_before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = stored(starts.select(F.col("mix_source").alias("s"), F.col("mix_block").alias("b"), "mix_block_rank", "mix_before"), "blocks")
+    within = Window.partitionBy("mix_source", "mix_block").orderBy("mix_doc_key")
+    placed = rows.withColumn("mix_nth", F.row_number().over(within)).join(starts, F.col("mix_source").eqNullSafe(F.col("s")) & F.col("mix_block").eqNullSafe(F.col("b")), "left")
+    added = ["mix_tokens", "mix_copies", "mix_weight", "mix_epochs", "mix_exponent", "mix_block_rank", "mix_position"]
+    placed = placed.withColumn("mix_position", F.col("mix_before") + F.col("mix_nth"))
+    return placed.select(*(F.col(f"{OWN}{k}").alias(c) for k, c in enumerate(docs.columns) if c not in added), *added)
 
 
 def mix(docs: DataFrame, repetition: float | None = 1.5, entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
-    """The mixed corpus: docs' own columns, each row as often as it is used. Sorting the result of
-    with_copies by (copy, mix_block_key, mix_doc_key) gives the order of the permutation."""
+    """The mixed corpus: docs' own columns, each row as often as it is used; see with_copies for
+    the rules, and sequence for the order."""
     rows = _counted(docs, repetition, entropy, budget_tokens).filter("mix_copies > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
+    own = [F.col(f"{OWN}{k}").alias(c) for k, c in enumerate(docs.columns)]
+    return rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*own)
+
+
+def sequence(docs: DataFrame, repetition: float | None = 1.5, entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
+    """The mixed corpus in the order of its permutation: docs' own columns, mix_epoch and
+    mix_place, sorted by both. mix_place (0 to 1) is the row's position as a share of its source,
+    by which the sources of an epoch are interleaved evenly."""
+    rows = with_copies(docs, repetition, entropy, budget_tokens).filter("mix_copies > 0")
+    per = docs.groupBy(F.col("source").cast("string").alias("s")).agg(F.count("*").alias("n"))
+    rows = rows.join(per, F.col("source").cast("string").eqNullSafe(F.col("s")), "left").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return rows.withColumn("mix_place", (F.col("mix_position") - 0.5) / F.col("n")).select(*docs.columns, "mix_epoch", "mix_place").orderBy("mix_epoch", "mix_place", "source", "doc_id")

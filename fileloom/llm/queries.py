@@ -58,11 +58,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: how often the mixture uses it."""
+    """Per document: how often the mixture uses it, and where in its source's permutation."""
     from .mixing import with_copies
 
     mixed = with_copies(table(spark, sf_dir, "documents"), repetition=1.5)
-    return mixed.selectExpr("doc_id", "source", "mix_tokens AS n_tokens", "mix_weight AS weight", "mix_epochs AS epochs", "mix_exponent AS exponent", "mix_copies AS copies")
+    return mixed.selectExpr("doc_id", "source", "mix_tokens AS n_tokens", "mix_weight AS weight", "mix_epochs AS epochs", "mix_exponent AS exponent", "mix_copies AS copies", "mix_block_rank AS block_rank", "mix_position AS position")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
