@@ -25,7 +25,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
     n_distinct_words, of whole texts (null: none of anything).
 
-    Words are compared by 64-bit hashes. A text whose windows all differ, the usual case, is done
+    Repeated rows each have their row; very long texts are taken whole. Words are compared by
+    64-bit hashes. A text whose windows all differ, the usual case, is done
     after one distinct; only the others sort their windows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -108,14 +109,21 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def learn(labelled: DataFrame, max_rules: int = 6, max_conditions: int = 3, bins: int = 24, precision: float = 0.8) -> list[Rule]:
+def thresholds(labelled: DataFrame, bins: int) -> dict[str, list[float]]:
+    """Per feature its cuts: quantiles of its distinct values, so that a value that most rows share
+    takes one of them."""
+    values = labelled.select(F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in FEATURES))).alias("e")).select("e.f", "e.v").distinct()
+    found = values.groupBy("f").agg(F.percentile_approx("v", [k / bins for k in range(bins)], 10_000).alias("t")).collect()
+    return {f: sorted(set(t)) for f, t in ((r.f, r.t or []) for r in found)}
+
+
+def learn(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 4, bins: int = 32, precision: float = 0.8) -> list[Rule]:
     """Rules for bad = 1 from rows with FEATURES, bad (0 or 1) and part (0 and 1 grow, 2 prunes).
 
     A rule is taken while, on the pruning rows it newly covers, at least the given share is bad;
     learning stops at the first that fails, or when no bad row is left.
     """
-    cuts = dict(zip(FEATURES, labelled.approxQuantile(list(FEATURES), [k / bins for k in range(bins)], 0.005)))
-    cuts = {f: sorted(set(t)) for f, t in cuts.items()}
+    cuts = {f: [] for f in FEATURES} | thresholds(labelled, bins)
     if not any(cuts.values()):
         return []
 
