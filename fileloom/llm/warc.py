@@ -65,24 +65,27 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     response and the others revisit it. Repeated page_ids are told apart by a copy number, in
     payload order; a page without page_id is a response that nothing refers to, named by its
     digest. Payloads are compared by SHA-256: what decides is grouped from ids and digests alone,
-    and payloads are shuffled once, by page_id and digest, which spreads a payload that a third of
-    the pages share as well as a page_id that many rows repeat.
+    and payloads are shuffled once, by page_id, digest and url, which spreads a payload that a third
+    of the pages share; rows that are equal in all three are one row until they are written.
     """
     spark = pages.sparkSession
     folder = folder or run_dir(spark, "warc")
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    # rows of one page_id and digest have the copy numbers after before
-    groups = keyed.filter("page_id is not null").select("page_id", "digest", F.octet_length("payload").alias("size")).groupBy("page_id", "digest").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    earlier = Window.partitionBy("page_id").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of one page_id, digest and url have the copy numbers after before
+    groups = keyed.select("page_id", "digest", "url", F.octet_length("payload").alias("size")).groupBy("page_id", "digest", "url").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    earlier = Window.partitionBy("page_id", F.when(F.col("page_id").isNull(), F.col("digest"))).orderBy("digest", "url").rowsBetween(Window.unboundedPreceding, -1)
     groups = stored(groups.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "payloads")
-    large = groups.filter(F.col("size") >= REVISIT_BYTES)
+    large = groups.filter((F.col("size") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     first = large.groupBy("digest").agg(F.min(F.struct("page_id", (F.col("before") + 1).alias("copy"))).alias("original"), F.sum("n").alias("rows")).filter("rows > 1")
-    facts = groups.join(first, "digest", "left").filter("before > 0 or original is not null").select("page_id", "digest", "before", "original")
-    counted = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    facts = groups.join(first, "digest", "left").filter("before > 0 or original is not null").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("url").alias("u"), "before", "original")
+    # rows that are equal in all three are one row with a count until they are written
+    whole = keyed.groupBy("page_id", "digest", "url").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")) & F.col("url").eqNullSafe(F.col("u"))
+    counted = whole.join(facts, same, "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     copy = (F.coalesce("before", F.lit(0)) + F.col("nth")).alias("copy")
-    planned = counted.join(facts, ["page_id", "digest"], "left").select("page_id", copy, "url", "payload", "digest", "original")
-    again = F.col("original") != F.struct("page_id", "copy")
+    planned = counted.select("page_id", copy, "url", "payload", "digest", "original")
+    again = F.col("page_id").isNotNull() & (F.col("original") != F.struct("page_id", "copy"))
     planned = planned.withColumn("original", F.when(again, F.col("original")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +207,14 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     )
     rows = stored(rows, "captures")
     found = rows.filter("record_type = 'response'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("other_bytes"))
-    return rows.join(found, "refers_id", "left").select("page_id", F.coalesce("own_bytes", "other_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "capture_id", "target_uri")
+    out = ["page_id", F.coalesce("own_bytes", "other_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "capture_id", "target_uri"]
+    again = rows.filter("record_type = 'revisit'").join(found, "refers_id", "left").select(*out)
+    alone = rows.filter("record_type = 'response'").select("*", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("long").alias("other_bytes"))
+    return alone.select(*out).union(again)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes the pages as archives, reads them back and assembles their captures."""
+    """Writes the pages as archives, reads them back and assembles their captures: one row per row
+    of pages, repeated rows and rows without page_id included; null html is an empty payload."""
     records = stored(read_archives(write_archives(pages, folder), with_payload=False), "records")
     return resolve_revisits(assemble(records, with_payload=False))
