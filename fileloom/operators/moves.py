@@ -2,42 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import dirname, extension, slashes
+from .storage import numbered, stored
 
-#: How the k-th file of one target name is called: stem, number, extension.
+#: How the k-th file of one target name is called (stem, number, extension), and how such a name is
+#: read: stem, number as written, extension.
 DIALECTS = {
-    "paren": lambda s, k, e: F.concat(s, F.lit(" ("), k.cast("string"), F.lit(")"), e),
-    "underscores": lambda s, k, e: F.concat(s, F.lit("__"), k.cast("string"), e),
-    "three_digits": lambda s, k, e: F.concat(s, F.lit("_"), F.lpad(k.cast("string"), 3, "0"), e),
-    "paren_from_two": lambda s, k, e: F.concat(s, F.lit(" ("), (k + 1).cast("string"), F.lit(")"), e),
+    "paren": (lambda s, k, e: F.concat(s, F.lit(" ("), k.cast("string"), F.lit(")"), e), r"(?s)^(.*) \(([1-9]\d{0,17})\)$"),
+    "underscores": (lambda s, k, e: F.concat(s, F.lit("__"), k.cast("string"), e), r"(?s)^(.*)__([1-9]\d{0,17})$"),
+    "underscore": (lambda s, k, e: F.concat(s, F.lit("_"), k.cast("string"), e), r"(?s)^(.*)_([1-9]\d{0,17})$"),
+    "three_digits": (lambda s, k, e: F.concat(s, F.lit("_"), F.format_string("%03d", k), e), r"(?s)^(.*)_(\d{3}|[1-9]\d{3,17})$"),
+    "paren_from_two": (lambda s, k, e: F.concat(s, F.lit(" ("), (k + 1).cast("string"), F.lit(")"), e), r"(?s)^(.*) \(([1-9]\d{0,17})\)$"),
 }
 
 
-def collision_safe(plan: DataFrame, taken: DataFrame | None = None, dialect: str = "underscores", rounds: int = 3) -> DataFrame:
-    """plan(src, dst) with dst made unique: of equal targets the first by src keeps its name, unless
-    taken(path) has it already, and the others are numbered. A number that is taken itself is
-    looked for again, a few rounds."""
-    base = plan.withColumn("want", F.col("dst"))
-    done = None
-    used = taken.select(F.col("path").alias("dst")).distinct() if taken is not None else None
-    for k in range(rounds):
-        ranked = base.withColumn("n", F.row_number().over(Window.partitionBy("want").orderBy("src")) - 1)
-        if used is not None:
-            held = used.withColumn("held", F.lit(1)).withColumnRenamed("dst", "want")
-            ranked = ranked.join(held, "want", "left").withColumn("n", F.col("n") + F.coalesce("held", F.lit(0)) + k).drop("held")
-        name = F.substring_index("want", "/", -1)
-        ext = extension(name)
-        head = F.substr(F.col("want"), F.lit(1), F.length("want") - F.length(ext))
-        out = ranked.withColumn("dst", F.when(F.col("n") == 0, F.col("want")).otherwise(DIALECTS[dialect](head, F.col("n"), ext))).drop("n")
-        if used is None:
-            return out.drop("want")
-        clash = out.join(used, "dst", "left_semi")
-        good = out.join(used, "dst", "left_anti")
-        done = good if done is None else done.unionByName(good)
-        base, used = clash, used.union(good.select("dst"))
-    return done.unionByName(base).drop("want")
+def _split(path: str) -> tuple[Column, Column]:
+    """A path without its extension, and the extension."""
+    ext = extension(F.substring_index(path, "/", -1))
+    return F.substr(F.col(path), F.lit(1), F.length(path) - F.length(ext)), ext
+
+
+def collision_safe(plan: DataFrame, taken: DataFrame | None = None, dialect: str = "underscores") -> DataFrame:
+    """plan(src, dst) with every dst unique and none of them in taken(path). Of equal targets the
+    first by src keeps the name, unless it is taken; the others, in order of src, get the smallest
+    numbers whose names are neither taken nor wanted by any row. Rows are told apart by src."""
+    shown, pattern = DIALECTS[dialect]
+    shift = 1 if dialect == "paren_from_two" else 0
+    rows = stored(plan.withColumnRenamed("dst", "want"), "plan")
+    wants = rows.groupBy("want").agg(F.min("src").alias("first"), F.count("*").alias("k"))
+    held = taken.select(F.col("path").alias("want")).distinct() if taken is not None else wants.limit(0).select("want")
+    wants = stored(wants.join(held.withColumn("held", F.lit(True)), "want", "left"), "wants")
+    keeps = F.col("held").isNull() & (F.col("src") == F.col("first"))
+    both = rows.join(wants.select("want", "first", "held"), "want")
+    done = both.filter(keeps).withColumn("dst", F.col("want")).drop("first", "held")
+    losers = numbered(both.filter(~keeps).drop("first", "held"), ["want"], ["src"], "key")
+    # numbers in use: names, wanted or taken, that read as a numbered form of a contested one
+    stem, ext = _split("name")
+    names = wants.select(F.col("want").alias("name")).union(held.select(F.col("want").alias("name"))).distinct().select(stem.alias("stem"), ext.alias("ext"))
+    used = names.filter(F.col("stem").rlike(pattern)).select(F.concat(F.regexp_extract("stem", pattern, 1), "ext").alias("want"), (F.regexp_extract("stem", pattern, 2).cast("long") - shift).alias("number")).filter("number > 0")
+    contested = wants.filter((F.col("k") > 1) | F.col("held").isNotNull()).select("want")
+    used = numbered(used.join(contested, "want", "left_semi").distinct(), ["want"], ["number"], "nth")
+    # the r-th free number is r and as many as are in use before it: its place among both
+    merged = losers.select("want", "key", F.lit(0).alias("kind"), "src").union(used.select("want", F.col("number") - F.col("nth"), F.lit(1), F.lit(None).cast("string")))
+    placed = numbered(merged, ["want"], ["key", "kind"], "number").filter("kind = 0")
+    head, tail = _split("want")
+    dealt = losers.drop("key").join(placed.select("want", "src", "number"), ["want", "src"]).withColumn("dst", shown(head, F.col("number"), tail)).drop("number")
+    return done.unionByName(dealt).select(*plan.columns)
 
 
 def quarantine(rows: DataFrame, root: str, quarantine_root: str, taken: DataFrame | None = None) -> DataFrame:
@@ -75,3 +87,12 @@ def renamed(rows: DataFrame, new_name) -> DataFrame:
     dst = F.when(dirname("path") != "", F.concat(dirname("path"), F.lit("/"), new_name)).otherwise(new_name)
     plan = rows.select(slashes("path").alias("src"), dst.alias("dst")).filter("dst is not null and src != dst")
     return collision_safe(plan, rows.select(slashes("path").alias("path")), "paren")
+
+
+def in_reverse(manifests: DataFrame, order: list[str]) -> DataFrame:
+    """Child manifests one after another, turned round: the last move of the last comes first, and
+    place counts from it."""
+    from .storage import numbered
+
+    rows = numbered(manifests.select(*order, F.col("dst").alias("src"), F.col("src").alias("dst")), [], order, "_forward")
+    return rows.select("src", "dst", (F.lit(rows.count() + 1) - F.col("_forward")).alias("place"))

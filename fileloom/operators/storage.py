@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +25,17 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """df with the number of each row within its keys, in the given order, from 1. Rows are ranged
+    over all partitions by keys and order together, so that a key with a third of all rows is
+    spread too; what meets in one place is a count for each key and partition."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    starts = ranged.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    within = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.sum("_rows").over(within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows")
+    return ranged.join(starts, [*keys, "_part"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)

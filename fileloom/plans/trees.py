@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.paths import dirname
+from ..functions.paths import basename, dirname, extension, stem as path_stem
 from ..functions.predicates import is_generic
 from ..operators import catalog, folders, ledger, moves, reconcile
 from .duplicates import _with
@@ -121,12 +121,17 @@ def _ledger(spark, sf):
 
 def q_quarantine(spark, sf):
     f = files(spark, sf).filter("folder = 'snapshot' and file_id % 3 <> 0")
-    taken = f.filter("file_id % 5 = 0").select(F.concat(F.lit("/q/"), F.substr("path", F.lit(11))).alias("path"))
+    rel = F.substr("path", F.lit(11))
+    own = f.filter("file_id % 5 = 0").withColumn("k", F.array(F.lit("")))
+    for n, used in ((10, ["__1"]), (20, ["__2", "__3"])):
+        own = own.withColumn("k", F.when(F.col("file_id") % n == 0, F.concat("k", F.array(*map(F.lit, used)))).otherwise(F.col("k")))
+    taken = own.select(F.explode("k").alias("k"), rel.alias("rel")).select(F.concat(F.lit("/q/"), path_stem("rel"), "k", extension(basename("rel"))).alias("path"))
     return moves.quarantine(f, "/snapshot", "/q", taken)
 
 
 def q_flatten(spark, sf):
-    return moves.flatten(files(spark, sf).withColumn("path", F.concat(F.lit("/x/"), F.col("file_id").cast("string"), F.lit("/"), F.col("source"), F.lit(".txt"))), "/all", "paren")
+    mark = F.when(F.col("file_id") % 5 == 0, F.lit(" (1)")).when(F.col("file_id") % 7 == 0, F.lit(" (3)")).otherwise("")
+    return moves.flatten(files(spark, sf).withColumn("path", F.concat(F.lit("/x/"), F.col("file_id").cast("string"), F.lit("/"), F.col("source"), mark, F.lit(".txt"))), "/all", "paren")
 
 
 def q_undo(spark, sf):
@@ -226,6 +231,10 @@ PAREN = f"pa as (select path, {base()} as name, {_TWIN} as twin, size, md5 from
 _CLEAN = rf"(case when regexp_matches({base()}, ' \(\d+\)(\.[^.]+)?$') then 10 else 0 end + case when regexp_matches({base()}, '(?i)-at-\d[\d\-t:_.z]*') then 5 else 0 end)"
 _PIN = f"regexp_matches({base()}, '(?i)-pinned\\.[^.]+$')"
 _REL = "substr(path, 11)"
+#: Rows p(src, want, size) with free numbers for all but the first of each wanted name.
+NUMBERED = """w as (select want, min(src) as f from p group by want), u as (select distinct regexp_extract(want, '{form}', 1) || '{ext}' as want, regexp_extract(want, '{form}', 2)::bigint as u from w where regexp_matches(want, '{form}')),
+uj as (select want, u - row_number() over (partition by want order by u) as g from u), l as (select p.*, row_number() over (partition by p.want order by p.src) as r from p join w on w.want = p.want where p.src <> w.f),
+o as (select src, want as dst, size from p where src in (select f from w where w.want = p.want) union all select src, regexp_replace(want, '{cut}', '') || '{left}' || (l.r + (select count(*) from uj where uj.want = l.want and uj.g < l.r)) || '{right}{ext}' as dst, size from l)"""
 SQL = {
     "jn07_by_path": _with(LOCAL_SQL, REMOTE_SQL, BYPATH) + "select rel, state from st",
     "jn09_reconcile_actions": _with(LOCAL_SQL, REMOTE_SQL, BYPATH, ACTIONS) + "select * from act",
@@ -257,8 +266,8 @@ SQL = {
     "jn32_paren_duplicates": _with(FILES_SQL, PAREN) + "select * from pd",
     "ag26_paren_totals": _with(FILES_SQL, PAREN) + "select count(*) as files, coalesce(sum(size),0)::bigint as bytes from pd",
     "ag25_pinned": _with(FILES_SQL) + f", p as (select *, bool_or({_PIN}) over (partition by md5) as has_pin, first_value(path) over (partition by md5 order by {_CLEAN}, length(path), -length({base()}), path) as keeper from files) select path, case when path <> keeper then 'quarantine' else 'rename' end as action, keeper, case when path = keeper then regexp_replace({base()}, '(?i)(-at-\\d{{4}}-\\d\\d-\\d\\dt[\\d_.]+z)?-pinned', '') end as clean_name, md5 from p where has_pin and (path <> keeper or {_PIN})",
-    "snk11_quarantine_plan": _with(FILES_SQL) + f"select path as src, '/q/' || case when file_id % 5 = 0 then {stem(_REL)} || '__1' || {ext(_REL)} else {_REL} end as dst, size from files where folder='snapshot' and file_id % 3 <> 0",
-    "wn10_flattened": _with(FILES_SQL) + ", f as (select '/x/' || file_id || '/' || source || '.txt' as src, source, size from files), r as (select *, row_number() over (partition by source order by src) - 1 as k from f) select src, '/all/' || source || case when k = 0 then '' else ' (' || k || ')' end || '.txt' as dst, size from r",
+    "snk11_quarantine_plan": _with(FILES_SQL) + f"select path as src, '/q/' || case when file_id % 5 = 0 then {stem(_REL)} || case when file_id % 20 = 0 then '__4' when file_id % 10 = 0 then '__2' else '__1' end || {ext(_REL)} else {_REL} end as dst, size from files where folder='snapshot' and file_id % 3 <> 0",
+    "wn10_flattened": _with(FILES_SQL) + ", p as (select '/x/' || file_id || '/' || source || m || '.txt' as src, '/all/' || source || m || '.txt' as want, size from (select *, case when file_id % 5 = 0 then ' (1)' when file_id % 7 = 0 then ' (3)' else '' end as m from files)), " + NUMBERED.format(form=r"^(.*) \(([1-9]\d*)\)\.txt$", ext=".txt", cut=r"\.txt$", left=" (", right=")") + " select * from o",
     "snk12_undo": _with(FILES_SQL) + "select file_id as seq, path as src, '/old' || path as dst from files where file_id % 5 in (0, 2) and file_id % 10 <> 0",
     "snk17_copy_plan": _with(FILES_SQL) + "select path as rel, size from files where not (file_id % 3 = 0 and file_id % 2 = 0)",
 }
