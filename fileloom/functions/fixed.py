@@ -97,3 +97,23 @@ OFFICE_TYPES = {"document": "docx", "spreadsheet": "xlsx", "presentation": "pptx
 # --- fixed values: thresholds
 SMALL_FILE = 52_428_800
 SAMPLE_BYTES = 262_144
+
+#: A folder's leading date and label, the numbered event that a title may begin with, and what a
+#: cut name ends in (fixed values).
+DATED_LABEL = r"^\s*([\d]{1,4}[.\-/][\d]{1,2}[.\-/][\d]{1,4}\s*[-–]?\s*(?:[A-Za-z ]{0,24}[-–]\s*)?)"
+NUMBERED_EVENT = r"(?i)^\d+(st|nd|rd|th)?\s*(webinar)?\s*[\(\-:]?\s*"
+CUT_END = r"[_\-\s]+$"
+
+#: Media types by extension (fixed values).
+MEDIA_TYPES = {
+    ".txt": "text/plain", ".html": "text/html", ".htm": "text/html", ".csv": "text/csv", ".css": "text/css", ".xml": "text/xml", ".md": "text/markdown", ".py": "text/x-python",
+    ".js": "text/javascript", ".json": "application/json", ".pdf": "application/pdf", ".zip": "application/zip", ".tar": "application/x-tar", ".doc": "application/msword",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".xls": "application/vnd.ms-excel",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", ".ppt": "application/vnd.ms-powerpoint",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", ".rtf": "application/rtf",
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".webp": "image/webp", ".bmp": "image/bmp", ".tiff": "image/tiff", ".tif": "image/tiff",
+    ".svg": "image/svg+xml", ".heic": "image/heic", ".mp3": "audio/mpeg", ".wav": "audio/x-wav", ".mp4": "video/mp4", ".mov": "video/quicktime", ".avi": "video/x-msvideo",
+    ".mkv": "video/x-matroska", ".webm": "video/webm", ".mpg": "video/mpeg", ".mpeg": "video/mpeg", ".wmv": "video/x-ms-wmv",
+}
+#: Folders of an extracted account that are never laid out (fixed values).
+SKIPPED_CHILDREN = ["trash"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed
@@ -87,35 +89,55 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 
+def _fields(name: Column, values: dict[str, Column], separator: str, spaces: str) -> dict:
+    """What a template may name, each as an expression of the file's name and the values at hand."""
+    given = lambda key, default: F.coalesce(values[key], default) if key in values else default
+    tags = values.get("tags", F.array().cast("array<string>"))
+    kind = values.get("mime", F.lit(None).cast("string"))
+    return {
+        "date": lambda: values.get("date", F.lit("")),
+        "category": lambda: given("category", F.lit("unknown")),
+        "description": lambda: sanitised_name(F.substring(given("description", F.lit("")), 1, 50), spaces),
+        "suggested_name": lambda: sanitised_name(given("suggested_name", stem(name)), spaces),
+        "tags": lambda: sanitised_name(F.array_join(F.slice(tags, 1, 3), separator), spaces),
+        "ext": lambda: F.ltrim(F.lower(extension(name)), F.lit(".")),
+        "original": lambda: stem(name),
+        "mime": lambda: F.when(kind.contains("/"), F.substring_index(kind, "/", 1)).otherwise("unknown"),
+        "hash": lambda: F.substring(given("hash", F.lit("00000000")), 1, 8),
+        "counter": lambda: F.lit("001"),
+    }
+
+
+def template_parts(template: str, known: set[str]) -> list[tuple[str, str]]:
+    """A template as ('text' or 'field', value) in order; braces around anything unknown are text."""
+    found: list[tuple[str, str]] = []
+    for k, piece in enumerate(re.split(r"\{(" + "|".join(sorted(known)) + r")\}", template)):
+        if piece:
+            found.append(("field" if k % 2 else "text", piece))
+    return found
+
+
+_CASES = {"lower": F.lower, "upper": F.upper, "title": title_case}
+
+
 def templated(
     name: Column, template: str, values: dict[str, Column], separator: str = "_", case: str = "lower", max_length: int = 255, spaces: str = "_"
 ) -> Column:
     """A new name from a template of {date} {category} {description} {suggested_name} {tags} {ext}
-    {original} {mime} {hash} {counter}; missing values take their defaults."""
-    import re
-
-    ext, own = F.lower(extension(name)), stem(name)
-    fill = {
-        "date": values.get("date", F.lit("")),
-        "category": F.coalesce(values.get("category", F.lit(None)), F.lit("unknown")),
-        "description": sanitised_name(F.substring(F.coalesce(values.get("description", F.lit(None)), F.lit("")), 1, 50), spaces),
-        "suggested_name": sanitised_name(F.coalesce(values.get("suggested_name", F.lit(None)), own), spaces),
-        "tags": sanitised_name(F.array_join(F.slice(F.coalesce(values.get("tags", F.lit(None)), F.array().cast("array<string>")), 1, 3), separator), spaces),
-        "ext": F.ltrim(ext, F.lit(".")),
-        "original": own,
-        "mime": F.when(values.get("mime", F.lit(None)).contains("/"), F.substring_index(values.get("mime", F.lit(None)), "/", 1)).otherwise("unknown"),
-        "hash": F.substring(F.coalesce(values.get("hash", F.lit(None)), F.lit("00000000")), 1, 8),
-        "counter": F.lit("001"),
-    }
-    out: Column = F.lit(template)
-    for key, value in fill.items():
-        if f"{{{key}}}" in template:
-            out = F.replace(out, F.lit(f"{{{key}}}"), value)
-    out = {"lower": F.lower, "upper": F.upper, "title": title_case}.get(case, lambda c: c)(out)
-    out = F.replace(out, F.lit(" "), F.lit(spaces))
-    if separator:
-        out = F.regexp_replace(out, re.escape(separator) + "{2,}", separator)
-    out = F.btrim(out, F.lit(separator + " ._-"))
-    if "{ext}" not in template:
-        out = F.when(F.endswith(out, ext), out).otherwise(F.concat(out, ext))
-    return F.when(F.length(out) > max_length, F.concat(F.substr(out, F.lit(1), F.lit(max_length - 1) - F.length(ext)), ext)).otherwise(out)
+    {original} {mime} {hash} {counter}; missing values take their defaults. The name keeps its
+    extension: where the template doesn't place it, it is added, and a cut name ends in it."""
+    fields = _fields(name, values, separator, spaces)
+    parts = template_parts(template, set(fields))
+    joined = F.concat(*(fields[v]() if kind == "field" else F.lit(v) for kind, v in parts)) if parts else F.lit("")
+
+    def normal(made: Column) -> Column:
+        spaced = F.replace(_CASES.get(case, lambda c: c)(made), F.lit(" "), F.lit(spaces))
+        single = F.regexp_replace(spaced, f"(?:{re.escape(separator)}){{2,}}", separator) if separator else spaced
+        return F.btrim(single, F.lit(separator + " ._-"))
+
+    def ended(made: Column) -> Column:
+        ext = F.lower(extension(name))
+        whole = made if ("field", "ext") in parts else F.concat(made, F.when(F.endswith(made, ext), F.lit("")).otherwise(ext))
+        return let(whole, lambda w: F.when(F.length(w) <= max_length, w).otherwise(F.concat(F.substr(w, F.lit(1), F.lit(max_length - 1) - F.length(ext)), ext)))
+
+    return let(normal(joined), ended)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import basename, contains_any, slashes
 from ..functions.predicates import clean_score, is_junk
@@ -61,18 +61,30 @@ def copies(files: DataFrame) -> DataFrame:
     return own.withColumns({"size": F.coalesce("size", F.lit(0)), "mtime": F.coalesce("mtime", F.lit(0.0))})
 
 
-def choose(files: DataFrame, rule: KeeperRule, overrides: DataFrame | None = None) -> DataFrame:
-    """Per md5: keeper, ambiguous (several copies share all sort keys), ai_resolved (an override
-    names a copy of the group, and so is the keeper)."""
+def _best(files: DataFrame, rule: KeeperRule) -> DataFrame:
+    """Per md5: keeper, ambiguous, copies, and whether copies lie in either tree. Copies are counted
+    by their sort keys first, so that a group of any size is a few rows when it meets."""
     keyed = files.withColumn("k", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort_keys(rule))]))
-    best = keyed.groupBy("md5").agg(F.min(F.struct("k", "path")).alias("best"))
-    tied = keyed.join(best.select("md5", F.col("best.k").alias("bk")), "md5").filter("k = bk").groupBy("md5").agg(F.count("*").alias("tied"))
-    chosen = best.join(tied, "md5").select("md5", F.col("best.path").alias("keeper"), (F.col("tied") > 1).alias("ambiguous"), F.lit(False).alias("ai_resolved"))
+    spans = [F.bool_or(F.col("folder") == f).alias(c) for f, c in (("organized", "o"), ("snapshot", "s"))]
+    level = keyed.groupBy("md5", "k").agg(F.min("path").alias("path"), F.count("*").alias("n"), *spans)
+    per = level.groupBy("md5").agg(F.min(F.struct("k", "path", "n")).alias("best"), F.sum("n").alias("copies"), F.bool_or("o").alias("o"), F.bool_or("s").alias("s"))
+    return per.select("md5", F.col("best.path").alias("keeper"), (F.col("best.n") > 1).alias("ambiguous"), "copies", "o", "s")
+
+
+def _overridden(chosen: DataFrame, files: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """chosen with the keepers that overrides name, where these are copies of their groups."""
     if overrides is None:
-        return chosen
-    valid = files.join(overrides.select("md5", F.col("keeper").alias("path")), ["md5", "path"], "left_semi").select("md5", F.col("path").alias("override")).distinct()
+        return chosen.withColumn("ai_resolved", F.lit(False))
+    valid = files.join(overrides.select("md5", F.col("keeper").alias("path")), ["md5", "path"], "left_semi").groupBy("md5").agg(F.min("path").alias("override"))
     named = F.col("override").isNotNull()
-    return chosen.join(valid, "md5", "left").select("md5", F.coalesce("override", "keeper").alias("keeper"), (F.col("ambiguous") & ~named).alias("ambiguous"), named.alias("ai_resolved"))
+    out = chosen.join(valid, "md5", "left").withColumns({"keeper": F.coalesce("override", "keeper"), "ambiguous": F.col("ambiguous") & ~named, "ai_resolved": named})
+    return out.drop("override")
+
+
+def choose(files: DataFrame, rule: KeeperRule, overrides: DataFrame | None = None) -> DataFrame:
+    """Per md5: keeper, ambiguous (several copies share all sort keys), ai_resolved (an override
+    names a copy of the group, and so is the keeper)."""
+    return _overridden(_best(files, rule), files, overrides).select("md5", "keeper", "ambiguous", "ai_resolved")
 
 
 def marked(files: DataFrame, rule: KeeperRule = KeeperRule(), cross_only: bool = False, snapshot_only: bool = False, overrides: DataFrame | None = None) -> DataFrame:
@@ -81,12 +93,14 @@ def marked(files: DataFrame, rule: KeeperRule = KeeperRule(), cross_only: bool =
     snapshot_only: only snapshot copies with an organized copy go, and the keeper is organized.
     """
     own = copies(files)
-    spans = own.groupBy("md5").agg(F.count("*").alias("n"), F.bool_or(F.col("folder") == "organized").alias("o"), F.bool_or(F.col("folder") == "snapshot").alias("s")).filter("n > 1")
-    if cross_only or snapshot_only:
-        spans = spans.filter("o and s")
-    rows = own.join(spans.select("md5", (F.col("o") & F.col("s")).alias("cross_folder")), "md5")
-    pool = rows.filter("folder = 'organized'") if snapshot_only else rows
-    rows = rows.join(choose(pool, rule, overrides), "md5")
+    per = _best(own, rule)
+    pool = own
+    if snapshot_only:
+        pool = own.filter("folder = 'organized'")
+        per = _best(pool, rule).select("md5", "keeper", "ambiguous").join(per.select("md5", "copies", "o", "s"), "md5")
+    per = per.filter("copies > 1 and o and s" if cross_only or snapshot_only else "copies > 1")
+    per = _overridden(per, pool, overrides).withColumn("cross_folder", F.col("o") & F.col("s")).drop("copies", "o", "s")
+    rows = own.join(per, "md5")
     keeper = F.col("path") == F.col("keeper")
     gone = F.col("folder") == "snapshot" if snapshot_only else ~keeper
     return rows.withColumn("is_keeper", keeper).withColumn("removable", gone)
@@ -136,3 +150,14 @@ def page(rows: DataFrame, contains: str | None = None, offset: int = 0, limit: i
 def one_keeper_each(rows: DataFrame) -> DataFrame:
     """Groups that break the rule that exactly one copy is the keeper; empty if all is well."""
     return rows.groupBy("md5").agg(F.count_if("is_keeper").alias("keepers")).filter("keepers != 1")
+
+
+def groups_within(rows: DataFrame, part: str) -> DataFrame:
+    """Groups whose keeper or a removable copy has the text in its path, case and slashes aside."""
+    hit = rows.filter((F.col("is_keeper") | F.col("removable")) & contains_any("path", [part])).select("md5").distinct()
+    return groups(rows).join(hit, "md5", "left_semi")
+
+
+def all_but_keeper(rows: DataFrame, spared: Column) -> DataFrame:
+    """The copies that a bulk selection takes: all but each group's keeper, and none that is spared."""
+    return rows.filter(~F.col("is_keeper") & ~spared)

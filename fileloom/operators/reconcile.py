@@ -15,12 +15,6 @@ from ..functions.predicates import has_revision
 from .storage import stored
 
 LEAST_PREFIX = 10
-COLUMNS = ["action", "rel", "from_rel", "id", "via"]
-
-
-def _action(df: DataFrame, action: str, rel: Column, from_rel: Column | None = None, id: Column | None = None, via: str | None = None) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return df.select(F.lit(action).alias("action"), rel.alias("rel"), (from_rel if from_rel is not None else none).alias("from_rel"), (id if id is not None else F.lit(None)).cast("long").alias("id"), (F.lit(via) if via else none).alias("via"))
 
 
 def by_path(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -37,11 +31,15 @@ def by_path(local: DataFrame, remote: DataFrame) -> DataFrame:
     return both.withColumn("state", state)
 
 
-def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], left_order: str, right_order: str) -> DataFrame:
-    """Pairs of rows with equal keys, first with first, second with second, in the given orders."""
-    a = left.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(left_order)))
-    b = right.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(right_order)))
-    return a.join(b, [*keys, "_k"]).drop("_k")
+def one_to_one(rows: DataFrame, keys: list[str], takes_part: Column) -> DataFrame:
+    """rows(side, rel, id, ...) with partner and partner_id: of rows with equal keys the first of one
+    side by rel goes with the first of the other, the second with the second; null without one."""
+    own = rows.withColumn("_in", takes_part)
+    own = own.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "side", "_in").orderBy("rel")))
+    pair = Window.partitionBy(*keys, "_in", "_k")
+    other = lambda side, c: F.max(F.when((F.col("side") == side) & F.col("_in"), F.col(c))).over(pair)
+    mine = F.col("side") == "remote"
+    return own.withColumns({"partner": F.when(F.col("_in"), F.when(mine, other("local", "rel")).otherwise(other("remote", "rel"))), "partner_id": F.when(F.col("_in") & ~mine, other("remote", "id"))}).drop("_in", "_k")
 
 
 def prefix_pairs(remote: DataFrame, local: DataFrame) -> DataFrame:
@@ -62,35 +60,38 @@ def prefix_pairs(remote: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def actions(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """One row per decision: add, delete, move, update, reexport, version_artifact or skip."""
-    state = stored(by_path(local, remote), "state")
-    direct = state.filter(F.col("state").isin("reexport", "update", "skip"))
-    orphans = stored(state.filter("state = 'local_orphan'").select("rel", F.col("local_size").alias("size"), F.col("local_md5").alias("md5"), export_path("rel").alias("norm"), has_revision(basename("rel")).alias("stamped")), "orphans")
-    wanted = stored(state.filter("state = 'drive_orphan'").select("rel", "id", F.col("remote_size").alias("size"), F.col("remote_md5").alias("md5"), export_path("rel").alias("norm")), "wanted")
-    current = remote.select(export_path("rel").alias("norm")).union(local.filter(~has_revision(basename("rel"))).select(export_path("rel").alias("norm"))).distinct()
-    artifacts = stored(orphans.filter("stamped").join(current, "norm", "left_semi"), "artifacts")
-    orphans = orphans.join(artifacts.select("rel"), "rel", "left_anti")
-
-    named = stored(one_to_one(wanted.select("norm", F.col("rel").alias("to_rel"), "id"), orphans.select("norm", F.col("rel").alias("from_rel")), ["norm"], "to_rel", "from_rel").select("to_rel", "from_rel", "id"), "named")
-    wanted1 = wanted.join(named.select(F.col("to_rel").alias("rel")), "rel", "left_anti")
-    orphans1 = orphans.join(named.select(F.col("from_rel").alias("rel")), "rel", "left_anti")
-    cut = stored(prefix_pairs(wanted1, orphans1).join(wanted1.select(F.col("rel").alias("to_rel"), "id"), "to_rel"), "cut")
-    wanted2 = stored(wanted1.join(cut.select(F.col("to_rel").alias("rel")), "rel", "left_anti"), "wanted")
-    orphans2 = stored(orphans1.join(cut.select(F.col("from_rel").alias("rel")), "rel", "left_anti"), "orphans")
-    sized = orphans2.join(wanted2.select("size").distinct(), "size", "left_semi").filter("md5 != ''")
-    hashed = stored(one_to_one(wanted2.filter("md5 != ''").select("md5", F.col("rel").alias("to_rel"), "id"), sized.select("md5", F.col("rel").alias("from_rel")), ["md5"], "to_rel", "from_rel").select("to_rel", "from_rel", "id"), "hashed")
-    adds = wanted2.join(hashed.select(F.col("to_rel").alias("rel")), "rel", "left_anti")
-    deletes = orphans2.join(hashed.select(F.col("from_rel").alias("rel")), "rel", "left_anti")
-    rel, to, frm, id_ = F.col("rel"), F.col("to_rel"), F.col("from_rel"), F.col("id")
-    out = direct.select(F.col("state").alias("action"), "rel", F.lit(None).cast("string").alias("from_rel"), F.col("id").cast("long").alias("id"), F.lit(None).cast("string").alias("via"))
-    for part in (_action(artifacts, "version_artifact", rel), _action(named, "move", to, frm, id_, "name"), _action(cut, "move", to, frm, id_, "prefix"), _action(hashed, "move", to, frm, id_, "hash"), _action(adds, "add", rel, None, id_), _action(deletes, "delete", rel)):
-        out = out.unionByName(part)
-    return out
-
-
-def safe_to_apply(local: DataFrame, remote: DataFrame) -> bool:
-    """False where an empty remote listing would turn every local file into a deletion."""
-    return not remote.isEmpty() or local.isEmpty()
+    """One row per decision: add, delete, move, update, reexport, version_artifact or skip.
+
+    Whatever has no equal path on the other side stands in one table of both sides. It is paired by
+    normal name, then by cut names, then by content; each step leaves what it paired aside. The
+    table is stored where a step joins it with itself, and nowhere else.
+    """
+    state = by_path(local, remote).withColumns({"norm": export_path("rel"), "stamped": has_revision(basename("rel"))})
+    state = stored(state, "state")
+    lone = F.col("state").isin("local_orphan", "drive_orphan")
+    current = state.filter(F.col("id").isNotNull() | ~F.col("stamped")).select("norm").distinct().withColumn("current", F.lit(True))
+    mine = F.col("state") == "local_orphan"
+    both = state.filter(lone).select(F.when(mine, "local").otherwise("remote").alias("side"), "rel", "id", F.when(mine, F.col("local_size")).otherwise(F.col("remote_size")).alias("size"), F.coalesce(F.when(mine, F.col("local_md5")).otherwise(F.col("remote_md5")), F.lit("")).alias("md5"), "norm", "stamped")
+    old = (F.col("side") == "local") & F.col("stamped") & F.col("current").isNotNull()
+    both = both.join(current, "norm", "left").withColumn("artifact", old).drop("current")
+    named = stored(one_to_one(both, ["norm"], ~F.col("artifact")), "named")
+    left = named.filter("partner is null and not artifact")
+    cut = prefix_pairs(left.filter("side = 'remote'"), left.filter("side = 'local'"))
+    cut = cut.select(F.explode(F.array(F.struct(F.lit("remote").alias("side"), F.col("to_rel").alias("rel"), F.col("from_rel").alias("cut")), F.struct(F.lit("local").alias("side"), F.col("from_rel").alias("rel"), F.col("to_rel").alias("cut")))).alias("c")).select("c.*")
+    left = left.drop("partner", "partner_id").join(cut, ["side", "rel"], "left")
+    known = F.max(F.when((F.col("side") == "remote") & F.col("cut").isNull(), 1)).over(Window.partitionBy("size"))
+    left = left.withColumn("known", F.coalesce(known, F.lit(0)))
+    by_content = F.col("cut").isNull() & (F.col("md5") != "") & ((F.col("side") == "remote") | (F.col("known") == 1))
+    left = one_to_one(left, ["md5"], by_content)
+
+    none = F.lit(None).cast("string")
+    direct = state.filter(~lone).select(F.col("state").alias("action"), "rel", none.alias("from_rel"), F.col("id").cast("long").alias("id"), none.alias("via"))
+    early = named.filter("artifact or (side = 'remote' and partner is not null)")
+    early = early.select(F.when(F.col("artifact"), "version_artifact").otherwise("move").alias("action"), "rel", F.col("partner").alias("from_rel"), F.col("id").cast("long").alias("id"), F.when(F.col("artifact"), none).otherwise("name").alias("via"))
+    late = left.filter("side = 'remote' or (cut is null and partner is null)")
+    gone, frm = F.col("side") == "local", F.coalesce("cut", "partner")
+    late = late.select(F.when(gone, "delete").when(frm.isNotNull(), "move").otherwise("add").alias("action"), "rel", frm.alias("from_rel"), F.col("id").cast("long").alias("id"), F.when(F.col("cut").isNotNull(), "prefix").when(F.col("partner").isNotNull(), "hash").alias("via"))
+    return direct.unionByName(early).unionByName(late)
 
 
 def counts(decided: DataFrame, *by: str) -> DataFrame:
@@ -110,3 +111,15 @@ def since(remote: DataFrame, baseline: str) -> DataFrame:
     """Delta listing: rows modified after the baseline, split by trashed."""
     fresh = remote.filter(F.col("modified") > F.lit(baseline).cast("timestamp"))
     return fresh.withColumn("kind", F.when(F.col("trashed"), "deleted").otherwise("changed"))
+
+
+def guarded(decided: DataFrame, listed: DataFrame) -> DataFrame:
+    """Decisions that are safe to apply: of a source that the remote listing(source) has nothing of,
+    deletions are held back, as the listing may have failed."""
+    return decided.join(listed.select("source").distinct().withColumn("_listed", F.lit(True)), "source", "left").filter("action != 'delete' or _listed").drop("_listed")
+
+
+def entry_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Entries of each folder before and after a run, and their difference."""
+    both = before.join(after, "folder", "full").select("folder", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+    return both.withColumn("delta", F.col("after") - F.col("before"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators.storage import stored
+
 
 def csv_listing(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The named columns as text, whichever of them the files have; a column that a file lacks is
@@ -29,15 +31,18 @@ def latest(runs: DataFrame, key: str, at: str = "updated_at") -> DataFrame:
     return runs.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def tree_below(folders: DataFrame, parent: str, depth: int = 25) -> DataFrame:
-    """folders(id, name, parent_id) below parent, with rel_dir: one join per level, as far as there
-    are any; each level is a table of its own, joined by key."""
-    level = folders.filter(F.col("parent_id") == parent).select("id", F.col("name").alias("rel_dir"))
-    out = level
-    for _ in range(depth - 1):
+def tree_below(folders: DataFrame, parent: str, depth: int | None = None) -> DataFrame:
+    """folders(id, name, parent_id) below parent, with rel_dir: one stored join per level, as far as
+    there are any, or down to the depth that the caller asks for. More levels than folders come
+    from a cycle, and are an error."""
+    own = stored(folders.select("id", "name", "parent_id"), "folders")
+    most = own.count()
+    level = stored(own.filter(F.col("parent_id") == parent).select("id", F.col("name").alias("rel_dir")), "level")
+    out, k = level, 1
+    while (depth is None or k < depth) and not level.isEmpty():
+        if k > most:
+            raise ValueError("folders make a cycle")
         above = level.select(F.col("id").alias("parent_id"), F.col("rel_dir").alias("above"))
-        level = folders.join(above, "parent_id").select("id", F.concat_ws("/", "above", "name").alias("rel_dir"))
-        if level.isEmpty():
-            break
-        out = out.union(level)
+        level = stored(own.join(above, "parent_id").select("id", F.concat_ws("/", "above", "name").alias("rel_dir")), "level")
+        out, k = out.union(level), k + 1
     return out
