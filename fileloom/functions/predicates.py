@@ -136,3 +136,10 @@ def risk_threshold(action: Column | str) -> Column:
 
 def auto_approved(is_change: Column, confidence: Column, action: Column | str) -> Column:
     return is_change & (confidence >= risk_threshold(action))
+
+
+def mime_type(name: Column | str) -> Column:
+    """The media type that a name's extension stands for; unknown ones are octet streams."""
+    ext = F.lower(extension(basename(name)))
+    known = F.create_map(*(F.lit(x) for pair in fixed.MEDIA_TYPES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, ext), F.lit("application/octet-stream"))

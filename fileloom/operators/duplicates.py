@@ -98,3 +98,18 @@ def needs_hash(listing: DataFrame, index: DataFrame, tolerance: float | None = 1
     have = index.select(F.col("path").alias("p"), F.col("size").alias("s"), F.col("mtime").alias("m"))
     near = F.col("mtime") == F.col("m") if tolerance is None else F.abs(F.col("mtime") - F.col("m")) < tolerance
     return listing.join(have, (F.col("path") == F.col("p")) & (F.col("size") == F.col("s")) & near, "left_anti")
+
+
+def advisory(files: DataFrame, least: int, limit: int, key: str = "md5") -> DataFrame:
+    """Groups to ask about: the first file's size is at least so large, most wasted first."""
+    first = files.groupBy(key).agg(F.min_by("size", "file_id").alias("first_size")).filter(F.col("first_size") >= least)
+    return duplicate_groups(files, key).join(first, key, "left_semi").orderBy(F.desc("total_wasted_space"), key).limit(limit)
+
+
+def locations(files: DataFrame, most: int, key: str = "md5") -> DataFrame:
+    """The first folders, by name, that hold copies of each group. Folders of a group are made
+    distinct, and cut to the first, before they meet in one row."""
+    folder = F.regexp_replace(F.translate("path", "\\", "/"), "/[^/]*$", "")
+    distinct = files.join(duplicate_groups(files, key).select(key), key, "left_semi").select(key, folder.alias("folder")).distinct()
+    ranked = distinct.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("folder"))).filter(F.col("r") <= most)
+    return ranked.groupBy(key).agg(F.sort_array(F.collect_list("folder")).alias("locations"))

@@ -22,6 +22,40 @@ def sentences(items: DataFrame) -> DataFrame:
     return per.select("file_id", "seg", F.coalesce("start_time", F.lit(0.0)).alias("start_time"), F.coalesce("end_time", F.lit(0.0)).alias("end_time"), F.btrim(F.array_join(F.col("parts.t"), "")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")).filter("text != ''")
 
 
+SPEECH = "results struct<items: array<struct<type: string, start_time: string, end_time: string, alternatives: array<struct<content: string, confidence: string>>>>>"
+
+
+def spoken_items(answers: DataFrame) -> DataFrame:
+    """answers(file_id, json) of a speech service to the items that sentences() takes. An answer
+    that is no JSON, or has no items, gives none; an item's first alternative counts."""
+    items = answers.select("file_id", F.posexplode(F.from_json("json", SPEECH)["results"]["items"]).alias("seq", "i"))
+    first = F.get("i.alternatives", F.lit(0))
+    number = lambda c: F.coalesce(F.expr(f"try_cast({c} as double)"), F.lit(0.0))
+    return items.withColumn("first", first).select("file_id", "seq", F.col("i.type").alias("kind"), F.col("first.content").alias("content"), number("i.start_time").alias("start_time"), number("i.end_time").alias("end_time"), number("first.confidence").alias("confidence"))
+
+
+def with_files(segments: DataFrame, files: DataFrame) -> DataFrame:
+    """Segments with the path of their file; those of unknown files go."""
+    return segments.join(files.select("file_id", "file_path"), "file_id")
+
+
+def ordered_hits(hits: DataFrame, limit: int) -> DataFrame:
+    return hits.orderBy("file_path", "start_time").limit(limit)
+
+
+def bundle(files: DataFrame, segments: DataFrame, topics: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Per file all of its layers as sorted arrays: transcript and topics by time, keywords by
+    frequency. One row a file is what is asked for; a file without a layer has an empty one."""
+
+    def layer(rows: DataFrame, name: str, *fields) -> DataFrame:
+        return rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    out = files
+    for rows, name, fields in ((segments, "transcript", ["start_time", "end_time", "text"]), (topics, "topics", ["start_time", "topic", "confidence"]), (keywords, "keywords", [(-F.col("frequency")).alias("rank"), "keyword", "start_time"])):
+        out = out.join(layer(rows, name, *fields), "file_id", "left")
+    return out
+
+
 def with_speakers(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     """The first speaker interval (by ord) that holds a segment's midpoint; null without one."""
     mid = segments.withColumn("mid", (F.col("start_time") + F.col("end_time")) / 2)
