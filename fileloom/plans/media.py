@@ -86,7 +86,8 @@ def q_clips(spark, sf):
 
 def q_layers(spark, sf):
     t = _segments(spark, sf).filter("text like '%the%'").select("file_id", "start_time", "role")
-    return media.layers(t, _topics(spark, sf).select("file_id", "start_time", "topic"), t.limit(0).select("file_id", "start_time")).select("type", "file_id", "start_time", "role", "topic")
+    seen = table(spark, sf, "documents").filter("doc_id % 3 = 0").select((F.col("doc_id") % 50).alias("file_id"), (F.col("doc_id") * 2.5).alias("start_time"))
+    return media.layers(t, _topics(spark, sf).select("file_id", "start_time", "topic"), seen).select("type", "file_id", "start_time", "role", "topic")
 
 
 def q_norms(spark, sf):
@@ -219,7 +220,7 @@ _P = "(case doc_id % 3 when 0 then 'My Drive/' when 1 then 'Main/' else '' end |
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double))"
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))"
 SQL = {
-    "ag21_sentences": """with w as (select doc_id as file_id, regexp_extract_all(substr(text, 1, 400), '([\\p{L}]+|[.,])', 1) as l from documents), i as (select file_id, unnest(range(0, len(l))) as seq, unnest(l) as content from w),
+    "ag21_sentences": """with w as (select doc_id as file_id, regexp_extract_all(text, '([\\p{L}]+|[.,])', 1) as l from documents), i as (select file_id, unnest(range(0, len(l))) as seq, unnest(l) as content from w),
 m as (select *, content in ('.', ',') as p, coalesce(sum((content = '.')::int) over (partition by file_id order by seq rows between unbounded preceding and 1 preceding), 0) as seg from i),
 g as (select file_id, seg, min(case when not p then seq*0.5+1 end) as st, max(case when not p then seq*0.5+1.25 end) as en, trim(string_agg(case when p then content else ' ' || content end, '' order by seq)) as text, avg(case when not p then (seq % 4)/4.0 end) as cf from m group by file_id, seg)
 select file_id, seg::bigint as seg, coalesce(st, 0)::double as start_time, coalesce(en, 0)::double as end_time, text, round(coalesce(cf, 0), 6)::double as confidence from g where text <> ''""",
@@ -233,16 +234,16 @@ select file_id, chunk, min(start_time) as start_time, max(end_time) as end_time,
 s as (select count(*) as docs, avg(n) as mean, count(*) filter (where a>0) as da, count(*) filter (where b>0) as db from c), f as (select id, greatest(ln((docs-da+0.5)/(da+0.5)),1e-6)*a*2.2/(a+1.2*(0.25+0.75*n/mean)) + greatest(ln((docs-db+0.5)/(db+0.5)),1e-6)*b*2.2/(b+1.2*(0.25+0.75*n/mean)) as s from c, s where a>0 and b>0)
 select id, round(s, 5) as score from f order by round(s, 9) desc, id limit 40""",
     "so09_topic_search": f"with {_MF}, {_KW}, r as (select 0 as section, doc_id % 50 as file_id, source || ' topic ' || (doc_id % 7) as topic, (doc_id*1.0)::double as start_time, ((doc_id % 10)/10.0)::double as weight from documents union all select 1, file_id, keyword, start_time, frequency::double from kf) select section, file_id, topic, start_time, weight from r where topic ilike '%TOPIC 3%' and file_id in (select file_id from mf) order by section, weight desc, file_id, topic, start_time limit 30",
-    "jn21_visual_search": f"with {_MF} select doc_id % 50 as file_id, (doc_id*2.5)::double as timestamp from documents where (contains(lower(substr(text,1,60)), '50%_') or doc_id % 3 = 0) and doc_id % 50 in (select file_id from mf) order by 2, 1 limit 40",
+    "jn21_visual_search": f"with {_MF} select doc_id % 50 as file_id, (doc_id*2.5)::double as timestamp from documents where (contains(lower(text), '50%_') or doc_id % 3 = 0) and doc_id % 50 in (select file_id from mf) order by 2, 1 limit 40",
     "fn44_scenes": "with s as (select event_id % 40 as file_id, (event_id // 40)*1000.0 as st, (event_id // 40)*1000.0 + event_id % 517 as en from events where event_id % 517 > 0), p as (select file_id, st, en, greatest(ceil((en-st)/120.0),1)::int as n, unnest(range(0, greatest(ceil((en-st)/120.0),1)::int)) as k from s), q as (select file_id, (st+k*120.0)::double as start_time, least(st+(k+1)*120.0, en)::double as end_time, n > 1 as forced_split from p) select *, row_number() over (partition by file_id order by start_time) - 1 as scene_index from q",
     "fn43_keyframes": "with f as (select doc_id as file_id, least(ceil(n_chars/4.0/30.0), 100)::int as n from documents where n_chars > 0), g as (select file_id, unnest(range(0, n)) as frame from f) select file_id, frame, (frame*30.0)::double as timestamp from g",
     "fn45_clips": f"with {_SEG} select file_id, seg, greatest(start_time-0.5, 0)::double as clip_start, least(end_time+0.5, 60.0)::double as clip_end, start_time + least(1.0, 0.1*(end_time-start_time)) as board from sg",
-    "set08_layers": f"with {_SEG} select 'transcript' as type, file_id, start_time, role, null::varchar as topic from sg where text like '%the%' union all select 'topic', doc_id % 50, (doc_id*1.0)::double, null, source || ' topic ' || (doc_id % 7) from documents",
+    "set08_layers": f"with {_SEG} select 'transcript' as type, file_id, start_time, role, null::varchar as topic from sg where text like '%the%' union all select 'topic', doc_id % 50, (doc_id*1.0)::double, null, source || ' topic ' || (doc_id % 7) from documents union all select 'visual', doc_id % 50, (doc_id*2.5)::double, null, null from documents where doc_id % 3 = 0",
     "fn47_norms": f"select vec_id, round({_NORM}, 4) as norm from embeddings",
     "so10_similar": f"with u as (select vec_id, embedding, {_NORM} as n from embeddings), c as (select a.vec_id as query_id, b.vec_id, round({_DOT}/(a.n*b.n), 6) as s from u a, u b where a.vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from c where s >= 0.3) select query_id, rank, vec_id, round(s, 4) as score from r where rank <= 5",
     "so11_tags": "with f as (select doc_id as frame_id, round(((((doc_id % 3 = 0)::int + (doc_id % 2 = 0)::int)/2.0) + (doc_id % 5 = 0)::int + (1 + (doc_id % 7 = 0)::int)/2.0 + (doc_id % 11 = 0)::int)/4.0, 6)::double as score from documents) select * from f where score >= 0.5 order by score desc, frame_id limit 100",
     "so12_tags_and_vectors": f"with u as (select vec_id, embedding, {_NORM} as n from embeddings), c as (select b.vec_id, round({_DOT}/(a.n*b.n), 6) as s from u a, u b where a.vec_id = 3), r as (select *, row_number() over (order by s desc, vec_id) as rank from c where s >= 0.2), f as (select doc_id as frame_id, ((((doc_id % 3 = 0)::int + (doc_id % 2 = 0)::int)/2.0) + (doc_id % 5 = 0)::int + (1 + (doc_id % 7 = 0)::int)/2.0 + (doc_id % 11 = 0)::int)/4.0 as t from documents) select frame_id, round(t, 6)::double as tag_score from f join r on r.vec_id = frame_id where rank <= 20 and t >= 0.3 order by s desc, frame_id limit 10",
-    "jn25_paths": "with recursive n as (select 'n' || doc_id as id, case when doc_id = 0 then '' when doc_id % 40 = 1 then 'gone' else 'n' || (doc_id // 7) end as parent, 'f' || doc_id as name from documents where doc_id <= 600), t as (select id, name as rel_path, 1 as depth from n where parent not in (select id from n) union all select n.id, t.rel_path || '/' || n.name, t.depth + 1 from t join n on n.parent = t.id) select * from t",
+    "jn25_paths": "with recursive n as (select 'n' || doc_id as id, case when doc_id = 0 then '' when doc_id % 40 = 1 then 'gone' else 'n' || (doc_id // 7) end as parent, 'f' || doc_id as name from documents), t as (select id, name as rel_path, 1 as depth from n where parent not in (select id from n) union all select n.id, t.rel_path || '/' || n.name, t.depth + 1 from t join n on n.parent = t.id) select * from t",
     "src11_drive_index": "select trim(' i' || doc_id) as id, source as name, case when doc_id % 2 = 0 then 'p1' when doc_id % 3 = 0 then 'p2' else 'p3' end as parent, case when doc_id % 5 = 0 then 'application/vnd.google-apps.folder' else 'text/plain' end as mime, md5(text) as md5, case when doc_id % 4 = 0 then null else doc_id end as size, doc_id % 5 = 0 as is_folder from documents where doc_id % 13 <> 0",
     "fn26_targets": f"select doc_id, source || '/a_b/x' as target, case when doc_id % 2 = 0 then {_P} || '.docx' else {_P} end as office from documents",
     "jn18_drive_match": """with d as (select distinct 'res' || (doc_id % 12) as resource, 'folder ' || (doc_id % 17) as folder from documents), r as (select distinct 'drive' || (doc_id % 8) as drive, 'folder ' || (doc_id % 19) as folder from documents where doc_id % 3 = 0),
@@ -252,6 +253,6 @@ select u.resource, case when coalesce(score,0) >= 0.3 then drive end as drive, r
     "wn09_display_names": "select doc_id, 'name' || (doc_id % 300) || case when row_number() over (partition by doc_id % 300 order by doc_id) > 1 then ' (' || row_number() over (partition by doc_id % 300 order by doc_id) || ')' else '' end as display_name from documents",
     "jn37_overlay": "select doc_id, case when doc_id % 3 = 0 and doc_id % 9 <> 0 then 'hand' else 'auto' || doc_id end as name, doc_id % 3 = 0 and doc_id % 9 <> 0 as manual from documents where doc_id % 2 = 0 or (doc_id % 3 = 0 and doc_id % 9 <> 0)",
     "prj26_recent_log": "select event_id, user_id from events where event_type = 'click' order by ts desc, event_id desc limit 50",
-    "fn53_throughput": "select event_id, round(value / greatest(epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts, event_id), 1.0), 6) as rate from events where user_id < 30",
+    "fn53_throughput": "select event_id, round(value / greatest(epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts, event_id), 1.0), 6) as rate from events",
     "st07_event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n from events group by 1, 2",
 }

@@ -24,9 +24,18 @@ def _listed(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+#: Ends of the names that are made from rows.
+ENDS = [".txt", " (2).docx", "-at-2025-01-02T03_04_05.678Z.pdf", ".JPG", "", "-pinned.mp4", ".json", "_"]
+
+
 def _pick(spark, sf, values):
-    k = (F.col("doc_id") % len(values)).cast("int")
-    return table(spark, sf, "documents").select("doc_id", F.get(F.array(*map(F.lit, values)), k).alias("name"))
+    """Names by turns from the list and made from the beginnings of the texts."""
+    n = len(values)
+    k = (F.col("doc_id") % n).cast("int")
+    end = F.get(F.array(*map(F.lit, ENDS)), (F.col("doc_id") % len(ENDS)).cast("int"))
+    made = F.concat(F.regexp_replace(F.substr("text", F.lit(1), (F.col("doc_id") % 37 + 4).cast("int")), "[^A-Za-z0-9 .,_-]", ""), end)
+    named = F.when(F.floor(F.col("doc_id") / n) % 2 == 0, F.get(F.array(*map(F.lit, values)), k)).otherwise(made)
+    return table(spark, sf, "documents").select("doc_id", named.alias("name"))
 
 
 def q_export(spark, sf):
@@ -138,8 +147,13 @@ QUERIES = {
 }
 
 
+def _name(values: list[str]) -> str:
+    made = f"regexp_replace(substr(text, 1, (doc_id % 37)::int + 4), '[^A-Za-z0-9 .,_-]', '', 'g') || ({_listed(ENDS)})[(doc_id % {len(ENDS)})::int + 1]"
+    return f"case when (doc_id // {len(values)}) % 2 = 0 then ({_listed(values)})[(doc_id % {len(values)})::int + 1] else {made} end"
+
+
 def _n(values: list[str], more: str = "") -> str:
-    return f"with n as (select doc_id, ({_listed(values)})[(doc_id % {len(values)})::int + 1] as name from documents{more})"
+    return f"with n as (select doc_id, {_name(values)} as name from documents{more})"
 
 
 def stem(n: str) -> str:
@@ -188,7 +202,12 @@ def _groups(e: str) -> str:
 
 _PRE = r"regexp_extract(folder, '^\s*([\d]{1,4}[.\-/][\d]{1,2}[.\-/][\d]{1,4}\s*[-–]?\s*(?:[A-Za-z ]{0,24}[-–]\s*)?)', 1)"
 _CLIP = "(({s} * 97.25) % 20000)"
+_GROUPED = "case " + " ".join(f"when x in {listed(e)} then '{g}'" for g, e in fixed.TYPE_GROUPS.items()) + " else 'default' end"
+_TIDY = lambda c: f"trim(regexp_replace(replace({c}, ' ', '_'), '_{{2,}}', '_', 'g'), '_ .-')"
+_ENDED = lambda c: f"{c} || case when ends_with({c}, x) then '' else x end"
+_LOWER, _UPPER = _TIDY("lower('2024-01-02 Work ' || s)"), _TIDY("upper(s || '-' || substr(md5(name), 1, 8))")
 SQL = {
+    "fn33_rename_preview": _n(NAMES) + f", q as (select distinct name, lower({ext('name')}) as x, {stem('name')} as s from n), g as (select *, {_GROUPED} as type_group from q), t as (select *, case type_group when 'document' then {_ENDED(_UPPER)} when 'image' then 'Red-Old-X_001.' || upper(x[2:2]) || x[3:] else {_ENDED(_LOWER)} end as new_name from g) select '/in box/' || name as original_path, name as original_name, type_group, new_name, '/in box/' || new_name as new_path from t",
     "fn16_export_names": _n(NAMES) + ", " + export_sql("name", "n", "e") + f""", r as (select *, {stem('lower(name)')} as ls, {stem('name')} as st, {ext('name')} as ex from e)
 select doc_id, name, export_name, regexp_matches(ls, '{fixed.REVISION_TAIL}') or regexp_matches(ls, '-at-?$') as has_revision, regexp_matches(name, '(?i)-pinned\\.[^.]+$') as is_pinned,
  case when regexp_replace(regexp_replace(st, '{fixed.PINNED_STAMP}', ''), '{fixed.PINNED_END}', '') = '' then name else regexp_replace(regexp_replace(st, '{fixed.PINNED_STAMP}', ''), '{fixed.PINNED_END}', '') || ex end as unpinned,
@@ -202,7 +221,7 @@ select doc_id, name, low in {listed([*fixed.CLUTTER_NAMES, 'shared drive metadat
  substr(trim(trim(regexp_replace(name, '[\\\\/:*?"<>|]', '', 'g')), '. '), 1, 12) as short, regexp_replace(regexp_replace(regexp_replace(name, '{fixed.ARCHIVE_END}', ''), '-\\d+(-\\d+)?$', ''), '(?i)\\.part\\d+$', '') as archive_base, 'a_b/c_/' || {sanitised('name')} as safe_path from n""",
     "fn21_folder_anchors": _n(FOLDERS) + ", " + anchor_ctes("n", "a") + f""", z as (select *, rtrim(name) as rn, regexp_extract(rtrim(name), '(\\S+)$', 1) as last from a)
 select doc_id, name, folder_name, date_key, title, anchor, regexp_matches(rn, '[_-]$') or length(name) >= 60 or (length(last) between 2 and 6 and regexp_matches(last, '^\\p{{L}}') and not regexp_matches(rn, '[.)\\]]$')) as truncated, {_PRE.replace('folder', 'name')} as prefix from z""",
-    "fn37_folder_titles": f"""with n as (select doc_id, ({_listed(FOLDERS)})[(doc_id % {len(FOLDERS)})::int + 1] as folder, ({_listed(TITLES)})[(doc_id % {len(TITLES)})::int + 1] as title from documents),
+    "fn37_folder_titles": f"""with n as (select doc_id, {_name(FOLDERS)} as folder, ({_listed(TITLES)})[(doc_id % {len(TITLES)})::int + 1] as title from documents),
 b as (select *, trim(regexp_replace({stem('title')}, '(?i)^\\d+(st|nd|rd|th)?\\s*(webinar)?\\s*[\\(\\-:]?\\s*', ''), ' ()-') as bare, {_PRE} as prefix, lower(regexp_replace(folder, '[_\\-\\s]+$', '')) as trunk from n),
 c as (select *, case when length(bare) >= 8 and not regexp_matches(bare, '{fixed.GENERIC_NAME}') then substr(trim(trim(regexp_replace(case when prefix <> '' and not starts_with(lower(bare), lower(prefix)) then prefix || bare else bare end, '[\\\\/:*?"<>|]', '', 'g')), '. '), 1, 180) end as proposal,
  case when prefix = '' then trim(trunk) else trim(replace(trunk, lower(prefix), '')) end as rest from b),
