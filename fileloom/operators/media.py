@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -67,18 +70,25 @@ def with_speakers(segments: DataFrame, speakers: DataFrame) -> DataFrame:
 def chunks(segments: DataFrame, seconds: float = 60.0) -> DataFrame:
     """Segments (file_id, start_time, end_time, text) to chunks that begin anew once a segment
     starts more than so many seconds after the chunk did: file_id, chunk, start_time, end_time,
-    text, n_segments. A fold over each file's sorted segments."""
-    seg = F.struct(F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"), "text")
-    per = segments.groupBy("file_id").agg(F.array_sort(F.collect_list(seg)).alias("s"))
-    zero = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast("array<double>").alias("starts"))
-
-    def step(a, x):
-        new = a.at.isNull() | (x.start_time - a.at > seconds)
-        at = F.when(new, x.start_time).otherwise(a.at)
-        return F.struct(at.alias("at"), F.when(new, F.array_append(a.starts, x.start_time)).otherwise(a.starts).alias("starts"))
-
-    starts = per.withColumn("starts", F.aggregate("s", zero, step)["starts"])
-    numbered = starts.select("file_id", F.inline(F.transform("s", lambda x: F.struct(x.start_time.alias("start_time"), x.end_time.alias("end_time"), x.text.alias("text"), F.size(F.filter("starts", lambda t: t <= x.start_time)).alias("chunk")))))
+    text, n_segments. Files' sorted segments stream past one state; no file is held whole."""
+    n = max(1, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = segments.select("file_id", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"), "text")
+    schema = rows.withColumn("chunk", F.lit(0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, began, chunk = None, 0.0, 0
+        for b in batches:
+            numbers = []
+            for f, t in zip(b.column("file_id").to_pylist(), b.column("start_time").to_pylist()):
+                if f != file or not chunk:
+                    file, began, chunk = f, t, 1
+                elif t - began > seconds:
+                    began, chunk = t, chunk + 1
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int32())], [*b.schema.names, "chunk"])
+
+    ordered = rows.repartition(n, "file_id").sortWithinPartitions("file_id", "start_time", "end_time", "text")
+    numbered = ordered.mapInArrow(run, schema)
     return numbered.groupBy("file_id", "chunk").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_time", "end_time", "text"))), lambda x: x.text), " ").alias("text"), F.count("*").alias("n_segments"))
 
 

@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import dot, unit
+from ..functions.scalars import unit
+from .storage import stored
+
+
+#: Queries that are sent to all tasks at once.
+QUERY_ROWS = 4096
 
 
 def similar(vectors: DataFrame, query: DataFrame, k: int = 10, least: float = 0.3) -> DataFrame:
     """For each query(query_id, v) the k nearest of vectors(vec_id, v) by cosine, from least up.
-    The query set is small and broadcast; the rank filter keeps k rows per query and task
-    before the shuffle."""
-    q = query.select("query_id", unit("v").alias("q"))
-    scored = vectors.select("vec_id", unit("v").alias("u")).crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(dot("u", "q"), 6).alias("score")).filter(F.col("score") >= least)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+
+    Queries are taken in blocks of at most QUERY_ROWS, one matrix each; a task multiplies its
+    batches with a block and passes on k rows per query and batch, so that what is sent, held and
+    shuffled is bounded whatever the number of queries."""
+    spark = query.sparkSession
+    asked = stored(query.select(F.col("query_id").cast("long"), unit("v").alias("q")).filter("query_id is not null and q is not null"), "queries")
+    blocks = max(1, -(-asked.count() // (QUERY_ROWS // 2)))
+    own = vectors.select(F.col("vec_id").cast("long"), unit("v").alias("u")).filter("u is not null")
+    out = None
+    for n in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).limit(QUERY_ROWS + 1).collect()
+        if len(rows) > QUERY_ROWS:
+            raise ValueError("query_ids repeat too often for a block of queries")
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), np.array([r.q for r in rows], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                vec, u = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("u").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                for at in range(0, len(vec), 1024):
+                    score = np.round(u[at : at + 1024] @ q.T, 6)
+                    r, c = np.nonzero(score >= least)
+                    x, v = score[r, c], vec[at + r]
+                    order = np.lexsort((v, -x, c))
+                    c, x, v = c[order], x[order], v[order]
+                    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, int)
+                    nth = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+                    top = nth < k
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[c[top]]), pa.array(v[top]), pa.array(x[top])], ["query_id", "vec_id", "score"])
+
+        found = own.mapInArrow(run, "query_id long, vec_id long, score double")
+        out = found if out is None else out.union(found)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -56,5 +95,5 @@ def search_tags(frames: DataFrame, query: dict, least: float = 0.5, limit: int =
 def search_both(frames: DataFrame, vectors: DataFrame, query: DataFrame, tags: dict, k: int = 10) -> DataFrame:
     """The best k frames by vector, of the best 2k, whose tags fit a little."""
     near = similar(vectors, query, 2 * k, 0.2).select(F.col("vec_id").alias("frame_id"), F.col("score").alias("vector_score"))
-    fit = frames.join(F.broadcast(near), "frame_id").withColumn("tag_score", tag_score(F.col("tags"), tags)).filter("tag_score >= 0.3")
+    fit = frames.join(near, "frame_id").withColumn("tag_score", tag_score(F.col("tags"), tags)).filter("tag_score >= 0.3")
     return fit.orderBy(F.desc("vector_score"), "frame_id").limit(k)

@@ -36,12 +36,10 @@ def index_new(files: DataFrame, index: str, checkpoint: str, hashes: Callable[[D
     def add(batch: DataFrame, number: int) -> None:
         spark, part = batch.sparkSession, f"{index}/batch={number}"
         rows = batch.dropDuplicates(["path", "size", "mtime"])
-        try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(index)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):  # not before the first batch
             known = spark.read.parquet(index).filter(F.col("batch") != number)
             rows = rows.join(known.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
-        except Exception as e:  # before the first batch there is no index
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         hashes(rows).write.mode("overwrite").parquet(part)
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
