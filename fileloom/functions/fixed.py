@@ -21,7 +21,6 @@ BUSINESS_EXTENSIONS = [
 TRIVIAL_NAMES = [".ds_store", "thumbs.db", "desktop.ini", "icon\r", ".localized"]
 TRIVIAL_EXTENSIONS = [".tmp", ".temp", ".log", ".bak", ".old", ".cache", ".part", ".crdownload", ".~lock"]
 LOW_VALUE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".webp", ".psd", ".ai", ".eps"]
-CHINA_SIGNALS = ["HPL China"]
 OBSOLETE_YEARS = 4.0
 
 # --- fixed values: project and framework paths

@@ -15,7 +15,7 @@ from ..functions.predicates import clean_score, file_type, is_transferred, route
 class RoutingRules:
     prefer_folder: str = "organized"
     transferred_people: tuple[str, ...] = ()
-    china_path_signals: tuple[str, ...] = tuple(fixed.CHINA_SIGNALS)
+    china_path_signals: tuple[str, ...] = ()
     china_use_cjk: bool = True
     obsolete_years: float = fixed.OBSOLETE_YEARS
     low_value_exts: tuple[str, ...] = tuple(fixed.LOW_VALUE_EXTENSIONS)

@@ -12,6 +12,8 @@ from ..operators import duplicates, keepers, resolver, rules
 from .tables import FILES_SQL, base, ext, files, listed
 
 NOW = 1893456000.0
+#: A part of a path that one user's rules route by.
+SIGNALS = ["HPL China"]
 TRUTH = ["/organized/src0", "/organized/src2"]
 RULE = keepers.KeeperRule(prefer_folder="organized", prefer_paths=("/src2/", "/src4/"), avoid_paths=("/de/",))
 PLAIN = keepers.KeeperRule()
@@ -106,7 +108,7 @@ def q_predicates(spark, sf):
     kind = file_type("path")
     return f.select(
         "file_id", "path", is_junk("path").alias("junk"), is_resolver_junk("path").alias("resolver_junk"), junk_kind("path").alias("kind"), kind.alias("ftype"), is_transferred("path").alias("transferred"),
-        route("path", kind, fixed.CHINA_SIGNALS, True).alias("route"), clean_score(basename("path")).alias("clean_score"), is_structural("path").alias("structural"), project_root("path").alias("project_root"),
+        route("path", kind, SIGNALS, True).alias("route"), clean_score(basename("path")).alias("clean_score"), is_structural("path").alias("structural"), project_root("path").alias("project_root"),
         under("path", ["/data/site", "C:\\Old\\"]).alias("under_root"),
     )
 
