@@ -42,3 +42,17 @@ def test_empty_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_awkward_rows(spark, docs, texts):
+    """Null columns, repeated rows, clashing names, empty and very long texts, in every stage."""
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stored(stage(spark, before, SF), name)
+        if name != "token_ids":
+            assert after.columns == docs.columns
+            assert after.select("doc_id", "text").distinct().exceptAll(docs.select("doc_id", "text").distinct()).count() == 0
+        before, last = after, before
+    assert before.count() == last.count() > 0
+    kept = {r.doc_id for r in last.select("doc_id").collect()}
+    assert not kept & {100, 101, 102, 113} and 107 in kept
