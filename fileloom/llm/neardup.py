@@ -8,10 +8,10 @@ registers estimate them with a correction for chance collisions, and full sets c
 
 Bands are never expanded into all pairs. Equal sets are one class, named by a number of its own. In
 each band bucket all classes are compared with the bucket's smallest; mostly the bucket is then one
-linked component. Only in buckets that are not, classes outside the bucket's largest component are
-compared with the bucket's members, in cells of bounded size: registers first, then, where those
-don't rule a link out, full sets. Only links that join components are returned. Pairs within one
-component are not compared: they cannot change it. Pairs that share no band are not candidates.
+linked component. Where it is not, classes outside the largest component are held against the
+others, in cells of bounded size: by registers first, and by full sets
+where registers don't rule a link out. Only links that join components are returned. Pairs within
+one component are not compared: they cannot change it. Pairs that share no band are not candidates.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ ROWS = 4
 MANTISSA = 10
 #: Below this many standard deviations under the threshold a pair isn't confirmed.
 DEVIATIONS = 6
-#: Members, and outsiders, of a bucket in one cell of comparisons, and their shingles.
-CELL_ROWS = 256
-CELL_SHINGLES = 1 << 19
+#: Members, and outsiders, of a bucket in one cell of comparisons.
+CELL_ROWS = 2048
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -266,30 +265,74 @@ def intersections(q: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare_outsiders(buckets: DataFrame, own: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components within a band bucket: each class outside the bucket's
-    largest component against all of the bucket, in cells of about CELL_ROWS x CELL_ROWS."""
+#: Rows that are compared: of one small family or of one band of a large one, in a cell.
+CELL = ["large", "band", "chunk", "block"]
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, from batches in the order of cells."""
+    last, held = None, []
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in CELL], axis=1)
+        cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+        for x, y in zip([0, *cuts], [*cuts, len(keys)]):
+            if y > x:
+                if held and tuple(keys[x]) != last:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                last = tuple(keys[x])
+                held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components: each class outside the largest component of its unit
+    against all of the unit, in cells of about CELL_ROWS x CELL_ROWS. Buckets that share members
+    make a family; a family that fits a cell is one unit, so that its members are compared once,
+    and of a larger one each bucket is a unit, so that only pairs that share a band are compared.
+    Registers choose the rows of a cell that may have a link at all; only their full sets are
+    shuffled."""
     named = own.select(F.col("id").alias("rep"), F.col("component").alias("c"))
-    members = buckets.select("band", "rep").join(named, "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
-    members = members.select("band", "rep", F.coalesce("c", "rep").alias("component"), "n_shingles")
-    parts = members.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("n"))
-    whole = parts.groupBy("band").agg(F.max(F.struct("k", "n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("parts")).filter("parts > 1")
-    cells = lambda k, n: F.greatest(F.ceil(k / CELL_ROWS), F.ceil(n / CELL_SHINGLES)).cast("int")
-    whole = whole.select("band", F.col("top.component").alias("major"), cells(F.col("k"), F.col("n")).alias("blocks"), cells(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("chunks"))
-    open_ = stored(members.join(whole, "band"), "open")
+    kin = family.select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    kin = stored(kin.join(kin.groupBy("family").agg(F.count("*").alias("k")), "family").withColumn("large", F.col("k") > CELL_ROWS), "kin")
+    units = kin.filter("not large").select("large", F.col("family").alias("band"), "rep")
+    units = units.union(buckets.join(kin.filter("large").select("rep", "large"), "rep").select("large", "band", "rep"))
+    members = units.join(named, "rep", "left").select("large", "band", "rep", F.coalesce("c", "rep").alias("component"))
+    parts = members.groupBy("large", "band", "component").agg(F.count("*").alias("k"))
+    whole = parts.groupBy("large", "band").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("k"), F.count("*").alias("parts")).filter("parts > 1")
+    cells = lambda k: F.ceil(k / CELL_ROWS).cast("int")
+    whole = whole.select("large", "band", F.col("top.component").alias("major"), cells(F.col("k")).alias("blocks"), cells(F.col("k") - F.col("top.k")).alias("chunks"))
+    open_ = stored(members.join(whole, ["large", "band"]), "open")
     place = F.xxhash64("rep")
-    asked = open_.filter("component != major").select("band", F.pmod(place, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("asks"))
-    there = open_.select("band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(place, "blocks").cast("int").alias("block"), "rep", "component", F.lit(False).alias("asks"))
+    asked = open_.filter("component != major").select("large", "band", F.pmod(place, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("asks"))
+    there = open_.select("large", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(place, "blocks").cast("int").alias("block"), "rep", "component", F.lit(False).alias("asks"))
     n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    content = sets.join(classes.select("rep", "registers").join(open_.select("rep").distinct(), "rep"), "rep")
-    rows = asked.union(there).join(content, "rep").repartition(n, "band", "chunk", "block").sortWithinPartitions("band", "chunk", "block")
-
-    def solve(ids: list[int], component: list[int], asks: list[bool], regs: list[bytes], raw: list[bytes]) -> list[tuple[int, int]]:
-        asks = np.array(asks)
-        held = [np.frombuffer(x, np.uint64) for x in raw]
+    dealt = lambda rows: rows.repartition(n, *CELL).sortWithinPartitions(*CELL)
+
+    def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        asks = np.asarray(t.column("asks")).astype(bool)
+        return np.unique(t.column("component").to_numpy(), return_inverse=True)[1], np.flatnonzero(asks), np.flatnonzero(~asks)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_cell(batches):
+            label, q, m = sides(t)
+            size = t.column("n_shingles").to_numpy().astype(float)
+            regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            hit = np.zeros(len(size), bool)
+            for at in range(0, len(q), 64):
+                x, y = np.repeat(q[at : at + 64], len(m)), np.tile(m, len(q[at : at + 64]))
+                likely = (label[x] != label[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+                x, y = x[likely], y[likely]
+                if len(x):
+                    likely = estimate(regs[x], regs[y], size[x], size[y]) >= least_estimate(percent, size[x], size[y])
+                    hit[x[likely]] = hit[y[likely]] = True
+            yield from t.select([*CELL, "rep", "component", "asks"]).filter(pa.array(hit)).to_batches()
+
+    def solve(t: pa.Table) -> list[tuple[int, int]]:
+        label, q, m = sides(t)
+        ids, held = t.column("rep").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("members")]
         size = np.array([len(x) for x in held], np.float64)
-        regs = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
-        label = np.unique(component, return_inverse=True)[1]
         root = list(range(int(label.max()) + 1))
 
         def find(x: int) -> int:
@@ -299,48 +342,27 @@ def compare_outsiders(buckets: DataFrame, own: DataFrame, classes: DataFrame, se
             return x
 
         out = []
-        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         for at in range(0, len(q), 64):
             some = q[at : at + 64]
-            x, y = np.repeat(some, len(m)), np.tile(m, len(some))
-            likely = (label[x] != label[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
-            x, y = x[likely], y[likely]
-            likely = estimate(regs[x], regs[y], size[x], size[y]) >= least_estimate(percent, size[x], size[y])
-            x, y = x[likely], y[likely]
-            if not len(x):
-                continue
-            left, ax = np.unique(x, return_inverse=True)
-            right, ay = np.unique(y, return_inverse=True)
-            inter = intersections([held[i] for i in left], [held[i] for i in right]).astype(np.float64)[ax, ay]
-            good = np.flatnonzero(100 * inter >= percent * (size[x] + size[y] - inter))
-            _, one = np.unique(label[x[good]] * len(root) + label[y[good]], return_index=True)
-            for k in good[one]:
-                u, v = find(int(label[x[k]])), find(int(label[y[k]]))
-                if u != v:
-                    root[u] = v
-                    out.append((ids[x[k]], ids[y[k]]))
+            inter = intersections([held[i] for i in some], [held[i] for i in m]).astype(np.float64)
+            good = (100 * inter >= percent * (size[some][:, None] + size[m][None, :] - inter)) & (label[some][:, None] != label[m][None, :])
+            r, c = np.nonzero(good)
+            _, one = np.unique(label[some[r]] * len(root) + label[m[c]], return_index=True)
+            for k in one:
+                x, y = find(int(label[some[r[k]]])), find(int(label[m[c[k]]]))
+                if x != y:
+                    root[x] = y
+                    out.append((int(ids[some[r[k]]]), int(ids[m[c[k]]])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, ([], [], [], [], [])
-
-        def done() -> pa.RecordBatch:
-            found = solve(*held) if any(held[2]) and not all(held[2]) else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-        for b in batches:
-            keys = zip(*(b.column(c).to_pylist() for c in ("band", "chunk", "block")))
-            for key, *row in zip(keys, *(b.column(c).to_pylist() for c in ("rep", "component", "asks")), (x.as_py() for x in b.column("registers")), (x.as_py() for x in b.column("members"))):
-                if key != last and last is not None:
-                    yield done()
-                    held = ([], [], [], [], [])
-                last = key
-                for c, v in zip(held, row):
-                    c.append(v)
-        if last is not None:
-            yield done()
+        for t in _by_cell(batches):
+            found = solve(t)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return rows.select("band", "chunk", "block", "rep", "component", "asks", "registers", "members").mapInArrow(released(run), "a long, b long")
+    seen = asked.union(there).join(classes.select("rep", "n_shingles", "registers"), "rep")
+    chosen = stored(dealt(seen).mapInArrow(released(choose), "large boolean, band long, chunk int, block int, rep long, component long, asks boolean"), "chosen")
+    return dealt(chosen.join(sets, "rep")).select(*CELL, "rep", "component", "asks", "members").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
@@ -369,7 +391,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     sets = stored(full_sets(docs, wanted, size), "sets")
     links = stored(confirm(plausible(pairs, classes, percent), sets, percent), "links")
     own = stored(components(links), "linked")
-    more = stored(compare_outsiders(buckets, own, classes, sets, percent), "links")
+    family = stored(components(pairs), "families")
+    more = stored(compare_outsiders(buckets, family, own, classes, sets, percent), "links")
     discard(sets, pairs, wanted, buckets)
     linked = components(links.union(more)).select(F.col("id").alias("rep"), "component")
     labels = classes.join(linked, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), "doc_id", F.coalesce("component", "rep").alias("component"))
