@@ -43,16 +43,16 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = run_dir(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path  # for discard
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the files of stored tables that nothing reads any more."""
+    """Deletes the files of tables from stored() that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
