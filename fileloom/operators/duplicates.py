@@ -68,10 +68,17 @@ def select_by(files: DataFrame, chosen: Column, remove: bool = True, key: str =
     return files.join(both, key, "left_semi").filter(chosen if remove else ~chosen)
 
 
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of each key the row that is last in order; of equal ones always the same, by a hash."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rows.columns)))
+    return rows.groupBy(*keys).agg(last.alias("_last")).select(*(F.col(f"_last.{c}").alias(c) if c in rest else F.col(c) for c in rows.columns))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of new replace rows of old with the same key; within new the latest by 'seq' wins."""
-    keys = [key] if isinstance(key, str) else key
-    fresh = new.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))).filter("rn = 1").drop("rn", "seq")
+    keys = [key] if isinstance(key, str) else list(key)
+    fresh = latest(new, keys, "seq").drop("seq")
     return old.join(fresh, keys, "left_anti").unionByName(fresh)
 
 

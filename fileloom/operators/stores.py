@@ -1,78 +1,8 @@
-"""Tables that outlive a session: versions of a Parquet table under one folder of any file system
-that Spark reaches by URI.
-
-A write makes a new version beside the old ones, and readers take the newest whole one, so that a
-job that dies leaves the store as it was. Upserts keep one row for each key.
-"""
+"""What is asked of hash indexes, ledgers and caches, which `logstore.Store` holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-from .duplicates import upsert
-
-
-class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _system(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _whole(self) -> list[tuple[int, int]]:
-        """(version, milliseconds of its end), oldest first."""
-        path, system = self._system()
-        if not system.exists(path):
-            return []
-        found = []
-        for s in system.listStatus(path):
-            mark = self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")
-            if s.getPath().getName().startswith("v") and system.exists(mark):
-                found.append((int(s.getPath().getName()[1:]), system.getFileStatus(mark).getModificationTime()))
-        return sorted(found)
-
-    def _at(self, version: int) -> str:
-        return f"{self.folder}/v{version:08d}"
-
-    def exists(self) -> bool:
-        return bool(self._whole())
-
-    def read(self, version: int | None = None) -> DataFrame:
-        whole = self._whole()
-        if not whole:
-            raise FileNotFoundError(self.folder)
-        return self.spark.read.parquet(self._at(whole[-1][0] if version is None else version))
-
-    def write(self, df: DataFrame) -> Store:
-        path, system = self._system()
-        last = max((int(s.getPath().getName()[1:]) for s in system.listStatus(path) if s.getPath().getName().startswith("v")), default=0) if system.exists(path) else 0
-        df.write.parquet(self._at(last + 1))
-        return self
-
-    def upsert(self, new: DataFrame, key: str | list[str]) -> Store:
-        """Rows of new(..., seq) take the place of rows with their key; the latest by seq counts."""
-        return self.write(upsert(self.read(), new, key) if self.exists() else upsert(new.drop("seq").limit(0), new, key))
-
-    def replace(self, new: DataFrame, key: str) -> Store:
-        """All rows of the keys that new has give way to new's rows."""
-        if not self.exists():
-            return self.write(new)
-        return self.write(self.read().join(new.select(key).distinct(), key, "left_anti").unionByName(new))
-
-    def append(self, new: DataFrame) -> Store:
-        return self.write(self.read().unionByName(new) if self.exists() else new)
-
-    def versions(self) -> DataFrame:
-        """version and modified of every whole version, newest first."""
-        rows = [(v, t / 1000) for v, t in reversed(self._whole())]
-        return self.spark.createDataFrame(rows, "version int, modified double")
-
-    def clear(self, keep: int = 0) -> None:
-        path, system = self._system()
-        whole = self._whole()
-        for v, _ in whole[: len(whole) - keep]:
-            system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(v)), True)
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def lookup(index: DataFrame, md5: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import fixed
 from ..functions.paths import basename, dirname, extension, segments, slashes
 from ..functions.predicates import is_junk, is_structural, junk_kind, keyword
 from ..functions.scalars import human_size_short
-from ..operators import archives, catalog, duplicates, keepers, media, moves, reconcile, renaming, stores
+from ..operators import archives, catalog, duplicates, keepers, logstore, media, moves, reconcile, renaming, stores
 from ..operators.storage import shared_folder
 from ..sources import listings
 from .duplicates import CATS, GROUPS, KGROUPS, MARKED, RULE, _removals, _with
@@ -20,7 +20,7 @@ from .trees import ACTIONS, BYPATH, CAT, NUMBERED, _search
 
 
 def _store(spark, kind):
-    return stores.Store(spark, f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return logstore.Store(spark, f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
 
 
 # stores ---------------------------------------------------------------------------------------
