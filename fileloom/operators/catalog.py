@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import ancestors, dirname, slashes
+from .logstore import Store
+from .storage import stored
 
 
 def rows_with_folders(files: DataFrame) -> DataFrame:
@@ -16,6 +18,29 @@ def rows_with_folders(files: DataFrame) -> DataFrame:
     return own.unionByName(above).withColumn("name", F.substring_index("path", "/", -1)).withColumn("parent", dirname("path"))
 
 
+def next_generation(catalog: DataFrame, root: str) -> int:
+    """The number of a root's next crawl."""
+    return (catalog.filter(F.col("root") == root).agg(F.max("scan_gen")).first()[0] or 0) + 1
+
+
+def recrawled(store: Store, crawled: DataFrame) -> DataFrame:
+    """Takes a crawl(root, path, is_dir, size, mtime, ..., scan_gen) up into a catalog by path. Rows of
+    its roots that it lacks are deleted, those it has anew or otherwise are written, and the others
+    keep the generation in which they last changed; so a crawl that finds little writes little.
+    Returns the changes: path and change (added, changed, deleted)."""
+    if not store.exists():
+        store.upsert(crawled.withColumn("seq", F.col("scan_gen")), "path")
+        return crawled.select("path", F.lit("added").alias("change"))
+    version = store.versions().first()["version"]
+    old = store.read(version).join(crawled.select("root").distinct(), "root", "left_semi").select("path", F.struct("is_dir", "size", "mtime").alias("was"))
+    both = old.join(crawled.select("path", F.struct("is_dir", "size", "mtime").alias("now")), "path", "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(F.col("was") != F.col("now"), "changed")
+    changes = stored(both.select("path", change.alias("change")).filter("change is not null"), "changes")
+    fresh = crawled.join(changes.filter("change != 'deleted'").select("path"), "path", "left_semi").select(crawled.columns)
+    store.upsert(fresh.withColumn("seq", F.col("scan_gen")), "path").delete(changes.filter("change = 'deleted'").select("path"))
+    return changes
+
+
 def matcher(keywords: list[str], whole_word: bool = False) -> Column:
     hit = F.lit(False)
     for k in (k.strip() for k in keywords):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import duplicates, media, naming, stores, streams, trees
+from . import duplicates, media, naming, stores, streams, trees, walks
 
-_MODULES = [duplicates, naming, trees, media, stores, streams]
+_MODULES = [duplicates, naming, trees, media, stores, streams, walks]
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}

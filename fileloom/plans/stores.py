@@ -134,11 +134,6 @@ def q_media_replace(spark, sf):
 # sources ----------------------------------------------------------------------------------------
 
 
-def q_catalog_crawl(spark, sf):
-    kept = files(spark, sf).filter("path not like '/snapshot/src3/%'")
-    return catalog.rows_with_folders(kept).select("path", dirname("path").alias("parent"), "is_dir", "size", F.lit(7).alias("scan_gen"))
-
-
 def _indexed(spark, sf):
     f = files(spark, sf)
     return f.filter("file_id % 4 != 0").select("path", "size", (F.col("mtime") + (F.col("file_id") % 3) * 0.5).alias("mtime"))
@@ -217,7 +212,7 @@ def q_junk_scan(spark, sf):
 def q_transcript_items(spark, sf):
     """Speech-service answers, as JSON text, to sentences."""
     c = table(spark, sf, "conversations")
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"([\p{L}]+|[.,?!])"), 1), 1, 100_000)
+    words = F.regexp_extract_all("text", F.lit(r"([\p{L}]+|[.,?!])"), 1)
 
     def item(w, i):
         alternatives = F.array(F.struct(w.alias("content"), (i % 4 / 4).cast("string").alias("confidence")))
@@ -511,7 +506,6 @@ QUERIES = {
     "snk13_moved_duplicates": q_moved_duplicates,
     "snk15_vector_append": q_vector_append,
     "snk16_media_replace": q_media_replace,
-    "src04_catalog_crawl": q_catalog_crawl,
     "src05_hash_passes": q_hash_passes,
     "src06_path_list": q_path_list,
     "src10_names": q_names,
@@ -606,7 +600,6 @@ SQL = {
     "snk13_moved_duplicates": _with(FILES_SQL) + ", v as (select *, '/v/' || file_id || '/' || source || '.txt' as src from files), p as (select src, '/dups/' || source || '.txt' as want, size from v where src <> (select min(x.src) from v x where x.md5 = v.md5)), " + NUMBERED.format(form=r"^(.*)_([1-9]\d*)\.txt$", ext=".txt", cut=r"\.txt$", left="_", right="") + " select * from o",
     "snk15_vector_append": "select (vec_id % 2)::int as part, count(*) as vectors, max(len(embedding))::int as width from embeddings group by 1",
     "snk16_media_replace": f"with {_SEG} select file_id, seg, case when file_id % 3 = 0 then 'redone' else role end as role from sg where file_id % 3 <> 0 or seg % 2 = 0 or file_id not in (select file_id from sg where file_id % 3 = 0 and seg % 2 = 0)",
-    "src04_catalog_crawl": _with(FILES_SQL, CAT.replace("from files", "from (select * from files where path not like '/snapshot/src3/%')")) + f"select path, case when path like '%/%' then {_DIR} else '' end as parent, is_dir, size, 7 as scan_gen from cat",
     "src05_hash_passes": _with(FILES_SQL) + ", l as (select file_id from files where size >= 500 and (file_id % 4 = 0 or (file_id % 3) * 0.5 >= 1)) select pass, n as hashed from (select 1 as pass, count(*) filter (where file_id % 2 = 0) as n, count(*) as k from l union all select 2, count(*) filter (where file_id % 2 <> 0), count(*) filter (where file_id % 2 <> 0) from l) where k > 0",
     "src06_path_list": _with(FILES_SQL) + "select state, count(*) as paths from (select case when size < 200 then 'too_small' when file_id % 4 <> 0 and (file_id % 3) * 0.5 < 1 then 'skipped_current' else 'to_hash' end as state from files where file_id % 5 < 2 union all select 'missing' from files where file_id % 9 = 0) group by state",
     "src10_names": "select distinct source as name from documents where doc_id % 5 <> 0",

@@ -1,22 +1,25 @@
-"""File trees as tables: a walk of local folders, hashing of files, and members of archives.
+"""File trees as tables: walks of local folders, and hashing of files.
 
-The walk is a Spark data source with one partition per folder below a root, so that a wide tree is
-listed by many tasks. Only metadata is read; hashing is a later step over the rows that need it.
+`walk` is a Spark data source with one partition per folder below a root, which takes over filters.
+`crawl` lists trees of any shape in stored rounds. Only metadata is read; hashing is a later step over
+the rows that need it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
-import tarfile
-import zipfile
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
-WALKED = "path string, root string, source string, parent string, name string, is_dir int, size long, mtime double, ctime double"
+from ..operators.storage import stored
+
+WALKED = "path string, root string, source string, parent string, name string, is_dir int, size long, mtime double, ctime double, ext string"
 #: From this size on a file is known by three samples of SAMPLE bytes.
 SAMPLED_SIZE = 52_428_800
 SAMPLE = 262_144
@@ -24,17 +27,71 @@ CHUNK = 1 << 20
 ARCHIVES = r"(?i)\.(zip|tar|tgz|tar\.gz|gz|rar|7z|tar\.bz2)$"
 
 
+def frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded length."""
+    kinds = {"string": "object", "long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean"}
+    columns = [c.split() for c in schema.split(", ")]
+    held: list[tuple] = []
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r[i] for r in held], dtype=kinds[t]) for i, (c, t) in enumerate(columns)})
+
+    for row in rows:
+        held.append(row)
+        if len(held) == 4096:
+            yield frame()
+            held = []
+    if held:
+        yield frame()
+
+
 class _Folder(InputPartition):
     def __init__(self, root: str, top: str, deep: bool):
         self.root, self.top, self.deep = root, top, deep
 
 
+def extension_of(name: str) -> str:
+    """Lower-case extension; empty without one, and for names that only begin with a dot."""
+    stem, dot, end = name.rpartition(".")
+    return end.lower() if stem and dot else ""
+
+
 def _row(root: str, path: str, is_dir: bool) -> tuple | None:
     try:
         s = os.stat(path)
     except OSError:
         return None
-    return (path, root, os.path.basename(root.rstrip("/")) or root, os.path.dirname(path), os.path.basename(path), int(is_dir), 0 if is_dir else s.st_size, s.st_mtime, s.st_ctime)
+    name = os.path.basename(path.rstrip("/"))
+    return (path, root, os.path.basename(root.rstrip("/")) or root, os.path.dirname(path), name, int(is_dir), 0 if is_dir else s.st_size, s.st_mtime, s.st_ctime, "" if is_dir else extension_of(name))
+
+
+#: Known of a folder's entry before it is looked at more closely.
+_BEFORE = ("path", "root", "source", "parent", "name", "is_dir", "ext")
+_TESTS = {
+    EqualTo: lambda x, v: x == v,
+    EqualNullSafe: lambda x, v: x == v,
+    GreaterThan: lambda x, v: x > v,
+    GreaterThanOrEqual: lambda x, v: x >= v,
+    LessThan: lambda x, v: x < v,
+    LessThanOrEqual: lambda x, v: x <= v,
+    In: lambda x, v: x in v,
+    StringStartsWith: lambda x, v: x.startswith(v),
+    StringEndsWith: lambda x, v: x.endswith(v),
+    StringContains: lambda x, v: v in x,
+}
+
+
+def may_hold(f: Filter, folder: str) -> bool:
+    """Whether something below the folder can pass a filter on path or parent."""
+    inside, column = folder.rstrip("/") + "/", f.attribute[0]
+    goals = [f.value] if isinstance(f, (EqualTo, EqualNullSafe)) else f.value if isinstance(f, In) else None
+    if column == "path" and goals is not None:
+        return any(isinstance(g, str) and g.startswith(inside) for g in goals)
+    if column == "parent" and goals is not None:
+        return any(isinstance(g, str) and (g + "/").startswith(inside) for g in goals)
+    if column in ("path", "parent") and isinstance(f, StringStartsWith):
+        return inside.startswith(f.value) or f.value.startswith(inside) or (column == "parent" and folder.startswith(f.value))
+    return True
 
 
 class _Walk(DataSourceReader):
@@ -43,35 +100,65 @@ class _Walk(DataSourceReader):
         self.hidden = options.get("include_hidden", "false") == "true"
         self.recursive = options.get("recursive", "true") == "true"
         self.skip = tuple(p for p in options.get("skip_prefixes", "").split("\n") if p)
+        self.columns = [c.split()[0] for c in WALKED.split(", ")]
+        self.early: list[tuple[int, Filter]] = []
+        self.late: list[tuple[int, Filter]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  Spark's name
+        """Takes what compares one column with values, and not null, which holds everywhere. What needs
+        no look at the file is tested before it; folders that can hold nothing aren't listed."""
+        for f in filters:
+            known = getattr(f, "attribute", ("",))[0] in self.columns
+            if known and isinstance(f, IsNotNull):
+                continue
+            if known and type(f) in _TESTS and f.value is not None:
+                (self.early if f.attribute[0] in _BEFORE else self.late).append((self.columns.index(f.attribute[0]), f))
+            else:
+                yield f
 
     def _listed(self, name: str, is_dir: bool) -> bool:
         return (self.hidden or not name.startswith(".")) and not (is_dir and self.skip and name.startswith(self.skip))
 
+    def _descends(self, folder: str) -> bool:
+        return all(may_hold(f, folder) for _, f in self.early)
+
+    def _roots(self) -> list[str]:
+        return [r for r in self.roots if self._descends(r) and all(_TESTS[type(f)](r, f.value) for _, f in self.early if f.attribute[0] == "root")]
+
     def partitions(self) -> list[_Folder]:
         out = []
-        for root in self.roots:
+        for root in self._roots():
             out.append(_Folder(root, root, False))
             if self.recursive and os.path.isdir(root):
-                out += [_Folder(root, e.path, True) for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and self._listed(e.name, True)]
+                out += [_Folder(root, e.path, True) for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and self._listed(e.name, True) and self._descends(e.path)]
         return out
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
+        source = os.path.basename(partition.root.rstrip("/")) or partition.root
         stack = [partition.top]
         while stack:
-            try:
-                entries = sorted(os.scandir(stack.pop()), key=lambda e: e.name)
-            except OSError:
-                continue  # one folder that can't be listed doesn't end the walk
-            for e in entries:
-                is_dir = e.is_dir(follow_symlinks=False)
-                if self._listed(e.name, is_dir) and (row := _row(partition.root, e.path, is_dir)):
+            folder = stack.pop()
+            for name, path, is_dir in _entries(folder):
+                if not self._listed(name, is_dir):
+                    continue
+                if is_dir and partition.deep and self._descends(path):
+                    stack.append(path)
+                before = (path, partition.root, source, folder, name, int(is_dir), None, None, None, "" if is_dir else extension_of(name))
+                if all(_TESTS[type(f)](before[i], f.value) for i, f in self.early) and (row := _row(partition.root, path, is_dir)) and all(_TESTS[type(f)](row[i], f.value) for i, f in self.late):
                     yield row
-                    if is_dir and partition.deep:
-                        stack.append(e.path)
+
+
+def _entries(folder: str) -> list[tuple[str, str, bool]]:
+    """(name, path, is_dir) of what a folder holds, by name. One that can't be listed holds nothing."""
+    try:
+        return sorted((e.name, e.path, e.is_dir(follow_symlinks=False)) for e in os.scandir(folder))
+    except OSError:
+        return []
 
 
 class WalkSource(DataSource):
-    """Options: paths (one a line), recursive, include_hidden, skip_prefixes (of folder names)."""
+    """Options: paths (one a line), recursive, include_hidden, skip_prefixes (of folder names).
+    Filters are taken over by the source; Spark's Python sources can't leave out columns."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,20 +172,69 @@ class WalkSource(DataSource):
 
 
 def walk(spark: SparkSession, roots: list[str], recursive: bool = True, include_hidden: bool = False, skip_prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """Every folder and file below the roots, which executors must reach under the same paths."""
+    """Every folder and file below the roots, which executors must reach under the same paths: for
+    roots that are wide. `crawl` spreads any shape of tree."""
     spark.dataSource.register(WalkSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     options = {"paths": "\n".join(roots), "recursive": str(recursive).lower(), "include_hidden": str(include_hidden).lower(), "skip_prefixes": "\n".join(skip_prefixes)}
     return spark.read.format("fswalk").options(**options).load()
 
 
+def crawl(spark: SparkSession, roots: list[str], generation: int = 1, include_hidden: bool = True, skip_prefixes: tuple[str, ...] = (), folders_per_task: int = 2000, tasks: int | None = None) -> DataFrame:
+    """The roots and everything below as WALKED rows with scan_gen and listed_by (round and task).
+
+    Goes in rounds over a frontier of folders, dealt evenly over all tasks. A task lists breadth-first
+    until it has done folders_per_task and hands on what it has not come to, so that a deep or lopsided
+    tree is spread as well as a wide one. Each round is stored: a lost executor costs its tasks alone.
+    A folder that can't be listed holds nothing, a root that isn't there gives no row.
+    """
+    tasks = tasks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    skip, schema = tuple(skip_prefixes), f"{WALKED}, todo boolean, listed_by string"
+
+    def run(number: int):
+        def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            by = f"{number}-{TaskContext.get().partitionId()}"
+            yield from frames(rows(((r, p) for b in batches for r, p in zip(b.root, b.path, strict=True)), by), schema)
+
+        def rows(given: Iterator[tuple[str, str]], by: str) -> Iterator[tuple]:
+            queue: deque[tuple[str, str]] = deque()
+            for _ in range(folders_per_task):
+                at = next(given, None) or (queue.popleft() if queue else None)
+                if at is None:
+                    return
+                root, folder = at
+                for name, path, is_dir in _entries(folder):
+                    if (include_hidden or not name.startswith(".")) and not (is_dir and skip and name.startswith(skip)):
+                        if row := _row(root, path, is_dir):
+                            yield (*row, False, by)
+                        if is_dir:
+                            queue.append((root, path))
+            for root, folder in itertools.chain(given, queue):
+                yield (folder, root, *[None] * 8, True, by)
+
+        return listed
+
+    own = [(*row, False, "0-0") for r in roots if (row := _row(r.rstrip("/") or "/", r.rstrip("/") or "/", True))]
+    done = [stored(spark.createDataFrame(own, schema), "crawl")]
+    frontier, waiting = spark.createDataFrame([(r[1], r[0]) for r in own], "root string, path string"), len(own)
+    while waiting:
+        found = stored(frontier.repartition(min(tasks, waiting)).mapInPandas(run(len(done)), schema), "crawl")
+        done.append(found)
+        frontier = found.filter("todo").select("root", "path")
+        waiting = frontier.count()
+    whole = spark.read.schema(schema).parquet(*(d.stored_path for d in done))
+    return whole.filter("not todo").drop("todo").withColumn("scan_gen", F.lit(generation))
+
+
 def wanted_files(walked: DataFrame, least: int = 0, most: int | None = None, extensions: list[str] | None = None) -> DataFrame:
     """Files of a size (no upper bound where most is 0 or None) and, if given, of the extensions."""
     out = walked.filter((F.col("is_dir") == 0) & (F.col("size") >= least))
     if most:
         out = out.filter(F.col("size") <= most)
     if extensions:
-        ext = F.lower(F.regexp_extract("name", r"^.+\.([^.]*)$", 1))
-        out = out.filter(ext.isin([e.lower().removeprefix(".") for e in extensions]))
+        out = out.filter(F.col("ext").isin([e.lower().removeprefix(".") for e in extensions]))
     return out
 
 
@@ -144,44 +280,3 @@ def hashed(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def archives(walked: DataFrame) -> DataFrame:
     return walked.filter((F.col("is_dir") == 0) & F.col("name").rlike(ARCHIVES))
-
-
-def _members(path: str) -> Iterator[tuple[str, int]]:
-    lower = path.lower()
-    if lower.endswith(".zip"):
-        with zipfile.ZipFile(path) as z:
-            yield from ((m.filename, m.file_size) for m in z.infolist() if not m.is_dir())
-    elif lower.endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2")):
-        with tarfile.open(path) as t:
-            yield from ((m.name, m.size) for m in t if m.isfile())
-    elif lower.endswith(".gz"):
-        import gzip
-
-        with gzip.open(path) as g:
-            size = 0
-            while part := g.read(CHUNK):
-                size += len(part)
-        yield os.path.basename(path)[:-3], size
-
-
-def members(found: DataFrame) -> DataFrame:
-    """archive, member, size, skip (why a member isn't to be extracted, else null) and error. Member
-    paths that leave the target folder are skipped; formats without a reader here give an error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path in b.path:
-                try:
-                    if not path.lower().endswith((".zip", ".tar", ".tgz", ".gz", ".tar.bz2")):
-                        raise NotImplementedError
-                    out += [(path, m, n, None) for m, n in _members(path)]
-                except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, NotImplementedError) as e:
-                    out.append((path, None, None, type(e).__name__))
-            yield pd.DataFrame({k: pd.Series([r[i] for r in out], dtype=t) for i, (k, t) in enumerate({"archive": "object", "member": "object", "size": "Int64", "error": "object"}.items())})
-
-    rows = found.select("path").mapInPandas(run, "archive string, member string, size long, error string")
-    leaves = F.col("member").rlike(r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)")
-    junk = F.col("member").rlike(r"(^|/)(__MACOSX/|\._|\.DS_Store$)")
-    mail = F.lower("member").rlike(r"\.(mbox|eml|pst)$")
-    return rows.withColumn("skip", F.when(leaves, "outside").when(junk, "system").when(mail, "mail"))

@@ -1,5 +1,6 @@
 """File walks, hashes, archives, listings and streams on small folders."""
 
+import gzip
 import hashlib
 import os
 import tarfile
@@ -7,7 +8,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from fileloom.sources import files, listings
+from fileloom.operators import catalog, logstore
+from fileloom.sources import archives, files, listings
 from fileloom.streaming import live
 
 
@@ -52,16 +54,129 @@ def test_sampled_hash(tmp_path):
     assert files._hashes(str(tmp_path / "big"))[:2] == (want, hashlib.md5(data).hexdigest())
 
 
+def test_filters_are_pushed_into_the_walk(spark, tmp_path, monkeypatch, capsys):
+    tree(tmp_path)
+    found = files.walk(spark, [str(tmp_path)])
+    few = files.wanted_files(found, 2, 5000, ["txt"]).filter(F.col("path").startswith(f"{tmp_path}/sub"))
+    few.explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = plan.split("PushedFilters: [")[1].split("]\n")[0]
+    assert ") Filter" not in plan and "GreaterThanOrEqual(size,2)" in pushed and "EqualTo(ext,txt)" in pushed and "StringStartsWith(path," in pushed
+    assert [r.name for r in few.collect()] == ["b.TXT"]
+    assert found.filter("size >= 3 or name = 'f'").filter("is_dir = 0").count() == 4  # not taken over, tested by Spark
+
+    listed = []
+    scandir = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: listed.append(os.path.relpath(p, tmp_path)) or scandir(p))
+    for filters, folders, names in [
+        ([files.StringStartsWith(("path",), f"{tmp_path}/sub/deep/")], {".", "sub", "sub/deep"}, {"c.bin"}),
+        ([files.EqualTo(("parent",), f"{tmp_path}/sub")], {".", "sub"}, {"b.TXT", "deep"}),
+        ([files.In(("path",), (f"{tmp_path}/_kept/f", f"{tmp_path}/a.txt"))], {".", "_kept"}, {"f", "a.txt"}),
+        ([files.EqualTo(("root",), "/other")], set(), set()),
+    ]:
+        listed.clear()
+        reader = files._Walk({"paths": str(tmp_path)})
+        assert list(reader.pushFilters(filters)) == []
+        rows = [r for p in reader.partitions() for r in reader.read(p)]
+        assert set(listed) == folders and {r[4] for r in rows} == names
+
+
+def test_a_deep_tree_is_crawled_by_many_tasks(spark, tmp_path):
+    for a in range(6):
+        at = tmp_path / "one" / f"d{a}"
+        for d in range(25):
+            at = at / f"n{d}"
+            at.mkdir(parents=True)
+            (at / f"f{d}.txt").write_bytes(b"x" * d)
+    (tmp_path / "one" / "_skipped").mkdir()
+    found = files.crawl(spark, [f"{tmp_path}/one/", "/no/such"], generation=7, skip_prefixes=("_",), folders_per_task=5, tasks=4).cache()
+    walked = {(r.path, r.size) for r in files.walk(spark, [f"{tmp_path}/one"], skip_prefixes=("_",)).collect()}
+    assert {(r.path, r["size"]) for r in found.collect()} == walked | {(f"{tmp_path}/one", 0)}
+    assert found.count() == len(walked) + 1 and {r.scan_gen for r in found.collect()} == {7}
+    by = {r.listed_by for r in found.collect()}
+    assert len({b.split("-")[1] for b in by}) == 4 and len(by) > 20
+
+
+def test_two_crawls_and_a_catalog(spark, tmp_path):
+    tree(tmp_path / "r")
+    root = f"{tmp_path}/r"
+    store = logstore.Store(spark, f"file://{tmp_path}/catalog")
+    first = catalog.recrawled(store, files.crawl(spark, [root], 1))
+    assert {r.change for r in first.collect()} == {"added"} and catalog.next_generation(store.read(), root) == 2
+    (tmp_path / "r" / "new").mkdir()
+    (tmp_path / "r" / "new" / "n.txt").write_bytes(b"1")
+    (tmp_path / "r" / "a.txt").write_bytes(b"changed")
+    (tmp_path / "r" / "sub" / "deep" / "c.bin").unlink()
+    changes = {(os.path.relpath(r.path, root), r.change) for r in catalog.recrawled(store, files.crawl(spark, [root], 2)).collect()}
+    assert {("new", "added"), ("new/n.txt", "added"), ("a.txt", "changed"), ("sub/deep/c.bin", "deleted")} <= changes
+    assert not {c for c in changes if c[0] in ("sub/b.TXT", ".hidden/d", "sub/.e")}
+    now = {os.path.relpath(r.path, root): r.scan_gen for r in store.read().collect()}
+    assert now["a.txt"] == now["new/n.txt"] == 2 and now["sub/b.TXT"] == 1 and "sub/deep/c.bin" not in now
+    assert catalog.recrawled(store, files.crawl(spark, [root], 3)).count() == 0
+
+
+def _zip(path, members, method=zipfile.ZIP_DEFLATED):
+    with zipfile.ZipFile(path, "w", method) as z:
+        for name, data in members:
+            z.writestr(name, data)
+
+
 def test_archives(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("x/y.txt", "hello")
-        z.writestr("../out.txt", "no")
-        z.writestr("__MACOSX/x", "no")
-    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
-        t.add(tmp_path / "a.zip", "in.zip")
+    import warnings
+
+    warnings.simplefilter("ignore")  # the twice-named member
+    _zip(tmp_path / "a.zip", [("x/y.txt", b"hello"), ("../out.txt", b"no"), ("__MACOSX/x", b"no"), ("Mail/all.mbox", b"no"), ("big", bytes(range(256)) * 20_000), ("x/y.txt", b"again"), ("empty", b""), ("d/", b"")])
+    for k, method in enumerate([zipfile.ZIP_STORED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]):
+        _zip(tmp_path / f"m{k}.zip", [("m", b"some text " * 300_000)], method)
+    (tmp_path / "before.zip").write_bytes(b"a program" * 9 + (tmp_path / "m0.zip").read_bytes())
+    for name, mode in [("b.tar.gz", "w:gz"), ("c.tar", "w"), ("e.tar.bz2", "w:bz2")]:
+        with tarfile.open(tmp_path / name, mode) as t:
+            t.add(tmp_path / "m1.zip", "in.zip")
+            t.add(tmp_path / "m1.zip", "../leaves.zip")
+    (tmp_path / "f.txt.gz").write_bytes(gzip.compress(b"gz" * 9))
+    whole = (tmp_path / "a.zip").read_bytes()
     (tmp_path / "bad.zip").write_bytes(b"zip?")
-    got = {(os.path.basename(r.archive), r.member, r.skip, r.error) for r in files.members(files.archives(files.walk(spark, [str(tmp_path)]))).collect()}
-    assert got == {("a.zip", "x/y.txt", None, None), ("a.zip", "../out.txt", "outside", None), ("a.zip", "__MACOSX/x", "system", None), ("b.tar.gz", "in.zip", None, None), ("bad.zip", None, None, "BadZipFile")}
+    (tmp_path / "cut.zip").write_bytes(whole[: len(whole) // 2])
+    at = whole.index(b"big") + 3 + 200
+    (tmp_path / "flip.zip").write_bytes(whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :])
+    gz = (tmp_path / "b.tar.gz").read_bytes()
+    (tmp_path / "cut.tar.gz").write_bytes(gz[: len(gz) // 2])
+    (tmp_path / "old.rar").write_bytes(b"Rar!")
+    found = archives.archives(files.walk(spark, [str(tmp_path)]))
+    rows = archives.read_members(found, f"{tmp_path}/out", task_bytes=1 << 20).collect()
+    got = {(os.path.basename(r.archive), r.member): (r.skip, r.error, r.md5) for r in rows if r.skip != "replaced"}
+    md5 = lambda data: hashlib.md5(data).hexdigest()
+    text, inner = md5(b"some text " * 300_000), md5((tmp_path / "m1.zip").read_bytes())
+    assert {k[1]: v for k, v in got.items() if k[0] == "a.zip"} == {"x/y.txt": (None, None, md5(b"again")), "../out.txt": ("outside", None, None), "__MACOSX/x": ("system", None, None), "Mail/all.mbox": ("mail", None, None), "big": (None, None, md5(bytes(range(256)) * 20_000)), "empty": (None, None, md5(b""))}
+    assert sum(r.skip == "replaced" for r in rows if r.archive.endswith("/a.zip")) == 1
+    assert all(got[f"{n}.zip", "m"] == (None, None, text) for n in ("m0", "m1", "m2", "before"))
+    assert all(got[n, "in.zip"] == (None, None, inner) and got[n, "../leaves.zip"][0] == "outside" for n in ("b.tar.gz", "c.tar", "e.tar.bz2"))
+    assert got["f.txt.gz", "f.txt"] == (None, None, md5(b"gz" * 9))
+    assert got["bad.zip", None][1] == "NotAZip" and got["cut.zip", None][1] == "NotAZip" and got["old.rar", None][1] == "Format" and got["cut.tar.gz", None][1]
+    assert got["flip.zip", "big"][1] and got["flip.zip", "x/y.txt"] == (None, None, md5(b"again"))  # the others are read
+    for r in rows:
+        if r.target and not r.error:
+            with open(r.target, "rb") as f:
+                assert md5(f.read()) == r.md5
+    assert not os.path.exists(tmp_path / "out.txt") and not [f for _, _, names in os.walk(tmp_path / "out") for f in names if len(f) > 33]
+    listed = {(os.path.basename(r.archive), r.member, r.skip) for r in archives.members(found).filter("archive like '%/a.zip' or archive like '%/b.tar.gz'").collect()}
+    assert ("a.zip", "x/y.txt", None) in listed and ("b.tar.gz", "in.zip", None) in listed
+
+
+def test_drive_only_members():
+    skip = lambda m: archives.skip_of(m, only_drive=True)
+    assert [skip(m) for m in ("Takeout/Drive/a.txt", "Takeout/My Activity/Drive/x", "Takeout/Photos/a.jpg", "Takeout/Drive/My Activity/b", "Takeout/Drive/x.mbox")] == [None, "not_drive", "not_drive", "not_drive", "mail"]
+
+
+def test_a_zip_of_64_bit_fields(tmp_path):
+    with zipfile.ZipFile(tmp_path / "w.zip", "w") as z:
+        with z.open("wide", "w", force_zip64=True) as f:
+            f.write(b"x" * 1000)
+        for k in range(70_000):
+            z.writestr(f"n{k}", b"")
+    with open(tmp_path / "w.zip", "rb") as f:
+        found = list(archives.zip_entries(f))
+        assert len(found) == 70_001 and b"".join(archives._unpacked(f, found[0])) == b"x" * 1000
 
 
 def test_listings(spark, tmp_path):
