@@ -164,6 +164,31 @@ class Store:
             df = df.filter(~_within(m["key"][0], low, high))
         return df
 
+    def version(self) -> int:
+        return self._listed()[-1][0]
+
+    def note(self) -> dict:
+        """What the newest version says of itself."""
+        return ((self._manifest() or {}).get("note")) or {}
+
+    def changed_since(self, version: int, until: int | None = None) -> DataFrame | None:
+        """The keys that versions after the given one name; None where that isn't known, as all rows
+        were written, or a version between is forgotten."""
+        last = self.version() if until is None else until
+        known = {v for v, _ in self._listed()}
+        if not set(range(version, last + 1)) <= known:
+            return None
+        newest, found = self._manifest(last), []
+        for v in range(version + 1, last + 1):
+            m = self._manifest(v)
+            if m["did"] == "write" or not newest["key"]:
+                return None
+            if m["did"] != "compact":
+                part = m["parts"][-1]
+                found.append(f"{self.folder}/{part['keys_at'] or part['rows_at']}")
+        kinds = StructType([f for f in StructType.fromJson(newest["schema"]) if f.name in (newest["key"] or ())])
+        return self.spark.read.schema(kinds).parquet(*found).distinct() if found else self.spark.createDataFrame([], kinds)
+
     def versions(self) -> DataFrame:
         """version and modified of every version, newest first."""
         return self.spark.createDataFrame([(v, t / 1000) for v, t in reversed(self._listed())], "version int, modified double")
@@ -174,18 +199,18 @@ class Store:
 
     # writing ------------------------------------------------------------------------------------
 
-    def write(self, df: DataFrame) -> Store:
-        """df in place of all rows."""
+    def write(self, df: DataFrame, note: dict | None = None) -> Store:
+        """df in place of all rows. note: what the version should say of itself."""
         part = self._part(df, "whole")
         entry = {"rows_at": part["at"], "keys_at": None, "rows": part["rows"], "bytes": part["bytes"]}
-        return self._commit(lambda now, v: {"schema": df.schema.jsonValue(), "key": (now or {}).get("key"), "parts": [entry | {"v": v}]})
+        return self._commit(lambda now, v: {"schema": df.schema.jsonValue(), "key": (now or {}).get("key"), "parts": [entry | {"v": v}], "did": "write", "note": note})
 
     def append(self, new: DataFrame) -> Store:
         now = self._manifest()
         if now is None:
             return self.write(new)
         part = self._part(self._shaped(new, now), "more")
-        return self._commit(lambda m, v: m | {"parts": [*m["parts"], {"rows_at": part["at"], "keys_at": None, "rows": part["rows"], "bytes": part["bytes"], "v": v}]})
+        return self._commit(lambda m, v: m | {"parts": [*m["parts"], {"rows_at": part["at"], "keys_at": None, "rows": part["rows"], "bytes": part["bytes"], "v": v}], "did": "append"})
 
     def upsert(self, new: DataFrame, key: str | list[str]) -> Store:
         """Rows of new(..., seq) take the place of rows with their key; the latest by seq counts. Only
@@ -194,10 +219,10 @@ class Store:
         fresh = latest(new, keys, "seq").drop("seq")
         return self._over(fresh, None, keys)
 
-    def replace(self, new: DataFrame, key: str | list[str]) -> Store:
-        """All rows of the keys that new has give way to new's rows."""
+    def replace(self, new: DataFrame, key: str | list[str], named: DataFrame | None = None, note: dict | None = None) -> Store:
+        """All rows of the keys that new has, or of those in named, give way to new's rows."""
         keys = [key] if isinstance(key, str) else list(key)
-        return self._over(new, new.select(*keys).distinct(), keys)
+        return self._over(new, (new if named is None else named).select(*keys).distinct(), keys, note)
 
     def delete(self, gone: DataFrame) -> Store:
         """Rows whose key is in gone go."""
@@ -206,7 +231,7 @@ class Store:
             raise ValueError("a store without upserts has no key to delete by")
         return self._over(None, gone.select(*now["key"]).distinct(), now["key"])
 
-    def _over(self, rows: DataFrame | None, named: DataFrame | None, keys: list[str]) -> Store:
+    def _over(self, rows: DataFrame | None, named: DataFrame | None, keys: list[str], note: dict | None = None) -> Store:
         now = self._manifest()
         if now and now["key"] not in (None, keys):
             raise ValueError(f"the key of this store is {now['key']}")
@@ -219,7 +244,7 @@ class Store:
             if m and m["key"] not in (None, keys):
                 raise ValueError(f"the key of this store is {m['key']}")
             m = m or {"schema": schema, "parts": []}
-            return m | {"key": keys, "parts": [*m["parts"], entry | {"v": v}]}
+            return m | {"key": keys, "parts": [*m["parts"], entry | {"v": v}], "did": "change", "note": note}
 
         return self._commit(change)
 
@@ -253,7 +278,7 @@ class Store:
             held = [*(p for p in now["parts"] if "low" in p and p["rows_at"] not in gone), *(p | {"v": upto} for p in new)]
             least = min(p["v"] for p in held)  # all ranges hold the changes up to here
             late = [p for p in now["parts"] if "low" not in p and p["v"] > least]
-            return now | {"key": keys, "parts": [*held, *late]}
+            return now | {"key": keys, "parts": [*held, *late], "did": "compact"}
 
         return self._commit(change)
 

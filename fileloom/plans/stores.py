@@ -10,7 +10,7 @@ from ..functions import fixed
 from ..functions.paths import basename, dirname, extension, segments, slashes
 from ..functions.predicates import is_junk, is_structural, junk_kind, keyword
 from ..functions.scalars import human_size_short
-from ..operators import archives, catalog, duplicates, keepers, logstore, media, moves, reconcile, renaming, stores
+from ..operators import archives, catalog, duplicates, keepers, logstore, maintained, media, moves, reconcile, renaming, stores
 from ..operators.storage import shared_folder
 from ..sources import listings
 from .duplicates import CATS, GROUPS, KGROUPS, MARKED, RULE, _removals, _with
@@ -125,6 +125,18 @@ def q_vector_append(spark, sf):
     return store.read().groupBy("part").agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("width"))
 
 
+def q_maintained_groups(spark, sf):
+    """Groups kept over additions, a purge and its undo, brought up to date after each."""
+    f = files(spark, sf)
+    store = _store(spark, "kept-files").write(f.filter("file_id % 13 != 0"))
+    view = maintained.MaintainedGroups(store, f"{shared_folder(spark)}/kept-groups-{uuid.uuid4().hex}")
+    gone = f.filter("file_id % 50 = 1 and file_id % 13 != 0")
+    for change in (lambda: None, lambda: store.upsert(f.filter("file_id % 13 = 0").withColumn("seq", F.lit(1)), "path"), lambda: store.delete(gone.select("path")), lambda: store.upsert(gone.withColumn("seq", F.lit(1)), "path")):
+        change()
+        view.refresh(RULE)
+    return view.groups(RULE).select("md5", "keeper", "redundant_count", "reclaim", "cross_folder", "ambiguous")
+
+
 def q_media_replace(spark, sf):
     s = _segments(spark, sf).select("file_id", "seg", "role")
     fresh = s.filter("file_id % 3 = 0 and seg % 2 = 0").withColumn("role", F.lit("redone"))
@@ -506,6 +518,7 @@ QUERIES = {
     "snk13_moved_duplicates": q_moved_duplicates,
     "snk15_vector_append": q_vector_append,
     "snk16_media_replace": q_media_replace,
+    "st08_maintained_groups": q_maintained_groups,
     "src05_hash_passes": q_hash_passes,
     "src06_path_list": q_path_list,
     "src10_names": q_names,
@@ -600,6 +613,7 @@ SQL = {
     "snk13_moved_duplicates": _with(FILES_SQL) + ", v as (select *, '/v/' || file_id || '/' || source || '.txt' as src from files), p as (select src, '/dups/' || source || '.txt' as want, size from v where src <> (select min(x.src) from v x where x.md5 = v.md5)), " + NUMBERED.format(form=r"^(.*)_([1-9]\d*)\.txt$", ext=".txt", cut=r"\.txt$", left="_", right="") + " select * from o",
     "snk15_vector_append": "select (vec_id % 2)::int as part, count(*) as vectors, max(len(embedding))::int as width from embeddings group by 1",
     "snk16_media_replace": f"with {_SEG} select file_id, seg, case when file_id % 3 = 0 then 'redone' else role end as role from sg where file_id % 3 <> 0 or seg % 2 = 0 or file_id not in (select file_id from sg where file_id % 3 = 0 and seg % 2 = 0)",
+    "st08_maintained_groups": _with(FILES_SQL, MARKED, KGROUPS) + "select md5, keeper, redundant_count, reclaim::bigint as reclaim, cross_folder, ambiguous from kg where redundant_count > 0",
     "src05_hash_passes": _with(FILES_SQL) + ", l as (select file_id from files where size >= 500 and (file_id % 4 = 0 or (file_id % 3) * 0.5 >= 1)) select pass, n as hashed from (select 1 as pass, count(*) filter (where file_id % 2 = 0) as n, count(*) as k from l union all select 2, count(*) filter (where file_id % 2 <> 0), count(*) filter (where file_id % 2 <> 0) from l) where k > 0",
     "src06_path_list": _with(FILES_SQL) + "select state, count(*) as paths from (select case when size < 200 then 'too_small' when file_id % 4 <> 0 and (file_id % 3) * 0.5 < 1 then 'skipped_current' else 'to_hash' end as state from files where file_id % 5 < 2 union all select 'missing' from files where file_id % 9 = 0) group by state",
     "src10_names": "select distinct source as name from documents where doc_id % 5 <> 0",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, logstore
 from ..operators.storage import shared_folder, stored
 from ..sources import archives, files as walked_files
+from ..streaming import live
 from .tables import table
 
 
@@ -87,6 +88,19 @@ def q_catalog_crawl(spark, sf):
     return store.read().select(_below(F.col("path"), root).alias("rel"), "is_dir", F.when(F.col("is_dir") == 0, F.col("size")).otherwise(0).alias("size"), "scan_gen")
 
 
+def q_hashed_stream(spark, sf):
+    """Hashes of a tree's files from a stream of two crawls, between which some were changed."""
+    root = _folder(spark, "tree")
+    rows = _documents(spark, sf, root)
+    index, schema = logstore.Store(spark, f"file://{root}-index"), "path string, size long, mtime double"
+    changed = rows.filter("doc_id % 9 = 0").select("path", F.concat("data", F.lit(b"!")).alias("data"))
+    for some in (rows.select("path", "data"), changed):
+        _written(some)
+        live.enqueue(walked_files.wanted_files(walked_files.crawl(spark, [root])).select("path", "size", "mtime").repartition(4), f"{root}-queue")
+        live.index_new(live.arriving(spark, f"{root}-queue", schema), index, f"{root}-state", lambda batch: walked_files.hashed(batch).select("path", "size", "md5")).awaitTermination()
+    return index.read().select(_below(F.col("path"), root).alias("rel"), "size", "md5")
+
+
 _IN_ARCHIVE = 40
 
 
@@ -134,6 +148,7 @@ QUERIES = {
     "src02_walked_files": q_walked_files,
     "src04_catalog_crawl": q_catalog_crawl,
     "src14_archive_members": q_archive_members,
+    "st06_hashed_stream": q_hashed_stream,
 }
 
 SQL = {
@@ -153,6 +168,7 @@ UNION ALL SELECT rel || '.new', 0, length(CAST(doc_id AS VARCHAR)), 2 FROM d WHE
 UNION ALL SELECT s || '/' || k, 1, 0, CASE WHEN bool_or(doc_id % 7 = 0 OR doc_id % 11 = 0) THEN 2 ELSE 1 END FROM d GROUP BY s, k
 UNION ALL SELECT DISTINCT s, 1, 0, 1 FROM d UNION ALL SELECT '', 1, 0, 1
 """,
+    "st06_hashed_stream": f"SELECT {_PATHS} AS rel, CAST(strlen(t) AS BIGINT) AS size, md5(t) AS md5 FROM (SELECT *, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN '!' ELSE '' END AS t FROM documents)",
     "src14_archive_members": f"""
 WITH d AS (
     SELECT doc_id, doc_id // {_IN_ARCHIVE} AS g, coalesce(text, '') AS text, coalesce(lang, 'none') AS lang FROM documents

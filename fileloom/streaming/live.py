@@ -3,10 +3,13 @@ only, and the telemetry log."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..operators.logstore import Store
 
 
 def arriving(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -30,19 +33,47 @@ def groups_so_far(spark: SparkSession, target: str, key: str = "hash") -> DataFr
     return rows.filter("copies > 1").withColumn("reclaim", (F.col("copies") - 1) * F.col("size"))
 
 
-def index_new(files: DataFrame, index: str, checkpoint: str, hashes: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Hashes rows that the index lacks, batch by batch; a batch that is run again replaces its own part."""
+def enqueue(files: DataFrame, folder: str, batch: int = 300) -> None:
+    """Adds files to the queue of a hashing stream, as parts of at most batch rows."""
+    files.write.option("maxRecordsPerFile", batch).mode("append").parquet(folder)
+
+
+class _Unhashed(StatefulProcessor):
+    """Per path the size and mtime that were last hashed; lets through what differs."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "size long, mtime double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+        newest = None
+        for b in rows:
+            for r in b.itertuples(index=False):
+                if newest is None or (r.mtime, r.size) > (newest.mtime, newest.size):
+                    newest = r
+        known = self.last.get() if self.last.exists() else None
+        if newest is not None and (known is None or tuple(known) != (newest.size, newest.mtime)):
+            self.last.update((int(newest.size), float(newest.mtime)))
+            yield pd.DataFrame({"path": [key[0]], "size": [newest.size], "mtime": [newest.mtime]})
+
+    def close(self) -> None:
+        pass
+
+
+def index_new(files: DataFrame, index: Store, checkpoint: str, hashes: Callable[[DataFrame], DataFrame], compact_after: int = 50) -> StreamingQuery:
+    """Hashes the paths of a stream(path, size, mtime) that are new, or of another size or mtime than
+    when they were last hashed. What was hashed is state, by path: no batch reads the index, to which
+    each adds its own rows; the index is compacted every so many batches. A batch that runs again
+    gives the same rows for the same paths. hashes(rows) returns rows with hashes, a path once."""
+    spark = files.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    fresh = files.select("path", "size", "mtime").groupBy("path").transformWithStateInPandas(_Unhashed(), "path string, size long, mtime double", "Update", "None")
 
     def add(batch: DataFrame, number: int) -> None:
-        spark, part = batch.sparkSession, f"{index}/batch={number}"
-        rows = batch.dropDuplicates(["path", "size", "mtime"])
-        where = spark._jvm.org.apache.hadoop.fs.Path(index)
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):  # not before the first batch
-            known = spark.read.parquet(index).filter(F.col("batch") != number)
-            rows = rows.join(known.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
-        hashes(rows).write.mode("overwrite").parquet(part)
-
-    return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
+        index.upsert(hashes(batch).withColumn("seq", F.lit(number)), "path")
+        if number % compact_after == compact_after - 1:
+            index.compact()
+
+    return fresh.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
 
 
 def append_log(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

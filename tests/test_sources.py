@@ -6,6 +6,7 @@ import os
 import tarfile
 import zipfile
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from fileloom.operators import catalog, logstore
@@ -194,19 +195,48 @@ def test_listings(spark, tmp_path):
 
 def test_streams_go_on_where_they_ended(spark, tmp_path):
     schema = "path string, hash string, size long, mtime double"
-
-    def add(rows):
+    for rows in ([("a", "h", 3, 1.0), ("b", "h", 3, 1.0)], [("c", "h", 3, 1.0), ("a", "h", 3, 1.0), ("d", "k", 1, 1.0)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live.running_groups(live.arriving(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", f"{tmp_path}/s1").awaitTermination()
+    assert [tuple(r) for r in live.groups_so_far(spark, f"{tmp_path}/out").collect()] == [("h", 3, 4, 9)]
 
-    read = []
 
-    def hashes(rows):
-        read.extend(r.path for r in rows.collect())
-        return rows
+def test_a_hashing_stream_keeps_what_it_hashed_as_state(spark, tmp_path):
+    schema, read, dies = "path string, size long, mtime double", [], []
+    index = logstore.Store(spark, f"file://{tmp_path}/index")
 
-    for rows in ([("a", "h", 3, 1.0), ("b", "h", 3, 1.0)], [("c", "h", 3, 1.0), ("a", "h", 3, 1.0), ("d", "k", 1, 1.0)]):
-        add(rows)
-        live.running_groups(live.arriving(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", f"{tmp_path}/s1").awaitTermination()
-        live.index_new(live.arriving(spark, f"{tmp_path}/in", schema), f"{tmp_path}/index", f"{tmp_path}/s2", hashes).awaitTermination()
-    assert [tuple(r) for r in live.groups_so_far(spark, f"{tmp_path}/out").collect()] == [("h", 3, 4, 9)]
-    assert sorted(read) == ["a", "b", "c", "d"]
+    def hashes(rows):
+        found = rows.collect()
+        if dies:
+            raise OSError(dies.pop())
+        read.append(sorted(r.path for r in found))
+        return spark.createDataFrame(found, rows.schema).withColumn("md5", F.md5(F.concat("path", F.col("size").cast("string")).cast("binary")))
+
+    def run():
+        stream = live.index_new(live.arriving(spark, f"{tmp_path}/in", schema, files_per_batch=1), index, f"{tmp_path}/state", hashes)
+        stream.awaitTermination()
+
+    first = [(f"/p/{k:04d}", k, 1.0) for k in range(700)]
+    live.enqueue(spark.createDataFrame(first, schema).coalesce(1), f"{tmp_path}/in", batch=300)
+    run()
+    assert sorted(map(len, read)) == [100, 300, 300]
+    want = {p: s for p, s, _ in first}
+    assert {r.path: r["size"] for r in index.read().collect()} == want
+    # a second run: known rows, changed ones and new ones; the index's rows can't be read meanwhile
+    os.rename(tmp_path / "index" / "data", tmp_path / "index" / "away")
+    (tmp_path / "index" / "data").mkdir()
+    more = [*first[:50], ("/p/0007", 7, 2.0), ("/p/0008", 9, 1.0), ("/q", 1, 1.0)]
+    live.enqueue(spark.createDataFrame(more, schema).coalesce(1), f"{tmp_path}/in")
+    dies.append("lost")
+    try:
+        run()
+        raise AssertionError("the batch was to die")
+    except StreamingQueryException:
+        pass
+    read.clear()
+    run()  # the same batch again
+    assert read == [["/p/0007", "/p/0008", "/q"]]
+    for part in (tmp_path / "index" / "away").iterdir():
+        os.rename(part, tmp_path / "index" / "data" / part.name)
+    want |= {"/p/0008": 9, "/q": 1}
+    assert {r.path: r["size"] for r in index.read().collect()} == want and index.read().count() == len(want)
