@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.names import export_path
 from ..functions.paths import basename, dirname, extension, stem
 from ..functions.predicates import has_revision
-from .storage import stored
+from .storage import numbered, stored
 
 LEAST_PREFIX = 10
 
@@ -33,30 +33,52 @@ def by_path(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def one_to_one(rows: DataFrame, keys: list[str], takes_part: Column) -> DataFrame:
     """rows(side, rel, id, ...) with partner and partner_id: of rows with equal keys the first of one
-    side by rel goes with the first of the other, the second with the second; null without one."""
-    own = rows.withColumn("_in", takes_part)
-    own = own.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "side", "_in").orderBy("rel")))
-    pair = Window.partitionBy(*keys, "_in", "_k")
-    other = lambda side, c: F.max(F.when((F.col("side") == side) & F.col("_in"), F.col(c))).over(pair)
-    mine = F.col("side") == "remote"
-    return own.withColumns({"partner": F.when(F.col("_in"), F.when(mine, other("local", "rel")).otherwise(other("remote", "rel"))), "partner_id": F.when(F.col("_in") & ~mine, other("remote", "id"))}).drop("_in", "_k")
+    side by rel goes with the first of the other, the second with the second; null without one.
+
+    A key that each side has once needs no order, and most are like that: counts and least names by
+    key find their partners. Only contested keys are numbered, spread over all tasks by key and name;
+    rows that don't take part meet no others at all."""
+    local, remote = F.col("side") == "local", F.col("side") == "remote"
+    within = F.coalesce(takes_part, F.lit(False))
+    named = lambda side, c: F.min(F.when(side, F.col(c)))
+    sides = rows.filter(within).groupBy(*keys).agg(F.count_if(local).alias("_l"), F.count_if(remote).alias("_r"), named(local, "rel").alias("_lrel"), named(remote, "rel").alias("_rrel"), named(remote, "id").alias("_rid"))
+    sides = sides.filter("_l > 0 and _r > 0").withColumn("_in", F.lit(True))
+    asked = rows.withColumn("_in", within)
+    both = stored(asked.filter("_in").join(sides, [*keys, "_in"], "left").unionByName(asked.filter("not _in"), allowMissingColumns=True), "paired")
+    extra = ["_in", "_l", "_r", "_lrel", "_rrel", "_rid"]
+    single = F.col("_l") * F.col("_r") == 1
+    easy = both.filter(F.coalesce(single, F.lit(True)))
+    easy = easy.withColumns({"partner": F.when(single, F.when(remote, F.col("_lrel")).otherwise(F.col("_rrel"))), "partner_id": F.when(single & local, F.col("_rid"))}).drop(*extra)
+    contested = both.filter("_l * _r > 1").drop(*extra)
+    if contested.isEmpty():
+        return easy
+    of = Window.partitionBy(*keys, "_k")
+    other = lambda side, c: F.max(F.when(side, F.col(c))).over(of)
+    ranked = numbered(contested, [*keys, "side"], ["rel"], "_k")
+    hard = ranked.withColumns({"partner": F.when(remote, other(local, "rel")).otherwise(other(remote, "rel")), "partner_id": F.when(local, other(remote, "id"))}).drop("_k")
+    return easy.unionByName(hard)
 
 
 def prefix_pairs(remote: DataFrame, local: DataFrame) -> DataFrame:
-    """Remote names (both sides with rel, size and their normal form norm) of which a local one of the same folder and extension is a cut: (to_rel,
-    from_rel). A remote takes its only candidate, or the only one of its size; a local file that
-    several remotes would take goes to the first of them by path."""
+    """Remote names (both sides with rel, size and their normal form norm) of which a local one of the
+    same folder and extension is a cut: (to_rel, from_rel). A remote takes its only candidate, or the
+    only one of its size; a local file that several remotes would take goes to the first of them by
+    path. A remote stem is cut to the lengths that local stems have, at most as many as a name has
+    characters, and the cuts are joined by equality: names that only begin alike never meet."""
 
     def split(df: DataFrame, tag: str) -> DataFrame:
         rows = df.select(F.col("rel").alias(f"{tag}_rel"), F.col("size").alias(f"{tag}_size"), dirname("norm").alias("folder"), basename("norm").alias("base"))
-        rows = rows.select(f"{tag}_rel", f"{tag}_size", "folder", extension("base").alias("ext"), stem("base").alias(f"{tag}_stem"))
-        return rows.withColumn("head", F.substring(f"{tag}_stem", 1, LEAST_PREFIX)).filter(F.length(f"{tag}_stem") >= LEAST_PREFIX)
+        rows = rows.select(f"{tag}_rel", f"{tag}_size", "folder", extension("base").alias("ext"), stem("base").alias("stem"))
+        return rows.filter(F.length("stem") >= LEAST_PREFIX)
 
-    pairs = split(remote, "to").join(split(local, "from"), ["folder", "ext", "head"]).filter(F.startswith("to_stem", "from_stem"))
-    counts = pairs.groupBy("to_rel").agg(F.count("*").alias("n"), F.count_if(F.col("to_size") == F.col("from_size")).alias("same"))
-    chosen = pairs.join(counts, "to_rel").filter((F.col("n") == 1) | ((F.col("same") == 1) & (F.col("to_size") == F.col("from_size"))))
-    first = chosen.groupBy("from_rel").agg(F.min("to_rel").alias("to_rel"))
-    return first.select("to_rel", "from_rel")
+    own = split(local, "from")
+    lengths = F.array(*(F.lit(n) for n in sorted(r[0] for r in own.select(F.length("stem")).distinct().collect())))
+    wanted = F.filter(lengths, lambda n: n <= F.length("stem"))
+    cuts = split(remote, "to").withColumn("stem", F.explode(F.transform(wanted, lambda n: F.substring(F.col("stem"), F.lit(1), n))))
+    pairs = cuts.join(own, ["folder", "ext", "stem"])
+    per = pairs.groupBy("to_rel").agg(F.count("*").alias("n"), F.min("from_rel").alias("only"), F.count_if(F.col("to_size") == F.col("from_size")).alias("same"), F.min(F.when(F.col("to_size") == F.col("from_size"), F.col("from_rel"))).alias("alike"))
+    chosen = per.select("to_rel", F.when(F.col("n") == 1, F.col("only")).when(F.col("same") == 1, F.col("alike")).alias("from_rel")).filter("from_rel is not null")
+    return chosen.groupBy("from_rel").agg(F.min("to_rel").alias("to_rel")).select("to_rel", "from_rel")
 
 
 def actions(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -74,15 +96,16 @@ def actions(local: DataFrame, remote: DataFrame) -> DataFrame:
     both = state.filter(lone).select(F.when(mine, "local").otherwise("remote").alias("side"), "rel", "id", F.when(mine, F.col("local_size")).otherwise(F.col("remote_size")).alias("size"), F.coalesce(F.when(mine, F.col("local_md5")).otherwise(F.col("remote_md5")), F.lit("")).alias("md5"), "norm", "stamped")
     old = (F.col("side") == "local") & F.col("stamped") & F.col("current").isNotNull()
     both = both.join(current, "norm", "left").withColumn("artifact", old).drop("current")
-    named = stored(one_to_one(both, ["norm"], ~F.col("artifact")), "named")
+    named = one_to_one(both, ["norm"], ~F.col("artifact"))
     left = named.filter("partner is null and not artifact")
     cut = prefix_pairs(left.filter("side = 'remote'"), left.filter("side = 'local'"))
     cut = cut.select(F.explode(F.array(F.struct(F.lit("remote").alias("side"), F.col("to_rel").alias("rel"), F.col("from_rel").alias("cut")), F.struct(F.lit("local").alias("side"), F.col("from_rel").alias("rel"), F.col("to_rel").alias("cut")))).alias("c")).select("c.*")
     left = left.drop("partner", "partner_id").join(cut, ["side", "rel"], "left")
-    known = F.max(F.when((F.col("side") == "remote") & F.col("cut").isNull(), 1)).over(Window.partitionBy("size"))
-    left = left.withColumn("known", F.coalesce(known, F.lit(0)))
-    by_content = F.col("cut").isNull() & (F.col("md5") != "") & ((F.col("side") == "remote") | (F.col("known") == 1))
-    left = one_to_one(left, ["md5"], by_content)
+    left = stored(left, "left")
+    sizes = left.filter("side = 'remote' and cut is null").select("size").distinct().withColumn("known", F.lit(True))
+    open_ = F.col("cut").isNull() & (F.col("md5") != "")
+    left = left.filter(open_).join(sizes, left["size"].eqNullSafe(sizes["size"]), "left").drop(sizes["size"]).unionByName(left.filter(~F.coalesce(open_, F.lit(False))).withColumn("known", F.lit(None).cast("boolean")))
+    left = one_to_one(left, ["md5"], open_ & ((F.col("side") == "remote") | F.col("known")))
 
     none = F.lit(None).cast("string")
     direct = state.filter(~lone).select(F.col("state").alias("action"), "rel", none.alias("from_rel"), F.col("id").cast("long").alias("id"), none.alias("via"))
