@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .storage import stored
+
 
 def sentences(items: DataFrame) -> DataFrame:
     """items(file_id, seq, kind, content, start_time, end_time, confidence) to sentences: file_id,
@@ -59,33 +64,77 @@ def bundle(files: DataFrame, segments: DataFrame, topics: DataFrame, keywords: D
     return out
 
 
-def with_speakers(segments: DataFrame, speakers: DataFrame) -> DataFrame:
-    """The first speaker interval (by ord) that holds a segment's midpoint; null without one."""
-    mid = segments.withColumn("mid", (F.col("start_time") + F.col("end_time")) / 2)
-    s = speakers.select("file_id", F.col("start_time").alias("s"), F.col("end_time").alias("e"), "speaker", "ord")
-    hit = mid.join(s, (mid.file_id == s.file_id) & (s.s <= mid.mid) & (mid.mid <= s.e)).groupBy(mid.file_id, "seg").agg(F.min(F.struct("ord", "speaker")).alias("h"))
-    return segments.join(hit.select("file_id", "seg", F.col("h.speaker").alias("speaker")), ["file_id", "seg"], "left")
+#: Seconds of a bin of the interval join.
+BIN = 1.0
+
+
+def with_speakers(segments: DataFrame, speakers: DataFrame, bin_seconds: float = BIN) -> DataFrame:
+    """The first speaker interval (by ord) that holds a segment's midpoint; null without one.
+
+    Time is cut into bins. An interval is registered in the bins of its two ends, where times are
+    compared, and as the fewest aligned blocks of 1, 2, 4, ... whole bins in between, where they need
+    not be: of each block only the first interval is kept. A midpoint looks its bin up, and the one
+    block of each size that holds it. So what a segment meets doesn't grow with the intervals of its
+    file, and a file is spread by its bins."""
+    at = lambda c: F.floor(F.col(c) / bin_seconds)
+    mid = segments.select("file_id", "seg", ((F.col("start_time") + F.col("end_time")) / 2).alias("mid")).filter("mid is not null").withColumn("bin", at("mid"))
+    s = speakers.select(F.col("file_id"), F.col("start_time").alias("s"), F.col("end_time").alias("e"), F.struct("ord", "speaker").alias("h")).filter("s <= e").withColumns({"first": at("s"), "last": at("e")})
+    ends = s.select("file_id", "s", "e", "h", F.explode(F.array_distinct(F.array("first", "last"))).alias("bin"))
+    near = mid.join(ends, ["file_id", "bin"]).filter("s <= mid and mid <= e").select("file_id", "seg", "h")
+    blocks = F.expr("""filter(flatten(transform(sequence(0, 52), j -> transform(
+        array(named_struct('l', -floor(-(first + 1) / power(2, j)), 'r', floor(last / power(2, j)))),
+        x -> named_struct('j', j, 'l', x.l, 'r', x.r)))), x -> x.l < x.r and (x.l % 2 <> 0 or x.r % 2 <> 0))""")
+    pieces = s.filter("last - first > 1").select("file_id", "h", F.explode(blocks).alias("x"))
+    pieces = pieces.select("file_id", "h", F.col("x.j").alias("size"), F.explode(F.array_compact(F.array(F.when(F.col("x.l") % 2 != 0, F.col("x.l")), F.when(F.col("x.r") % 2 != 0, F.col("x.r") - 1)))).alias("block"))
+    pieces = stored(pieces.groupBy("file_id", "size", "block").agg(F.min("h").alias("h")), "blocks")
+    sizes = [r[0] for r in pieces.select("size").distinct().orderBy("size").collect()]  # 53 at most
+    asked = mid.select("file_id", "seg", F.explode(F.array(*(F.struct(F.lit(j).alias("size"), F.floor(F.col("bin") / 2.0**j).alias("block")) for j in sizes))).alias("x")).select("file_id", "seg", "x.size", "x.block") if sizes else None
+    hits = near if asked is None else near.unionByName(asked.join(pieces, ["file_id", "size", "block"]).select("file_id", "seg", "h"))
+    best = hits.groupBy("file_id", "seg").agg(F.min("h").alias("h"))
+    return segments.join(best.select("file_id", "seg", F.col("h.speaker").alias("speaker")), ["file_id", "seg"], "left")
+
+
+def _chunk_numbers(start: np.ndarray, seconds: float, began: float, chunk: int) -> tuple[np.ndarray, float, int]:
+    """Chunks of one file's sorted starts, going on from a chunk: one step for each chunk."""
+    out, at = np.empty(len(start), dtype=np.int32), 0
+    while at < len(start):
+        if not chunk or start[at] - began > seconds:
+            began, chunk = start[at], chunk + 1
+        to = max(at + 1, int(np.searchsorted(start, began + seconds, side="right")))
+        while to < len(start) and start[to] - began <= seconds:  # the sum may have been rounded
+            to += 1
+        while to > at + 1 and start[to - 1] - began > seconds:
+            to -= 1
+        out[at:to] = chunk
+        at = to
+    return out, began, chunk
 
 
 def chunks(segments: DataFrame, seconds: float = 60.0) -> DataFrame:
     """Segments (file_id, start_time, end_time, text) to chunks that begin anew once a segment
     starts more than so many seconds after the chunk did: file_id, chunk, start_time, end_time,
-    text, n_segments. Files' sorted segments stream past one state; no file is held whole."""
+    text, n_segments. Files' sorted segments stream past one state; no file is held whole. Segments
+    without a start stand first, in a chunk of their own."""
     n = max(1, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = segments.select("file_id", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"), "text")
     schema = rows.withColumn("chunk", F.lit(0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, began, chunk = None, 0.0, 0
+        file, began, chunk = object(), 0.0, 0
         for b in batches:
+            if not b.num_rows:
+                continue
+            start = pc.fill_null(b.column("start_time"), -1e300).to_numpy(zero_copy_only=False)
+            code = b.column("file_id").dictionary_encode(null_encoding="encode")
+            of, names = code.indices.to_numpy(), code.dictionary.to_pylist()
+            bounds = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
             numbers = []
-            for f, t in zip(b.column("file_id").to_pylist(), b.column("start_time").to_pylist()):
-                if f != file or not chunk:
-                    file, began, chunk = f, t, 1
-                elif t - began > seconds:
-                    began, chunk = t, chunk + 1
-                numbers.append(chunk)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int32())], [*b.schema.names, "chunk"])
+            for low, high in itertools.pairwise(bounds):
+                if names[of[low]] != file:
+                    file, began, chunk = names[of[low]], 0.0, 0
+                made, began, chunk = _chunk_numbers(start[low:high], seconds, began, chunk)
+                numbers.append(made)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(numbers))], [*b.schema.names, "chunk"])
 
     ordered = rows.repartition(n, "file_id").sortWithinPartitions("file_id", "start_time", "end_time", "text")
     numbered = ordered.mapInArrow(run, schema)

@@ -6,56 +6,86 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import unit
 from .storage import stored
 
-
-#: Queries that are sent to all tasks at once.
-QUERY_ROWS = 4096
+#: Query vectors in one block, and bytes of vectors that a task multiplies with each of them.
+QUERY_ROWS = 2048
+HELD_BYTES = 32 << 20
 
 
 def similar(vectors: DataFrame, query: DataFrame, k: int = 10, least: float = 0.3) -> DataFrame:
     """For each query(query_id, v) the k nearest of vectors(vec_id, v) by cosine, from least up.
 
-    Queries are taken in blocks of at most QUERY_ROWS, one matrix each; a task multiplies its
-    batches with a block and passes on k rows per query and batch, so that what is sent, held and
-    shuffled is bounded whatever the number of queries."""
-    spark = query.sparkSession
-    asked = stored(query.select(F.col("query_id").cast("long"), unit("v").alias("q")).filter("query_id is not null and q is not null"), "queries")
-    blocks = max(1, -(-asked.count() // (QUERY_ROWS // 2)))
-    own = vectors.select(F.col("vec_id").cast("long"), unit("v").alias("u")).filter("u is not null")
-    out = None
-    for n in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).limit(QUERY_ROWS + 1).collect()
-        if len(rows) > QUERY_ROWS:
-            raise ValueError("query_ids repeat too often for a block of queries")
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), np.array([r.q for r in rows], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                vec, u = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("u").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                for at in range(0, len(vec), 1024):
-                    score = np.round(u[at : at + 1024] @ q.T, 6)
-                    r, c = np.nonzero(score >= least)
-                    x, v = score[r, c], vec[at + r]
-                    order = np.lexsort((v, -x, c))
-                    c, x, v = c[order], x[order], v[order]
-                    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, int)
-                    nth = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
-                    top = nth < k
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[c[top]]), pa.array(v[top]), pa.array(x[top])], ["query_id", "vec_id", "score"])
-
-        found = own.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = found if out is None else out.union(found)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    Queries are stored as blocks of about QUERY_ROWS, one row group of a file each. A task holds
+    vectors up to HELD_BYTES, takes one block after another from the shared folder, and passes on at
+    most k rows for each query. The plan is the same for any number of queries, and neither queries
+    nor vectors pass the driver. Vectors of another width than a query's aren't compared with it."""
+    asked = query.select(F.col("query_id").cast("long"), unit("v").alias("q")).filter("query_id is not null and q is not null")
+    n = stored(asked, "asked")
+    blocks = max(1, -(-n.count() // QUERY_ROWS))
+    dealt = stored(n.repartition(blocks, F.xxhash64("query_id", "q")), "queries")
+    files, own = dealt.inputFiles(), vectors.select(F.col("vec_id").cast("long"), unit("v").alias("u")).filter("u is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in _held(batches):
+            for path in files:
+                system, at = fs.FileSystem.from_uri(path)
+                with system.open_input_file(at) as f:
+                    for q in pq.ParquetFile(f).iter_batches(QUERY_ROWS, columns=["query_id", "q"]):
+                        yield from _nearest(u, q, k, least)
+
+    found = own.mapInArrow(run, "query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= HELD_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _by_width(ids: pa.ChunkedArray | pa.Array, vectors: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the vectors of each width."""
+    widths, ids, out = pc.list_value_length(vectors).to_numpy(zero_copy_only=False) if isinstance(vectors, pa.Array) else pc.list_value_length(vectors).to_numpy(), np.asarray(ids), {}
+    for w in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == w)
+        values = pc.list_flatten(vectors.take(pa.array(rows)))
+        out[w] = (ids[rows], np.asarray(values, dtype=np.float64).reshape(len(rows), w))
+    return out
+
+
+def _nearest(u: pa.Table, q: pa.RecordBatch, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    vectors = _by_width(u.column("vec_id"), u.column("u"))
+    for w, (ids, asked) in _by_width(q.column("query_id"), q.column("q")).items():
+        vec, own = vectors.get(w, (np.zeros(0, np.int64), None))
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(vec), 1024):
+            score = np.round(own[at : at + 1024] @ asked.T, 6)
+            r, c = np.nonzero(score >= least)
+            best.append((c, score[r, c], vec[at + r]))
+        if not best:
+            continue
+        c, x, v = (np.concatenate(p) for p in zip(*best, strict=True))
+        order = np.lexsort((v, -x, c))
+        c, x, v = c[order], x[order], v[order]
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, int)
+        top = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c)))) < k
+        yield pa.RecordBatch.from_arrays([pa.array(ids[c[top]]), pa.array(v[top]), pa.array(x[top])], ["query_id", "vec_id", "score"])
+
+
 def tag_score(tags: Column, query: dict) -> Column:
     """Mean over the query's criteria of the share of its words found in the frame's tags, as parts
     of a name or attribute; content_type counts whole."""
