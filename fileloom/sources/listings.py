@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.storage import stored
+from .csvranges import RANGE_BYTES, read_ranges
 
 
-def csv_listing(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def csv_listing(spark: SparkSession, path: str, columns: list[str], expect_rows: bool = False, retries: int = 1, again: Callable[[], None] | None = None, wait: float = 2.0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The named columns as text, whichever of them the files have; a column that a file lacks is
-    null, so that listings of several versions can be read together."""
-    found = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    return found.select(*(F.col(f"`{c}`").alias(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    null, so that listings of several versions can be read together. Large files are read by many
+    tasks, whatever their quotes hold.
+
+    Where rows are expected, a listing without any counts as a failure that may pass: it is asked for
+    again (by the caller's function) and read anew after a pause, so many times; then it is empty."""
+    for left in range(retries, -1, -1):
+        try:
+            found = read_ranges(spark, path, columns, range_bytes)
+        except AnalysisException:  # there is no file
+            if not left or not expect_rows:
+                return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+        else:
+            if not left or not expect_rows or not found.isEmpty():
+                return found
+        time.sleep(wait)
+        if again:
+            again()
+    raise AssertionError("the last try returns")
 
 
 def names(listing: DataFrame, column: str) -> DataFrame:
