@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm
-from ..operators import drives, media, visual
+from ..operators import drives, media, textindex, visual
+from ..operators.storage import shared_folder
 from .tables import table
 
 TAGS = {"objects": ["rock", "red"], "materials": ["granite"], "scene_tags": ["out", "night"], "content_type": "photo"}
@@ -59,6 +60,17 @@ def q_full_text(spark, sf):
     return media.full_text(_fts(spark, sf), "the that", 40).select("id", F.round("score", 5).alias("score"))
 
 
+def q_indexed_text(spark, sf):
+    """The same search from an index."""
+    index = textindex.TextIndex.built(_fts(spark, sf), f"{shared_folder(spark)}/text-index")
+    return index.full_text("the that", 40).select("id", F.round("score", 5).alias("score"))
+
+
+def q_indexed_like(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return textindex.TextIndex.built(d, f"{shared_folder(spark)}/text-index").like(d, "Ing the").select("id")
+
+
 def q_topic_search(spark, sf):
     return media.search_topics(_topics(spark, sf), media.keyword_frequency(_keywords(spark, sf)), _media_files(spark, sf), "TOPIC 3", 30).select("section", "file_id", "topic", "start_time", "weight")
 
@@ -191,6 +203,8 @@ QUERIES = {
     "ag23_keyword_frequency": lambda s, d: media.keyword_frequency(_keywords(s, d)).drop("key"),
     "ag30_speakers_detected": lambda s, d: q_speakers(s, d).groupBy("file_id").agg(F.countDistinct("speaker").alias("speakers")),
     "so08_full_text": q_full_text,
+    "so08_indexed_text": q_indexed_text,
+    "q06_indexed_like": q_indexed_like,
     "so09_topic_search": q_topic_search,
     "jn21_visual_search": q_visual_search,
     "fn44_scenes": q_scenes,
@@ -256,3 +270,4 @@ select u.resource, case when coalesce(score,0) >= 0.3 then drive end as drive, r
     "fn53_throughput": "select event_id, round(value / greatest(epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts, event_id), 1.0), 6) as rate from events",
     "st07_event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as n from events group by 1, 2",
 }
+SQL |= {"so08_indexed_text": SQL["so08_full_text"], "q06_indexed_like": "select doc_id as id from documents where contains(lower(text), 'ing the')"}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, logstore
 from ..operators.storage import shared_folder, stored
-from ..sources import archives, files as walked_files
+from ..sources import archives, files as walked_files, listings
 from ..streaming import live
 from .tables import table
 
@@ -104,6 +104,15 @@ def q_hashed_stream(spark, sf):
 _IN_ARCHIVE = 40
 
 
+def q_csv_listing(spark, sf):
+    """Texts with their line ends and quotes, written as CSV and read by ranges."""
+    at = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    d.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at)
+    read = listings.csv_listing(spark, at, ["doc_id", "text", "source", "owner"], expect_rows=True, range_bytes=1 << 16)
+    return read.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("md5"), "source", "owner")
+
+
 def q_archive_members(spark, sf):
     """Texts in zip, tar and compressed tar archives of forty, some cut, written and read back."""
     root = _folder(spark, "archives")
@@ -147,6 +156,7 @@ QUERIES = {
     "src01_crawled_tree": q_crawled_tree,
     "src02_walked_files": q_walked_files,
     "src04_catalog_crawl": q_catalog_crawl,
+    "src09_csv_listing": q_csv_listing,
     "src14_archive_members": q_archive_members,
     "st06_hashed_stream": q_hashed_stream,
 }
@@ -168,6 +178,7 @@ UNION ALL SELECT rel || '.new', 0, length(CAST(doc_id AS VARCHAR)), 2 FROM d WHE
 UNION ALL SELECT s || '/' || k, 1, 0, CASE WHEN bool_or(doc_id % 7 = 0 OR doc_id % 11 = 0) THEN 2 ELSE 1 END FROM d GROUP BY s, k
 UNION ALL SELECT DISTINCT s, 1, 0, 1 FROM d UNION ALL SELECT '', 1, 0, 1
 """,
+    "src09_csv_listing": "SELECT doc_id, length(text) AS chars, md5(text) AS md5, source, CAST(NULL AS VARCHAR) AS owner FROM documents",
     "st06_hashed_stream": f"SELECT {_PATHS} AS rel, CAST(strlen(t) AS BIGINT) AS size, md5(t) AS md5 FROM (SELECT *, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN '!' ELSE '' END AS t FROM documents)",
     "src14_archive_members": f"""
 WITH d AS (
