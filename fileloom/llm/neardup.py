@@ -32,6 +32,8 @@ MANTISSA = 10
 DEVIATIONS = 6
 #: Members, and outsiders, of a bucket in one cell of comparisons.
 CELL_ROWS = 2048
+#: Shingles of each side of a cell, some 32 MB of hashes; a larger document is alone on its side.
+CELL_SHINGLES = 4 << 20
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -177,7 +179,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """rep and its sorted shingle hashes as bytes, for the classes listed. A class is found by its
-    smallest doc_id and its fingerprint, as several texts may bear one doc_id."""
+    smallest doc_id and its fingerprint, as several texts may bear one doc_id. The ids have no bound
+    in size, so they are joined in one way, by a merge, at every size."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -185,7 +188,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             h, at = shingle_sets(words(data, bounds), b.num_rows, size)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, fingerprints(h, at)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "set_a", "set_b", "members"])
 
-    wanted = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(classes.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     found = wanted.mapInArrow(released(collect), "doc_id long, set_a long, set_b long, members binary")
     return found.join(classes.select("doc_id", "set_a", "set_b", "rep"), ["doc_id", "set_a", "set_b"]).select("rep", "members").dropDuplicates(["rep"])
 
@@ -288,22 +291,27 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components: each class outside the largest component of its unit
-    against all of the unit, in cells of about CELL_ROWS x CELL_ROWS. Buckets that share members
-    make a family; a family that fits a cell is one unit, so that its members are compared once,
+    against all of the unit, in cells of about CELL_ROWS x CELL_ROWS, and of no more than some
+    CELL_SHINGLES on a side. Buckets that share members make a family; a family that fits a cell is one unit, so that its members are compared once,
     and of a larger one each bucket is a unit, so that only pairs that share a band are compared.
     Registers choose the rows of a cell that may have a link at all; only their full sets are
     shuffled."""
     named = own.select(F.col("id").alias("rep"), F.col("component").alias("c"))
     kin = family.select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    kin = kin.join(classes.select("rep", "n_shingles"), "rep").join(named, "rep", "left").select("rep", "family", "n_shingles", F.coalesce("c", "rep").alias("component"))
     kin = stored(kin.join(kin.groupBy("family").agg(F.count("*").alias("k")), "family").withColumn("large", F.col("k") > CELL_ROWS), "kin")
-    units = kin.filter("not large").select("large", F.col("family").alias("band"), "rep")
-    units = units.union(buckets.join(kin.filter("large").select("rep", "large"), "rep").select("large", "band", "rep"))
-    members = units.join(named, "rep", "left").select("large", "band", "rep", F.coalesce("c", "rep").alias("component"))
-    parts = members.groupBy("large", "band", "component").agg(F.count("*").alias("k"))
-    whole = parts.groupBy("large", "band").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("k"), F.count("*").alias("parts")).filter("parts > 1")
-    cells = lambda k: F.ceil(k / CELL_ROWS).cast("int")
-    whole = whole.select("large", "band", F.col("top.component").alias("major"), cells(F.col("k")).alias("blocks"), cells(F.col("k") - F.col("top.k")).alias("chunks"))
-    open_ = stored(members.join(whole, ["large", "band"]), "open")
+    # a bucket of a large family is open if a member is outside the family's largest component
+    large = kin.filter("large")
+    major = large.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "component")).alias("top")).select("family", F.col("top.component").alias("major"))
+    outside = large.join(major, "family").filter("component != major").select("rep")
+    touched = buckets.join(outside, "rep", "left_semi").select("band").distinct()
+    units = kin.filter("not large").select("large", F.col("family").alias("band"), "rep", "component", "n_shingles")
+    members = units.union(buckets.join(touched, "band", "left_semi").join(large, "rep").select("large", "band", "rep", "component", "n_shingles"))
+    parts = members.groupBy("large", "band", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("n"))
+    whole = parts.groupBy("large", "band").agg(F.max(F.struct("k", "component", "n")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    cells = lambda k, n: F.ceil(F.greatest(k / CELL_ROWS, n / CELL_SHINGLES)).cast("int")
+    whole = whole.select("large", "band", F.col("top.component").alias("major"), cells(F.col("k"), F.col("n")).alias("blocks"), cells(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("chunks"))
+    open_ = stored(members.drop("n_shingles").join(whole, ["large", "band"]), "open")
     place = F.xxhash64("rep")
     asked = open_.filter("component != major").select("large", "band", F.pmod(place, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("asks"))
     there = open_.select("large", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(place, "blocks").cast("int").alias("block"), "rep", "component", F.lit(False).alias("asks"))

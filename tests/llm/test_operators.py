@@ -255,6 +255,26 @@ def test_near_duplicates_of_boilerplate_families(spark, monkeypatch):
     assert rows(neardup.near_duplicates(frame(spark, some), 80, 2)) == near_brute(some, 80, 2)
 
 
+def test_near_duplicate_cells_are_cut_by_shingles(spark, monkeypatch):
+    """Long documents of one family, of which some are linked: cells hold few of them."""
+    rng = random.Random(5)
+    common = prose(rng, 1500).split()
+    texts = [(i, " ".join([*common[: 1100 + 37 * (i % 6)], *prose(rng, 60 * (i % 5) + 1).split()]), None, None) for i in range(60)]
+    monkeypatch.setattr(neardup, "CELL_SHINGLES", 6000)
+    made = neardup._by_cell
+
+    def measured(batches):
+        for t in made(batches):
+            if "members" in t.column_names:
+                asks = t.column("asks").to_pylist()
+                sizes = [len(x.as_buffer()) // 8 for x in t.column("members")]
+                assert max(sum(n for n, q in zip(sizes, asks) if q == side) for side in (True, False)) < 4 * 6000
+            yield t
+
+    monkeypatch.setattr(neardup, "_by_cell", measured)
+    assert rows(neardup.near_duplicates(frame(spark, texts), 80, 2)) == near_brute(texts, 80, 2)
+
+
 def test_near_duplicates_leave_columns(spark, docs, texts):
     kept = neardup.without_copies(docs, 80, 5)
     assert kept.columns == docs.columns
