@@ -58,6 +58,18 @@ TYPE_GROUPS = {
     "graphic": [".psd", ".ai", ".eps", ".indd", ".sketch", ".fig", ".xd", ".afphoto", ".afdesign"],
     "archive": [".zip", ".rar", ".7z", ".tar", ".gz"],
 }
+#: How a file is read for analysis, by its ending, and how much of it.
+READ_CLASSES = {
+    "image": [".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".tiff", ".svg"],
+    "video": [".mp4", ".avi", ".mov", ".mkv", ".webm", ".flv", ".wmv", ".m4v"],
+    "document": [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx"],
+    "text": [
+        ".txt", ".md", ".csv", ".json", ".xml", ".yaml", ".yml", ".toml", ".py", ".js", ".ts", ".jsx", ".tsx", ".html", ".css", ".scss", ".java", ".c", ".cpp", ".h", ".hpp", ".rs", ".go",
+        ".rb", ".php", ".sh", ".bat", ".ps1", ".sql", ".r", ".swift", ".kt", ".scala", ".ini", ".cfg", ".conf", ".env", ".log",
+    ],
+}
+READ_TEXT_CHARACTERS = 100_000
+READ_VIDEO_BYTES = 25 * 1024 * 1024
 RISK_THRESHOLDS = {"rename": 0.80, "move": 0.90, "delete": 0.95}
 ILL_NAMED = (
     r"(?i)^(img[_\-]?\d+|dsc[_\-]?\d+|dscf?\d+|p\d{6,}|pxl_\d+|screen ?shot.*|screenshot.*|photo[_\- ]?\d*|image[_\- ]?\d*|"

@@ -117,6 +117,24 @@ def template_parts(template: str, known: set[str]) -> list[tuple[str, str]]:
     return found
 
 
+def template_elements(template: Column | str, separator: Column | str) -> Column:
+    """A name template as its builder shows it: an array of (kind, value), kind token, sep (a text
+    that is the separator) or literal. What follows .{ext} isn't part of it, as names get their
+    extension anyway. Null for a null template."""
+    body = F.substring_index(F.col(template) if isinstance(template, str) else template, ".{ext}", 1)
+    pieces = F.regexp_extract_all(body, F.lit(r"(?s)(\{[a-z_]+\}|(?:(?!\{[a-z_]+\}).)+)"), F.lit(1))
+    sep = F.col(separator) if isinstance(separator, str) else separator
+    kind = lambda p: F.when(p.rlike(r"\A\{[a-z_]+\}\z"), "token").when(p.eqNullSafe(sep), "sep").otherwise("literal")
+    return F.transform(pieces, lambda p: F.struct(kind(p).alias("kind"), p.alias("value")))
+
+
+def compiled_template(elements: Column | str, separator: Column | str) -> Column:
+    """The template of (kind, value) elements, with a separator of its own, and .{ext} at its end."""
+    sep = F.col(separator) if isinstance(separator, str) else separator
+    parts = F.transform(F.col(elements) if isinstance(elements, str) else elements, lambda e: F.when(e["kind"] == "sep", sep).otherwise(F.coalesce(e["value"], F.lit(""))))
+    return F.concat(F.array_join(parts, ""), F.lit(".{ext}"))
+
+
 _CASES = {"lower": F.lower, "upper": F.upper, "title": title_case}
 
 

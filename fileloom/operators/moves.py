@@ -27,7 +27,8 @@ def _split(path: str) -> tuple[Column, Column]:
 def collision_safe(plan: DataFrame, taken: DataFrame | None = None, dialect: str = "underscores") -> DataFrame:
     """plan(src, dst) with every dst unique and none of them in taken(path). Of equal targets the
     first by src keeps the name, unless it is taken; the others, in order of src, get the smallest
-    numbers whose names are neither taken nor wanted by any row. Rows are told apart by src."""
+    numbers whose names are neither taken nor wanted by any row. Rows are told apart by src; one that
+    wants no name (null) stays as it is. Where no name is contested, nothing is numbered."""
     shown, pattern = DIALECTS[dialect]
     shift = 1 if dialect == "paren_from_two" else 0
     rows = stored(plan.withColumnRenamed("dst", "want"), "plan")
@@ -37,6 +38,9 @@ def collision_safe(plan: DataFrame, taken: DataFrame | None = None, dialect: str
     keeps = F.col("held").isNull() & (F.col("src") == F.col("first"))
     both = rows.join(wants.select("want", "first", "held"), "want")
     done = both.filter(keeps).withColumn("dst", F.col("want")).drop("first", "held")
+    done = done.unionByName(rows.filter("want is null").withColumn("dst", F.col("want")))
+    if wants.filter("want is not null and (k > 1 or held)").isEmpty():
+        return done.select(*plan.columns)
     losers = numbered(both.filter(~keeps).drop("first", "held"), ["want"], ["src"], "key")
     # numbers in use: names, wanted or taken, that read as a numbered form of a contested one
     stem, ext = _split("name")

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.names import compiled_template, template_elements
 from ..functions.paths import basename, dirname, extension, segments, slashes
 from ..functions.predicates import is_junk, is_structural, junk_kind, keyword
 from ..functions.scalars import human_size_short
-from ..operators import archives, catalog, duplicates, keepers, logstore, maintained, media, moves, reconcile, renaming, stores
+from ..operators import archives, catalog, duplicates, keepers, logstore, maintained, media, moves, reconcile, renaming, settings, stores
 from ..operators.storage import shared_folder
 from ..sources import listings
 from .duplicates import CATS, GROUPS, KGROUPS, MARKED, RULE, _removals, _with
@@ -487,11 +488,25 @@ def q_guarded_counts(spark, sf):
 
 
 def q_template_parts(spark, sf):
-    from ..functions.names import template_parts
+    """Templates made of each document's fields, taken apart, and put together with a dash."""
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id")
+    sep = F.when(k % 3 == 0, F.lit("-")).when(k % 3 == 1, F.lit("_")).otherwise("")
+    word = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), (k % 50 + 1).cast("int"), F.lit(12)), r"[^A-Za-z]", "")
+    field = F.element_at(F.array(*map(F.lit, ("{date}", "{category}", "{original}", "{tags}", "{other_one}"))), (k % 5 + 1).cast("int"))
+    template = F.concat(field, sep, word, field, F.lit("_"), F.coalesce("lang", F.lit("x")), F.when(k % 4 == 0, F.lit(".{ext}.old")).otherwise(F.when(k % 4 == 1, F.lit("{counter}")).otherwise("")))
+    rows = d.select("doc_id", sep.alias("sep"), template_elements(template, sep).alias("e"))
+    return rows.select("doc_id", F.array_join(F.transform("e", lambda x: F.concat_ws("=", x["kind"], x["value"])), "|").alias("elements"), compiled_template("e", F.lit("-")).alias("compiled"))
+
 
-    made = [template_parts(t, {"date", "original", "ext"}) for t in ("{date}_{original}.{ext}", "x{other}{date}", "")]
-    rows = [(k, i, kind, v) for k, parts in enumerate(made) for i, (kind, v) in enumerate(parts)]
-    return spark.createDataFrame(rows, "template int, place int, kind string, value string")
+def q_choices(spark, sf):
+    """Choices for each source: what was saved, else what the environment says, else the default."""
+    d = table(spark, sf, "documents").filter("source is not null")
+    keys = d.groupBy(F.col("source").alias("key")).agg(F.concat(F.lit("MODEL_"), F.upper("source")).alias("env_var"), F.concat(F.lit("default-"), F.min("lang")).alias("default"))
+    saved = settings.Choices(_store(spark, "choices"), keys)
+    saved.put(d.filter("doc_id % 4 = 0").groupBy(F.col("source").alias("key")).agg(F.concat(F.lit("saved-"), F.max("doc_id").cast("string")).alias("value"), F.max("doc_id").alias("seq")))
+    saved.put(d.filter("source in ('src0', 'src3')").select(F.col("source").alias("key"), F.lit("").alias("value"), F.lit(0).alias("seq")).distinct())
+    return saved.effective({"MODEL_SRC3": "from-env", "MODEL_SRC1": "not-used", "OTHER": "x"})
 
 
 def q_patched(spark, sf):
@@ -564,6 +579,7 @@ QUERIES = {
     "fn25_path_keys": q_keys,
     "q20_delta_report": q_guarded_counts,
     "fn35_template_parts": q_template_parts,
+    "udf12_choices": q_choices,
     "udf13_patched_rule": q_patched,
 }
 
@@ -668,6 +684,12 @@ select file_id, seg::bigint as seg, coalesce(st, 0)::double as start_time, coale
     "fn08_short_sizes": _with(FILES_SQL) + f"select file_id, {_short('TB')} as a, {_short('GB')} as b from (select file_id, power(7.0, (file_id % 18)::double)::bigint as n from files)",
     "fn25_path_keys": _with(FILES_SQL) + ", q as (select *, case file_id % 3 when 0 then '/ORG/' when 1 then '\\Org\\' else '/other/' end || source || path as p from files), r as (select *, replace(p, '\\', '/') as sp, file_id % 3 < 2 as inside from q) select file_id, case when inside then lower(substr(sp, 6)) end as key, case when inside then source else '' end as account, case when inside then substr(path, 2) else '' end as rel, rtrim(ltrim('C' || replace(replace(p, '\\', '_'), '/', '_'), '_'), '_') as label, lower(sp) || '|' || size || '|' || floor(mtime)::bigint as archive from r",
     "q20_delta_report": _with(LOCAL_SQL, REMOTE_SQL.replace("where doc_id % 10 <> 0", "where doc_id % 10 <> 0 and (doc_id % 10 = 3 or source <> 'src1')"), BYPATH, ACTIONS) + "select string_split(rel, '/')[1] as source, action, count(*) as n from act where action <> 'delete' or string_split(rel, '/')[1] in (select string_split(rel, '/')[1] from remote_t) group by 1, 2",
-    "fn35_template_parts": "select * from (values (0, 0, 'field', 'date'), (0, 1, 'text', '_'), (0, 2, 'field', 'original'), (0, 3, 'text', '.'), (0, 4, 'field', 'ext'), (1, 0, 'text', 'x{other}'), (1, 1, 'field', 'date')) t(template, place, kind, value)",
+    "fn35_template_parts": r"""with d as (select doc_id, case doc_id % 3 when 0 then '-' when 1 then '_' else '' end as sep, regexp_replace(substr(coalesce(text, ''), doc_id % 50 + 1, 12), '[^A-Za-z]', '', 'g') as word, ['{date}','{category}','{original}','{tags}','{other_one}'][doc_id % 5 + 1] as field, coalesce(lang, 'x') as lang, case doc_id % 4 when 0 then '.{ext}.old' when 1 then '{counter}' else '' end as tail from documents),
+e as (select doc_id, sep, regexp_extract_all(split_part(field || sep || word || field || '_' || lang || tail, '.{ext}', 1), '\{[a-z_]+\}|[^{]+') as p from d),
+k as (select doc_id, p, list_transform(p, lambda x: case when starts_with(x, '{') then 'token' when x = sep then 'sep' else 'literal' end) as kind from e)
+select doc_id, array_to_string(list_transform(list_zip(kind, p), lambda z: z[1] || '=' || z[2]), '|') as elements, array_to_string(list_transform(list_zip(kind, p), lambda z: case when z[1] = 'sep' then '-' else z[2] end), '') || '.{ext}' as compiled from k""",
+    "udf12_choices": """with k as (select source as key, 'MODEL_' || upper(source) as env_var, 'default-' || min(lang) as "default" from documents where source is not null group by source),
+s as (select source as key, 'saved-' || max(doc_id) as saved from documents where source is not null and doc_id % 4 = 0 and source not in ('src0', 'src3') group by source)
+select key, coalesce(saved, case key when 'src3' then 'from-env' when 'src1' then 'not-used' end, "default") as value, "default", env_var, saved is not null as is_custom from k left join s using (key)""",
     "udf13_patched_rule": _with(FILES_SQL) + "select md5, arg_min(path, {a: case when folder = 'snapshot' then 0 else 1 end, b: case when lower(path) like '%/src2/%' then 0 else 2 end, c: mtime, d: path}) as keeper from files group by md5",
 }

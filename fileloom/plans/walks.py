@@ -101,6 +101,20 @@ def q_hashed_stream(spark, sf):
     return index.read().select(_below(F.col("path"), root).alias("rel"), "size", "md5")
 
 
+_ENDS = [".txt", ".PDF", ".png", ".mp4", ".bin", ".svg", ".md"]
+
+
+def q_read_files(spark, sf):
+    """Documents as files of several endings, read as far as an analysis takes them."""
+    root = _folder(spark, "read")
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id")
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (k % len(_ENDS) + 1).cast("int"))
+    _written(d.select(F.concat(F.lit(f"{root}/f"), k.cast("string"), end).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("data")))
+    found = walked_files.read_for_analysis(walked_files.walk(spark, [root]).filter("is_dir = 0"))
+    return found.select(_below(F.col("path"), root).alias("rel"), "size", "type", "mime", F.md5(F.col("content").cast("binary")).alias("content_md5"), "error")
+
+
 _IN_ARCHIVE = 40
 
 
@@ -157,6 +171,7 @@ QUERIES = {
     "src02_walked_files": q_walked_files,
     "src04_catalog_crawl": q_catalog_crawl,
     "src09_csv_listing": q_csv_listing,
+    "src19_read_files": q_read_files,
     "src14_archive_members": q_archive_members,
     "st06_hashed_stream": q_hashed_stream,
 }
@@ -177,6 +192,12 @@ SELECT rel, 0 AS is_dir, CAST(size + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END
 UNION ALL SELECT rel || '.new', 0, length(CAST(doc_id AS VARCHAR)), 2 FROM d WHERE doc_id % 11 = 0
 UNION ALL SELECT s || '/' || k, 1, 0, CASE WHEN bool_or(doc_id % 7 = 0 OR doc_id % 11 = 0) THEN 2 ELSE 1 END FROM d GROUP BY s, k
 UNION ALL SELECT DISTINCT s, 1, 0, 1 FROM d UNION ALL SELECT '', 1, 0, 1
+""",
+    "src19_read_files": f"""
+WITH d AS (SELECT doc_id, doc_id % {len(_ENDS)} AS e, coalesce(text, '') AS t FROM documents)
+SELECT 'f' || doc_id || {_ENDS}[e + 1] AS rel, CAST(strlen(t) AS BIGINT) AS size, ['text', 'document', 'image', 'video', 'binary', 'image', 'text'][e + 1] AS type,
+       ['text/plain', 'application/pdf', 'image/png', 'video/mp4', 'application/octet-stream', 'image/png', 'text/markdown'][e + 1] AS mime,
+       CASE WHEN e IN (0, 6) THEN md5(substr(t, 1, 100000)) WHEN e <> 4 THEN md5(base64(encode(t))) END AS content_md5, CAST(NULL AS VARCHAR) AS error FROM d
 """,
     "src09_csv_listing": "SELECT doc_id, length(text) AS chars, md5(text) AS md5, source, CAST(NULL AS VARCHAR) AS owner FROM documents",
     "st06_hashed_stream": f"SELECT {_PATHS} AS rel, CAST(strlen(t) AS BIGINT) AS size, md5(t) AS md5 FROM (SELECT *, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN '!' ELSE '' END AS t FROM documents)",

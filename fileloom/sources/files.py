@@ -7,6 +7,7 @@ the rows that need it.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import os
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
+from ..functions import fixed
+from ..functions.predicates import mime_type
 from ..operators.storage import stored
 
 WALKED = "path string, root string, source string, parent string, name string, is_dir int, size long, mtime double, ctime double, ext string"
@@ -280,3 +283,39 @@ def hashed(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def archives(walked: DataFrame) -> DataFrame:
     return walked.filter((F.col("is_dir") == 0) & F.col("name").rlike(ARCHIVES))
+
+
+def _content(path: str, kind: str) -> tuple[str, str | None, str | None]:
+    """(type, content, error): texts as they are, up to so many characters; images and documents whole
+    and videos up to so many bytes in base64; of others nothing."""
+    try:
+        if kind == "text":
+            with open(path, encoding="utf-8", errors="replace") as f:
+                return kind, f.read(fixed.READ_TEXT_CHARACTERS), None
+        if kind == "binary":
+            os.stat(path)
+            return kind, None, None
+        with open(path, "rb") as f:
+            return kind, base64.b64encode(f.read(fixed.READ_VIDEO_BYTES if kind == "video" else -1)).decode(), None
+    except OSError as e:
+        return ("binary" if kind == "text" else kind), None, type(e).__name__
+
+
+def read_for_analysis(files: DataFrame) -> DataFrame:
+    """files(path, name, size) with type (text, image, video, document or binary, by the ending),
+    mime, content and error. Texts are cut to 100,000 characters and videos to 25 MiB, as what reads
+    them takes no more; a vector image counts as a PNG. A file that can't be read has its error."""
+    end = F.lower(F.regexp_extract("name", r"(\.[^.]*)\z", 1))
+    kind = F.lit("binary")
+    for k, ends in fixed.READ_CLASSES.items():
+        kind = F.when(end.isin(ends), k).otherwise(kind)
+    mime = F.when(end == ".svg", "image/png").otherwise(mime_type("name"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(len(b)):  # one file's content at a time
+                r = b.iloc[at : at + 1]
+                made = _content(r.path.iloc[0], r.kind.iloc[0])
+                yield pd.DataFrame({"path": r.path, "size": r["size"], "type": made[0], "mime": r.mime, "content": pd.Series([made[1]], index=r.index, dtype=object), "error": pd.Series([made[2]], index=r.index, dtype=object)})
+
+    return files.select("path", "size", kind.alias("kind"), mime.alias("mime")).mapInPandas(run, "path string, size long, type string, mime string, content string, error string")

@@ -164,6 +164,19 @@ def test_archives(spark, tmp_path):
     assert ("a.zip", "x/y.txt", None) in listed and ("b.tar.gz", "in.zip", None) in listed
 
 
+def test_files_are_read_as_far_as_an_analysis_takes_them(spark, tmp_path):
+    import base64
+
+    for name, data in {"long.txt": "é".encode() * 150_000, "bad.md": b"a\xff\r\nb", "v.MP4": b"v" * (26 << 20), "d.pdf": b"%PDF", "i.svg": b"<svg/>", "none": b"x", "x.zip": b"x"}.items():
+        (tmp_path / name).write_bytes(data)
+    found = files.walk(spark, [str(tmp_path)]).filter("is_dir = 0").select("path", "name", "size").union(spark.createDataFrame([("/no/such.txt", "such.txt", 1)], "path string, name string, size long"))
+    got = {os.path.basename(r.path): r for r in files.read_for_analysis(found).collect()}
+    assert got["long.txt"].content == "é" * 100_000 and got["bad.md"].content == "a\ufffd\nb"
+    assert len(base64.b64decode(got["v.MP4"].content)) == 25 << 20 and got["v.MP4"]["size"] == 26 << 20 and got["d.pdf"].content == base64.b64encode(b"%PDF").decode()
+    assert (got["i.svg"].mime, got["none"].type, got["none"].content, got["x.zip"].type) == ("image/png", "binary", None, "binary")
+    assert (got["such.txt"].error, got["such.txt"].type) == ("FileNotFoundError", "binary")
+
+
 def test_drive_only_members():
     skip = lambda m: archives.skip_of(m, only_drive=True)
     assert [skip(m) for m in ("Takeout/Drive/a.txt", "Takeout/My Activity/Drive/x", "Takeout/Photos/a.jpg", "Takeout/Drive/My Activity/b", "Takeout/Drive/x.mbox")] == [None, "not_drive", "not_drive", "not_drive", "mail"]
@@ -240,3 +253,33 @@ def test_a_hashing_stream_keeps_what_it_hashed_as_state(spark, tmp_path):
         os.rename(part, tmp_path / "index" / "data" / part.name)
     want |= {"/p/0008": 9, "/q": 1}
     assert {r.path: r["size"] for r in index.read().collect()} == want and index.read().count() == len(want)
+
+
+def test_template_elements(spark):
+    from fileloom.functions.names import compiled_template, template_elements
+
+    rows = [("{date}_{category}-x {y}{Z}.{ext}.{ext}", "_"), ("{date}--{a}", "--"), ("{", "_"), ("", "_"), (None, "_"), ("a{b\n}_", "_"), ("{x}_", None)]
+    df = spark.createDataFrame(rows, "t string, sep string").select("t", "sep", template_elements("t", "sep").alias("e"))
+    got = {r.t: ([tuple(x) for x in r.e] if r.e is not None else None, r.c) for r in df.withColumn("c", compiled_template("e", F.lit("+"))).collect()}
+    assert got["{date}_{category}-x {y}{Z}.{ext}.{ext}"] == ([("token", "{date}"), ("sep", "_"), ("token", "{category}"), ("literal", "-x "), ("token", "{y}"), ("literal", "{Z}")], "{date}+{category}-x {y}{Z}.{ext}")
+    assert got["{date}--{a}"] == ([("token", "{date}"), ("sep", "--"), ("token", "{a}")], "{date}+{a}.{ext}")
+    assert got["{"] == ([("literal", "{")], "{.{ext}") and got[""] == ([], ".{ext}") and got[None] == (None, None)
+    assert got["a{b\n}_"][0] == [("literal", "a{b\n}_")] and got["{x}_"][0] == [("token", "{x}"), ("literal", "_")]
+
+
+def test_choices(spark, tmp_path):
+    import pytest
+
+    from fileloom.operators.settings import Choices
+
+    keys = spark.createDataFrame([("a", "ENV_A", "d1"), ("b", "ENV_B", "d2"), ("c", "ENV_C", "d3")], "key string, env_var string, default string")
+    choices = Choices(logstore.Store(spark, f"file://{tmp_path}/s"), keys)
+    now = lambda: {r.key: (r.value, r.is_custom) for r in choices.effective({"ENV_B": "e", "ENV_C": ""}).collect()}
+    assert now() == {"a": ("d1", False), "b": ("e", False), "c": ("d3", False)}
+    put = lambda *rows: choices.put(spark.createDataFrame(list(rows), "key string, value string, seq int"))
+    put(("b", "x", 1), ("b", "y", 2), ("c", "z", 1))
+    assert now() == {"a": ("d1", False), "b": ("y", True), "c": ("z", True)}
+    put(("b", "", 1), ("c", None, 1))
+    assert now()["b"] == ("e", False) and now()["c"] == ("d3", False)
+    with pytest.raises(KeyError):
+        put(("nope", "x", 1))
