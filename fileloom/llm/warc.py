@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import released, run_dir, slices, store, stored, write_whole
+from .shared import discard, released, run_dir, slices, store, stored, write_whole
 
 #: Payloads below this many bytes are always written whole.
 REVISIT_BYTES = 100
@@ -104,7 +104,9 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
         write_whole(uri, body)
         yield pa.RecordBatch.from_pydict({"uri": [uri], "captures": [captures], "bytes": [size]})
 
-    return stored(planned.mapInArrow(released(write), "uri string, captures long, bytes long"), "warc-files")
+    files = stored(planned.mapInArrow(released(write), "uri string, captures long, bytes long"), "warc-files")
+    discard(groups)
+    return files
 
 
 def _head(f: io.BufferedReader) -> dict[str, list[str]] | None:
@@ -167,11 +169,29 @@ def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     A request or metadata record belongs to the response or revisit that it names in
     WARC-Concurrent-To, that names it, or that it reaches through a request it names. Records
     without such a partner are no capture and are left out; a capture may lack request or
-    metadata. Identifiers are joined by key only.
+    metadata. Identifiers are joined by key only. Records that name their response, as most archives
+    have it, are grouped by that name in one shuffle; only where some name another record, or are
+    named, are the owners of all worked out first.
     """
-    main = F.col("record_type").isin("response", "revisit")
+    main, request = F.col("record_type").isin("response", "revisit"), F.col("record_type") == "request"
     mains = records.filter(main)
     sides = records.filter(~main & F.col("record_type").isin("request", "metadata"))
+    inside = ["record_id", "record_type", "target_uri", "date", "refers_to", "declared_digest", "payload_bytes", "payload_digest", "fields", *(["payload"] if with_payload else [])]
+    whole = F.struct(*inside)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("capture_id").agg(
+            F.first(F.when(main, F.col("r")), ignorenulls=True).alias("response"),
+            F.first(F.when(request, F.col("r")), ignorenulls=True).alias("request"),
+            F.collect_list(F.when(F.col("record_type") == "metadata", F.col("r"))).alias("metadata"),
+        )
+
+    own = mains.select(F.col("record_id").alias("capture_id"), "record_type", whole.alias("r"))
+    if mains.filter(F.size("concurrent_to") > 0).isEmpty():
+        straight = stored(grouped(own.union(sides.select(F.explode(F.array_distinct("concurrent_to")).alias("capture_id"), "record_type", whole.alias("r")))), "captures")
+        if straight.filter("response is null").isEmpty():
+            return straight
+        discard(straight)
     named = sides.select("record_id", F.explode("concurrent_to").alias("other"))
     names = mains.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("capture_id"))
     ids = mains.select(F.col("record_id").alias("capture_id"))
@@ -180,16 +200,8 @@ def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     through = forward.filter("capture_id is null").select("record_id", F.col("other").alias("via"))
     hop = through.join(direct.select(F.col("record_id").alias("via"), "capture_id"), "via").select("record_id", "capture_id")
     owner = direct.union(hop).distinct()
-    inside = ["record_id", "record_type", "target_uri", "date", "refers_to", "declared_digest", "payload_bytes", "payload_digest", "fields", *(["payload"] if with_payload else [])]
-    whole = F.struct(*inside)
     attached = sides.join(owner, "record_id").select("capture_id", "record_type", whole.alias("r"))
-    all_rows = mains.select(F.col("record_id").alias("capture_id"), "record_type", whole.alias("r")).union(attached)
-    is_main, request = F.col("record_type").isin("response", "revisit"), F.col("record_type") == "request"
-    return all_rows.groupBy("capture_id").agg(
-        F.first(F.when(is_main, F.col("r")), ignorenulls=True).alias("response"),
-        F.first(F.when(request, F.col("r")), ignorenulls=True).alias("request"),
-        F.collect_list(F.when(F.col("record_type") == "metadata", F.col("r"))).alias("metadata"),
-    )
+    return grouped(own.union(attached))
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
@@ -217,4 +229,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes the pages as archives, reads them back and assembles their captures: one row per row
     of pages, repeated rows and rows without page_id included; null html is an empty payload."""
     records = stored(read_archives(write_archives(pages, folder), with_payload=False), "records")
-    return resolve_revisits(assemble(records, with_payload=False))
+    found = resolve_revisits(assemble(records, with_payload=False))
+    discard(records)
+    return found

@@ -63,6 +63,25 @@ def test_warc(spark):
     assert len(many) == len({r.capture_id for r in many}) == 43 and sum(r.record_type == "revisit" for r in many) == 39
 
 
+def test_warc_transactions_of_other_archives(spark):
+    """Responses that name their request, metadata that name a request, and records without a partner."""
+
+    def found(*rows):
+        made = spark.createDataFrame([(kind, i, names, None, None, None, None, None, None, None, None) for kind, i, names in rows], warc.RECORDS)
+        return {r.capture_id: (r.response and r.response.record_id, r.request and r.request.record_id, sorted(m.record_id for m in r.metadata)) for r in warc.assemble(made).collect()}
+
+    direct = [("response", "a", []), ("request", "b", ["a", "a"]), ("metadata", "c", ["a"]), ("revisit", "d", None), ("metadata", "e", None), ("warcinfo", "w", ["a"])]
+    assert found(*direct) == {"a": ("a", "b", ["c"]), "d": ("d", None, [])}
+    assert found(*direct, ("metadata", "f", ["b"]), ("metadata", "g", ["gone"])) == {"a": ("a", "b", ["c", "f"]), "d": ("d", None, [])}
+    assert found(("response", "a", ["b"]), ("request", "b", []), ("metadata", "c", ["b"])) == {"a": ("a", "b", ["c"])}
+
+
+def test_warc_keeps_a_very_long_payload(spark):
+    page = "<p>long é</p>" * 400_000
+    got = warc.archive_pages(spark.createDataFrame([(1, "http://h", page), (2, "http://h", page), (3, None, "")], "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in got} == {(1, len(page.encode()), None), (2, len(page.encode()), 1), (3, 0, None)}
+
+
 def test_warc_transactions_nest_their_records(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", "p" * (k % 3 * 80)) for k in range(30)], "page_id long, url string, html string")
     records = warc.read_archives(warc.write_archives(pages))
