@@ -52,13 +52,16 @@ def matcher(keywords: list[str], whole_word: bool = False) -> Column:
 def search(catalog: DataFrame, keywords: list[str], whole_word: bool = False) -> DataFrame:
     """Matching folders (with all beneath them: files, bytes) and files: path, is_dir, files, bytes.
     What lies in a matching folder is part of it and not listed. Containment is an equal join on
-    exploded ancestors, not a comparison of all prefixes."""
+    exploded ancestors, of the depths alone in which folders match; no prefixes are compared."""
     found = catalog.filter(matcher(keywords, whole_word)).select("path", "is_dir", "size")
     folders = found.filter("is_dir = 1").select("path")
-    above = found.select("path", F.explode_outer(ancestors("path")).alias("a"))
+    depth = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
+    depths = [r[0] for r in folders.select(depth(F.col("path"))).distinct().collect()]  # as many as a path has parts
+    within = F.filter(ancestors("path"), lambda a: depth(a).isin(depths)) if depths else F.array().cast("array<string>")
+    above = found.select("path", F.explode(within).alias("a"))
     covered = above.join(folders.select(F.col("path").alias("a")), "a", "left_semi").select("path").distinct()
     top = found.join(covered, "path", "left_anti")
-    inside = catalog.filter("is_dir = 0").select(F.explode(ancestors("path")).alias("path"), "size")
+    inside = catalog.filter("is_dir = 0").select(F.explode(within).alias("path"), "size")
     sums = inside.join(top.filter("is_dir = 1").select("path"), "path", "left_semi").groupBy("path").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
     return top.join(sums, "path", "left").select("path", "is_dir", F.when(F.col("is_dir") == 1, F.coalesce("files", F.lit(0))).otherwise(1).alias("files"), F.when(F.col("is_dir") == 1, F.coalesce("bytes", F.lit(0))).otherwise(F.col("size")).alias("bytes"))
 

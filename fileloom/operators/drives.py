@@ -21,23 +21,28 @@ def index(listing: DataFrame) -> DataFrame:
     ).filter("id is not null and id != ''")
 
 
+def climbed(nodes: DataFrame) -> DataFrame:
+    """id, rel_path and depth of every node(id, up, name) whose way up ends, at a node without up. Ways
+    double in length from step to step, so that a chain of n nodes takes log2(n) stored joins. A way
+    that hasn't ended when it is longer than there are nodes goes round a cycle: its node has no path,
+    and if it has another way that ends, which takes a repeated id, that is an error."""
+    own = stored(nodes.select("id", "up", F.col("name").alias("rel_path"), F.lit(1).cast("long").alias("depth")), "nodes")
+    most, length = own.count(), 1
+    while not own.filter("up is not null").isEmpty() and length <= most:
+        above = own.select(F.col("id").alias("at"), F.col("up").alias("next"), F.col("rel_path").alias("above"), F.col("depth").alias("more"))
+        further = own.filter("up is not null").join(above, F.col("up") == F.col("at")).select("id", F.col("next").alias("up"), F.concat("above", F.lit("/"), "rel_path").alias("rel_path"), (F.col("depth") + F.col("more")).alias("depth"))
+        own, length = stored(own.filter("up is null").unionByName(further), "ways"), 2 * length
+    ended, round_ = own.filter("up is null").drop("up"), own.filter("up is not null").select("id")
+    if not ended.join(round_, "id", "left_semi").isEmpty():
+        raise ValueError("a repeated id makes a cycle that a root reaches")
+    return ended.withColumn("depth", F.col("depth").cast("int"))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
-    """id and rel_path of every node, from the roots down, a stored level per step, until a step
-    finds no node: each step joins the last level's nodes to their children, so a cycle, which no
-    root reaches, ends nothing. A parent that isn't listed makes a node a root. A way of more
-    nodes than there are comes round to a repeated id, and is an error."""
-    own = stored(nodes.select("id", "parent", "name"), "nodes")
-    ids = own.select(F.col("id").alias("parent"))
-    level = stored(own.join(ids, "parent", "left_anti").select("id", F.col("name").alias("rel_path"), F.lit(1).alias("depth")), "level")
-    tree, most, depth = level, own.count(), 1
-    while not level.isEmpty():
-        if depth > most:
-            raise ValueError("a repeated id makes a cycle that a root reaches")
-        above = level.select(F.col("id").alias("parent"), F.col("rel_path").alias("above"))
-        depth += 1
-        level = stored(own.join(above, "parent").select("id", F.concat("above", F.lit("/"), "name").alias("rel_path"), F.lit(depth).alias("depth")), "level")
-        tree = tree.union(level)
-    return tree
+    """id, rel_path and depth of every node(id, parent, name). A parent that isn't listed makes a node
+    a root; nodes of a cycle, which no root reaches, have no path."""
+    ids = nodes.select(F.col("id").alias("known")).distinct()
+    return climbed(nodes.join(ids, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("up"), "name"))
 
 
 def office_path(rel: Column, mime: Column) -> Column:

@@ -10,14 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _FILES = """
-select doc_id as file_id, md5(text) as md5, n_chars as size, 1704067200.0 + doc_id*3600 as mtime, source,
+select doc_id as file_id, md5, n_chars as size, 1704067200.0 + doc_id*3600 as mtime, source,
        case when cast(substr(source,4) as int) % 2 = 0 then 'organized' else 'snapshot' end as folder,
        concat('/', case when cast(substr(source,4) as int) % 2 = 0 then 'organized' else 'snapshot' end,
-              '/', source, '/', lang, '/doc-', substr(md5(text),1,8),
+              '/', source, '/', lang, '/doc-', substr(md5,1,8),
               case when rn = 1 then '.txt'
                    when rn % 2 = 0 then concat(' (', cast(rn as {text}), ').txt')
                    else '-at-2025-01-02T03_04_05.678Z-pinned.txt' end) as path
-from (select *, row_number() over (partition by md5(text) order by doc_id) as rn from documents) t
+from (select *, row_number() over (partition by md5 order by doc_id) as rn
+      from (select doc_id, md5(text) as md5, n_chars, source, lang from documents) h) t
 """
 _LOCAL = """
 select doc_id as file_id, md5(text) as md5, n_chars as size,
@@ -41,8 +42,7 @@ from documents where doc_id % 10 <> 0
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of two trees with duplicates across and within them, made from documents."""
-    docs = table(spark, sf_dir, "documents")
-    return spark.sql(_FILES.format(text="string").replace("from documents)", "from {documents})"), documents=docs)
+    return spark.sql(_FILES.format(text="string").replace("from documents)", "from {documents})"), documents=table(spark, sf_dir, "documents"))
 
 
 def local_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

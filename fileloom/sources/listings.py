@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators.drives import climbed
 from ..operators.storage import stored
 from .csvranges import RANGE_BYTES, read_ranges
 
@@ -52,16 +53,21 @@ def latest(runs: DataFrame, key: str, at: str = "updated_at") -> DataFrame:
 
 
 def tree_below(folders: DataFrame, parent: str, depth: int | None = None) -> DataFrame:
-    """folders(id, name, parent_id) below parent, with rel_dir: one stored join per level, as far as
-    there are any, or down to the depth that the caller asks for. More levels than folders come
-    from a cycle, and are an error."""
+    """folders(id, name, parent_id) below parent, with rel_dir. To a depth that the caller asks for,
+    one stored join per level; without one, by ways that double in length. A folder that lies below
+    itself comes from a cycle, and is an error."""
+    if depth is None:
+        ids = folders.select(F.col("id").alias("known")).distinct()
+        top = F.col("parent_id") == parent
+        rows = folders.join(ids, F.col("parent_id") == F.col("known"), "left").filter(F.coalesce(top, F.lit(False)) | F.col("known").isNotNull())
+        found = stored(climbed(rows.select("id", F.when(~top, F.col("known")).alias("up"), "name")).select("id", F.col("rel_path").alias("rel_dir")), "below")
+        if not found.filter(F.col("id") == parent).isEmpty():
+            raise ValueError("folders make a cycle")
+        return found
     own = stored(folders.select("id", "name", "parent_id"), "folders")
-    most = own.count()
     level = stored(own.filter(F.col("parent_id") == parent).select("id", F.col("name").alias("rel_dir")), "level")
     out, k = level, 1
-    while (depth is None or k < depth) and not level.isEmpty():
-        if k > most:
-            raise ValueError("folders make a cycle")
+    while k < depth and not level.isEmpty():
         above = level.select(F.col("id").alias("parent_id"), F.col("rel_dir").alias("above"))
         level = stored(own.join(above, "parent_id").select("id", F.concat_ws("/", "above", "name").alias("rel_dir")), "level")
         out, k = out.union(level), k + 1

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fileloom.operators import drives
 from fileloom.plans import registry
@@ -65,3 +66,13 @@ def test_throughput_has_every_user(spark, tmp_path):
     got = {r.event_id: r.rate for r in registry.QUERIES["fn53_throughput"](spark, str(tmp_path)).collect()}
     # without an event before it, greatest() leaves one second
     assert got == {k: round(v / (420 if k >= 60 else 1), 6) for k, _, _, v in some}
+
+
+def test_a_chain_takes_few_joins(spark, monkeypatch):
+    made = []
+    keep = drives.stored
+    monkeypatch.setattr(drives, "stored", lambda df, kind: made.append(kind) or keep(df, kind))
+    n = 3000
+    nodes = spark.range(n).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"), F.lit("n").alias("name"))
+    got = drives.paths(nodes).agg(F.count("*"), F.sum("depth"), F.max(F.length("rel_path"))).first()
+    assert tuple(got) == (n, n * (n + 1) // 2, 2 * n - 1) and len(made) <= 14
