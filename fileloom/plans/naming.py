@@ -29,11 +29,11 @@ ENDS = [".txt", " (2).docx", "-at-2025-01-02T03_04_05.678Z.pdf", ".JPG", "", "-p
 
 
 def _pick(spark, sf, values):
-    """Names by turns from the list and made from the beginnings of the texts."""
+    """Names by turns from the list and made from a few characters somewhere in the whole text."""
     n = len(values)
     k = (F.col("doc_id") % n).cast("int")
     end = F.get(F.array(*map(F.lit, ENDS)), (F.col("doc_id") % len(ENDS)).cast("int"))
-    made = F.concat(F.regexp_replace(F.substr("text", F.lit(1), (F.col("doc_id") % 37 + 4).cast("int")), "[^A-Za-z0-9 .,_-]", ""), end)
+    made = F.concat(F.regexp_replace(F.substr("text", (F.col("doc_id") * 7919 % F.greatest(F.length("text") - 3, F.lit(1)) + 1).cast("int"), (F.col("doc_id") % 37 + 4).cast("int")), "[^A-Za-z0-9 .,_-]", ""), end)
     named = F.when(F.floor(F.col("doc_id") / n) % 2 == 0, F.get(F.array(*map(F.lit, values)), k)).otherwise(made)
     return table(spark, sf, "documents").select("doc_id", named.alias("name"))
 
@@ -148,7 +148,7 @@ QUERIES = {
 
 
 def _name(values: list[str]) -> str:
-    made = f"regexp_replace(substr(text, 1, (doc_id % 37)::int + 4), '[^A-Za-z0-9 .,_-]', '', 'g') || ({_listed(ENDS)})[(doc_id % {len(ENDS)})::int + 1]"
+    made = f"regexp_replace(substr(text, doc_id * 7919 % greatest(length(text) - 3, 1) + 1, (doc_id % 37)::int + 4), '[^A-Za-z0-9 .,_-]', '', 'g') || ({_listed(ENDS)})[(doc_id % {len(ENDS)})::int + 1]"
     return f"case when (doc_id // {len(values)}) % 2 = 0 then ({_listed(values)})[(doc_id % {len(values)})::int + 1] else {made} end"
 
 

@@ -64,8 +64,7 @@ def index_new(files: DataFrame, index: Store, checkpoint: str, hashes: Callable[
     when they were last hashed. What was hashed is state, by path: no batch reads the index, to which
     each adds its own rows; the index is compacted every so many batches. A batch that runs again
     gives the same rows for the same paths. hashes(rows) returns rows with hashes, a path once."""
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf, provider = files.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     fresh = files.select("path", "size", "mtime").groupBy("path").transformWithStateInPandas(_Unhashed(), "path string, size long, mtime double", "Update", "None")
 
     def add(batch: DataFrame, number: int) -> None:
@@ -73,7 +72,12 @@ def index_new(files: DataFrame, index: Store, checkpoint: str, hashes: Callable[
         if number % compact_after == compact_after - 1:
             index.compact()
 
-    return fresh.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
+    before = conf.get(provider, None)
+    conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # a stream keeps what is set at its start
+    try:
+        return fresh.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
+    finally:
+        conf.unset(provider) if before is None else conf.set(provider, before)
 
 
 def append_log(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
