@@ -145,16 +145,19 @@ def read_ranges(spark: SparkSession, path: str, columns: list[str], range_bytes:
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     parts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / range_bytes))).alias("number"))
     parts = stored(parts, "ranges")
-    tasks = max(1, parts.count())
+    found = parts.agg(F.count("*").alias("ranges"), F.coalesce(F.sum(F.when(F.col("number") == 0, F.col("length"))), F.lit(0)).alias("bytes")).first()
+    # where ranges are small, tasks take many of them: a few tasks for each core, or one for RANGE_BYTES
+    tasks = max(1, min(found.ranges, max(4 * spark.sparkContext.defaultParallelism, -(-found.bytes // RANGE_BYTES))))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                with _open(r.path) as f:
-                    start, stop = _bounds(f, r.number, r.length, range_bytes)
-                    f.seek(start)
-                    out.append((r.path, r.length, r.number, start, stop, *how_it_ends(f.read(stop - start))))
+            for path, ranges in b.groupby("path", sort=False):
+                with _open(path) as f:
+                    for r in ranges.itertuples(index=False):
+                        start, stop = _bounds(f, r.number, r.length, range_bytes)
+                        f.seek(start)
+                        out.append((path, r.length, r.number, start, stop, *how_it_ends(f.read(stop - start))))
             yield pd.DataFrame(out, columns=["path", "length", "number", "start", "stop", "outside", "inside"])
 
     spread = parts.repartition(tasks, "path", "number") if tasks > 1 else parts
@@ -168,32 +171,39 @@ def read_ranges(spark: SparkSession, path: str, columns: list[str], range_bytes:
     begins = F.coalesce(last["how"], F.lit(0)) + F.coalesce(F.lag("turns").over(order), F.lit(0)) - F.coalesce(last["turns"], F.lit(0))
     known = stored(ends.withColumn("began", begins % 2 == 1), "began")
 
+    def records(f: BinaryIO, r) -> Iterator[list]:
+        """The records that begin in a range, with the header in that of number 0."""
+        f.seek(r.start)
+        data = f.read(r.stop - r.start)
+        if r.began:
+            first = first_record(data)
+            if first is None or first == len(data):
+                return  # nothing begins here
+            data = data[first:]
+        if how_it_ends(data)[0]:
+            data = _to_record_end(f, data, r.stop, r.length)
+        yield from _rows(data.removeprefix(b"\xef\xbb\xbf") if r.number == 0 else data)
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list] = []
+        size = 0
         for b in batches:
-            for r in b.itertuples(index=False):
-                with _open(r.path) as f:
-                    names = _header(f, r.length)
+            for path, ranges in b.groupby("path", sort=False):
+                with _open(path) as f:
+                    names = _header(f, ranges.length.iloc[0])
                     at = [names.index(c) if c in names else None for c in columns]
-                    f.seek(r.start)
-                    data = f.read(r.stop - r.start)
-                    if r.began:
-                        first = first_record(data)
-                        if first is None or first == len(data):
-                            continue  # nothing begins here
-                        data = data[first:]
-                    if how_it_ends(data)[0]:
-                        data = _to_record_end(f, data, r.stop, r.length)
-                    rows = _rows(data.removeprefix(b"\xef\xbb\xbf") if r.number == 0 else data)
-                    if r.number == 0:
-                        next(rows, None)
-                    held = []
-                    for row in rows:
-                        held.append([row[k] if k is not None and k < len(row) else None for k in at])
-                        if len(held) == 8192:
-                            yield pd.DataFrame(held, columns=range(len(columns)), dtype=object)
-                            held = []
-                    if held:
-                        yield pd.DataFrame(held, columns=range(len(columns)), dtype=object)
+                    for r in ranges.itertuples(index=False):
+                        rows = records(f, r)
+                        if r.number == 0:
+                            next(rows, None)
+                        for row in rows:
+                            held.append([row[k] if k is not None and k < len(row) else None for k in at])
+                            size += sum(len(c) for c in held[-1] if c)
+                            if len(held) == 8192 or size >= RANGE_BYTES:
+                                yield pd.DataFrame(held, columns=range(len(columns)), dtype=object)
+                                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=range(len(columns)), dtype=object)
 
     schema = ", ".join(f"c{i} string" for i in range(len(columns)))
     dealt = known.select("path", "length", "number", "start", "stop", "began")

@@ -81,6 +81,13 @@ def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
     assert tuple(sums(got)) == tuple(sums(plain))
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("id,text\n" + "".join(f'{i},"line\n{i}"\n' for i in range(5000)))
+    got = csvranges.read_ranges(spark, str(tmp_path / "l.csv"), ["id", "text"], range_bytes=100)
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((int(r.id), r.text) for r in got.collect()) == [(i, f"line\n{i}") for i in range(5000)]
+
+
 def test_a_listing_is_asked_for_again(spark, tmp_path):
     path, asked = tmp_path / "l.csv", []
 
