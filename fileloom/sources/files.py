@@ -27,6 +27,8 @@ WALKED = "path string, root string, source string, parent string, name string, i
 SAMPLED_SIZE = 52_428_800
 SAMPLE = 262_144
 CHUNK = 1 << 20
+#: Characters of content that are handed on together; one file's content always is.
+READ_TOGETHER = 4 << 20
 ARCHIVES = r"(?i)\.(zip|tar|tgz|tar\.gz|gz|rar|7z|tar\.bz2)$"
 
 
@@ -313,9 +315,19 @@ def read_for_analysis(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(len(b)):  # one file's content at a time
-                r = b.iloc[at : at + 1]
-                made = _content(r.path.iloc[0], r.kind.iloc[0])
-                yield pd.DataFrame({"path": r.path, "size": r["size"], "type": made[0], "mime": r.mime, "content": pd.Series([made[1]], index=r.index, dtype=object), "error": pd.Series([made[2]], index=r.index, dtype=object)})
-
-    return files.select("path", "size", kind.alias("kind"), mime.alias("mime")).mapInPandas(run, "path string, size long, type string, mime string, content string, error string")
+            begun, made, held = 0, [], 0
+            for at, (path, kind) in enumerate(zip(b.path, b.kind, strict=True)):
+                made.append(_content(path, kind))
+                held += len(made[-1][1] or "")
+                if held >= READ_TOGETHER or at == len(b) - 1:
+                    yield answer(b.iloc[begun : at + 1], made)
+                    begun, made, held = at + 1, [], 0
+
+    def answer(b: pd.DataFrame, made: list[tuple]) -> pd.DataFrame:
+        kinds, contents, errors = (pd.Series(x, index=b.index, dtype=object) for x in zip(*made, strict=True))
+        return pd.DataFrame({"path": b.path, "size": b["size"], "type": kinds, "mime": b.mime, "content": contents, "error": errors})
+
+    # a walk lists a folder's files in one task, whatever their number
+    tasks = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = files.select("path", "size", kind.alias("kind"), mime.alias("mime")).repartition(tasks, "path")
+    return dealt.mapInPandas(run, "path string, size long, type string, mime string, content string, error string")

@@ -177,6 +177,14 @@ def test_files_are_read_as_far_as_an_analysis_takes_them(spark, tmp_path):
     assert (got["such.txt"].error, got["such.txt"].type) == ("FileNotFoundError", "binary")
 
 
+def test_files_of_one_folder_are_read_by_many_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"{k}.txt").write_text(f"text {k}")
+    got = files.read_for_analysis(files.walk(spark, [str(tmp_path)]).filter("is_dir = 0"))
+    assert {(os.path.basename(r.path), r.content) for r in got.collect()} == {(f"{k}.txt", f"text {k}") for k in range(60)}
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_drive_only_members():
     skip = lambda m: archives.skip_of(m, only_drive=True)
     assert [skip(m) for m in ("Takeout/Drive/a.txt", "Takeout/My Activity/Drive/x", "Takeout/Photos/a.jpg", "Takeout/Drive/My Activity/b", "Takeout/Drive/x.mbox")] == [None, "not_drive", "not_drive", "not_drive", "mail"]
