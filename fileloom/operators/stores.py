@@ -23,8 +23,9 @@ def path_list(wanted: DataFrame, present: DataFrame, index: DataFrame, least: in
 
 
 def superseded(ledger: DataFrame, renames: DataFrame) -> DataFrame:
-    """The ledger with the new paths of renamed files(src, dst)."""
-    return ledger.join(renames.select(F.col("src").alias("path"), "dst"), "path", "left").withColumn("path", F.coalesce("dst", "path")).drop("dst")
+    """The ledger with the new paths of renamed files(src, dst, and file_id where both have it)."""
+    file = ["path", *(["file_id"] if "file_id" in ledger.columns and "file_id" in renames.columns else [])]
+    return ledger.join(renames.withColumnRenamed("src", "path").select(*file, "dst"), file, "left").withColumn("path", F.coalesce("dst", "path")).drop("dst")
 
 
 def newest(rows: DataFrame, by: str, then: str, limit: int) -> DataFrame:
