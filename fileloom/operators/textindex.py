@@ -2,7 +2,7 @@
 characters, so that a search reads the lists of its words and no text, and a LIKE search only texts
 that have all its parts.
 
-A list is cut into blocks of BLOCK texts in order of id, each a row: the first id and the gaps to the
+A list is cut into blocks of at most BLOCK texts in order of id, each a row: the first id and the gaps to the
 next ones, how often the word stands in each text and how long that is, and the block's largest count
 and shortest text, which bound the score of all its texts. Blocks lie sorted by word in small row
 groups, so that a filter on words skips the others. A word of any frequency is spread over tasks by
@@ -15,12 +15,16 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .media import like, terms
+from .storage import stored
 
 BLOCK = 256
+#: Texts, or characters of them, whose runs of three characters are listed together.
+PARTS_TEXTS, PARTS_CHARACTERS = 10_000, 8 << 20
 #: Bytes of a row group of the lists.
 GROUP_BYTES = 1 << 20
 LISTS = "word string, first long, last long, n int, most int, shortest int, gaps array<long>, counts array<int>, sizes array<int>"
@@ -59,15 +63,37 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct runs of three characters."""
+    """Blocks of each distinct run of three characters, made of PARTS_TEXTS texts and PARTS_CHARACTERS
+    characters at a time: a list of ids leaves a task, not a row for each id."""
+    ids: list[int] = []
+    texts: list[str] = []
+    size = 0
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        order = np.argsort(np.array(ids, np.int64), kind="stable")
+        own = [texts[i] for i in order.tolist()]
+        lengths = np.fromiter(map(len, own), np.int64, len(own))
+        points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(own)), lengths)
+        at = np.flatnonzero(row[2:] == row[:-2])  # runs that lie in one text
+        number, parts = pd.factorize(points[at] << 42 | points[at + 1] << 21 | points[at + 2])
+        both = np.unique(number * len(own) + row[at])
+        three = np.stack([parts >> 42, parts >> 21 & 0x1FFFFF, parts & 0x1FFFFF], 1).astype(np.uint32).tobytes().decode("utf-32-le")
+        names = pa.array([three[k : k + 3] for k in range(0, len(three), 3)], pa.string())
+        one = pa.array(np.ones(len(both), np.int32))
+        held = pa.array(np.array(ids, np.int64)[order][both % len(own)])
+        return _blocks(iter([pa.RecordBatch.from_arrays([names.take(pa.array(both // len(own))), held, one, one], names=["word", "id", "count", "size"])]))
+
     for b in batches:
-        ids, words = [], []
         for i, t in zip(b.column("id").to_pylist(), b.column("low").to_pylist(), strict=True):
-            found = {t[k : k + 3] for k in range(len(t) - 2)}
-            ids += [i] * len(found)
-            words += found
-        one = pa.array(np.ones(len(ids), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.int64()), one, one], names=["word", "id", "count", "size"])
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+            if len(ids) == PARTS_TEXTS or size >= PARTS_CHARACTERS:
+                yield from blocks()
+                ids, texts, size = [], [], 0
+    if ids:
+        yield from blocks()
 
 
 class TextIndex:
@@ -77,21 +103,27 @@ class TextIndex:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     @classmethod
-    def built(cls, texts: DataFrame, folder: str) -> TextIndex:
+    def built(cls, texts: DataFrame, folder: str, of: tuple[str, ...] = ("words", "parts")) -> TextIndex:
+        """of: which lists to make; full_text searches those of words, like those of parts."""
         self = cls(texts.sparkSession, f"{folder.rstrip('/')}/{uuid.uuid4().hex}")
         own = texts.select(F.col("id").cast("long").alias("id"), "text")
-        sized = own.select("id", terms("text").alias("t")).withColumn("size", F.size("t"))
-        words = sized.select("id", "size", F.explode("t").alias("word")).groupBy("word", "id", "size").agg(F.count("*").cast("int").alias("count"))
-        self._write(words.select("word", "id", "count", "size"), "words")
-        parts = own.filter("text is not null").select("id", F.lower("text").alias("low")).mapInArrow(_parts, "word string, id long, count int, size int")
-        self._write(parts, "parts")
-        sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean")).write.parquet(f"{self.folder}/stats")
+        if "words" in of:
+            sized = own.select("id", terms("text").alias("t")).withColumn("size", F.size("t"))
+            words = sized.select("id", "size", F.explode("t").alias("word")).groupBy("word", "id", "size").agg(F.count("*").cast("int").alias("count"))
+            ranged = self._ranged(words.select("word", "id", "count", "size"), "id")
+            self._write(ranged.mapInArrow(_blocks, LISTS), "words")
+            sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean")).write.parquet(f"{self.folder}/stats")
+        if "parts" in of:
+            parts = own.filter("text is not null").select("id", F.lower("text").alias("low")).mapInArrow(_parts, LISTS)
+            self._write(self._ranged(stored(parts, "parts"), "first"), "parts")  # ranges are made of a sample, which would be a run of its own
         return self
 
-    def _write(self, rows: DataFrame, name: str) -> None:
+    def _ranged(self, rows: DataFrame, at: str) -> DataFrame:
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        ranged = rows.repartitionByRange(n, "word", "id").sortWithinPartitions("word", "id")
-        ranged.mapInArrow(_blocks, LISTS).write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(f"{self.folder}/{name}")
+        return rows.repartitionByRange(n, "word", at).sortWithinPartitions("word", at)
+
+    def _write(self, lists: DataFrame, name: str) -> None:
+        lists.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(f"{self.folder}/{name}")
 
     def lists(self, words: list[str], of: str = "words") -> DataFrame:
         """The blocks of some words' lists; the scan skips what lies between other words."""

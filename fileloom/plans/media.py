@@ -62,13 +62,13 @@ def q_full_text(spark, sf):
 
 def q_indexed_text(spark, sf):
     """The same search from an index."""
-    index = textindex.TextIndex.built(_fts(spark, sf), f"{shared_folder(spark)}/text-index")
+    index = textindex.TextIndex.built(_fts(spark, sf), f"{shared_folder(spark)}/text-index", ("words",))
     return index.full_text("the that", 40).select("id", F.round("score", 5).alias("score"))
 
 
 def q_indexed_like(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return textindex.TextIndex.built(d, f"{shared_folder(spark)}/text-index").like(d, "Ing the").select("id")
+    return textindex.TextIndex.built(d, f"{shared_folder(spark)}/text-index", ("parts",)).like(d, "Ing the").select("id")
 
 
 def q_topic_search(spark, sf):

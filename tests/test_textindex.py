@@ -49,3 +49,14 @@ def test_a_search_reads_its_own_lists(spark, texts, index, capsys):
     # the postings of a frequent word lie in several blocks, which no task has alone
     assert every.filter("word = 'the'").count() > 8 and every.agg(F.max("n")).first()[0] <= textindex.BLOCK
     assert index.holding("w29").count() < 1000 and index.holding("w2") is None
+
+
+def test_runs_leave_a_task_as_lists():
+    import pyarrow as pa
+
+    texts = {7: "the then", 3: "a😀é the", 5: "th", 9: ""}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], names=["id", "low"])
+    blocks = [r for b in textindex._parts(iter([batch] * 2)) for r in b.to_pylist()]
+    want = {t[k : k + 3] for t in texts.values() for k in range(len(t) - 2)}
+    assert {r["word"] for r in blocks} == want and len(blocks) == len(want)
+    assert {(r["first"], r["last"], r["n"], tuple(r["gaps"])) for r in blocks if r["word"] == "the"} == {(3, 7, 4, (0, 0, 4, 0))}
