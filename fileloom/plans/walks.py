@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import catalog, logstore
@@ -30,18 +31,18 @@ def _folder(spark, kind):
 def _written(rows):
     """Writes rows(path, data); a null data takes the file away. Runs once, as a stored table."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, data in zip(b.path, b.data, strict=True):
+            for path, data in ((p.as_py(), d.as_py()) for p, d in zip(b.column("path"), b.column("data"), strict=True)):  # one text at a time
                 if data is None:
                     os.remove(path)
                     continue
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 with open(path, "wb") as f:
                     f.write(data)
-            yield b[["path"]]
+            yield b.select(["path"])
 
-    return stored(rows.mapInPandas(run, "path string"), "written")
+    return stored(rows.mapInArrow(run, "path string"), "written")
 
 
 def _documents(spark, sf, root):

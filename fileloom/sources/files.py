@@ -27,6 +27,8 @@ WALKED = "path string, root string, source string, parent string, name string, i
 SAMPLED_SIZE = 52_428_800
 SAMPLE = 262_144
 CHUNK = 1 << 20
+#: Files and folders after which a task of a crawl hands on the folders that it has not come to.
+ENTRIES_PER_TASK = 20_000
 #: Characters of content that are handed on together; one file's content always is.
 READ_TOGETHER = 4 << 20
 ARCHIVES = r"(?i)\.(zip|tar|tgz|tar\.gz|gz|rar|7z|tar\.bz2)$"
@@ -189,7 +191,7 @@ def crawl(spark: SparkSession, roots: list[str], generation: int = 1, include_hi
     """The roots and everything below as WALKED rows with scan_gen and listed_by (round and task).
 
     Goes in rounds over a frontier of folders, dealt evenly over all tasks. A task lists breadth-first
-    until it has done folders_per_task and hands on what it has not come to, so that a deep or lopsided
+    until it has done folders_per_task, or listed ENTRIES_PER_TASK, and hands on what it has not come to, so that a deep or lopsided
     tree is spread as well as a wide one. Each round is stored: a lost executor costs its tasks alone.
     A folder that can't be listed holds nothing, a root that isn't there gives no row.
     """
@@ -205,12 +207,16 @@ def crawl(spark: SparkSession, roots: list[str], generation: int = 1, include_hi
 
         def rows(given: Iterator[tuple[str, str]], by: str) -> Iterator[tuple]:
             queue: deque[tuple[str, str]] = deque()
+            seen = 0
             for _ in range(folders_per_task):
+                if seen >= ENTRIES_PER_TASK:
+                    break
                 at = next(given, None) or (queue.popleft() if queue else None)
                 if at is None:
                     return
                 root, folder = at
                 for name, path, is_dir in _entries(folder):
+                    seen += 1
                     if (include_hidden or not name.startswith(".")) and not (is_dir and skip and name.startswith(skip)):
                         if row := _row(root, path, is_dir):
                             yield (*row, False, by)

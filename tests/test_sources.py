@@ -98,6 +98,17 @@ def test_a_deep_tree_is_crawled_by_many_tasks(spark, tmp_path):
     assert len({b.split("-")[1] for b in by}) == 4 and len(by) > 20
 
 
+def test_folders_of_many_files_are_crawled_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ENTRIES_PER_TASK", 30)
+    for a in range(8):
+        (tmp_path / f"d{a}").mkdir()
+        for k in range(25):
+            (tmp_path / f"d{a}" / str(k)).write_bytes(b"x")
+    found = files.crawl(spark, [str(tmp_path)], tasks=4).collect()
+    assert len({r.path for r in found}) == len(found) == 1 + 8 + 200
+    assert len({r.listed_by for r in found if not r.is_dir}) > 2
+
+
 def test_two_crawls_and_a_catalog(spark, tmp_path):
     tree(tmp_path / "r")
     root = f"{tmp_path}/r"
