@@ -476,6 +476,16 @@ def test_language_model(spark, docs, texts, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_words_that_are_rare_in_each_block_are_counted(spark):
+    """"thin" stands once in each of four blocks of 140,000 tokens, "burst" three times in one."""
+    made = spark.range(0, 4, 1, 4).selectExpr("cast(null as long) doc_id", "concat(repeat('all ', 140000), 'thin ', if(id = 2, 'burst burst burst', '')) text")
+    tokenised = lm.blocks(made).cache()
+    assert tokenised.count() == 4
+    own = lm.frequent(tokenised, 2).tolist()
+    w = words(*flat(pa.array(["all thin"], pa.string())))
+    assert own == sorted(w.hash.tolist())
+
+
 def test_language_model_is_normalised_and_better_than_a_unigram(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     tokenised = lm.stored(lm.blocks(docs), "blocks")
