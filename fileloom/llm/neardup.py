@@ -293,7 +293,9 @@ def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, cla
     """Links (a, b) that join components: each class outside the largest component of its unit
     against all of the unit, in cells of about CELL_ROWS x CELL_ROWS, and of no more than some
     CELL_SHINGLES on a side. Buckets that share members make a family; a family that fits a cell is one unit, so that its members are compared once,
-    and of a larger one each bucket is a unit, so that only pairs that share a band are compared.
+    and of a larger one each bucket is a unit, so that only pairs that share a band are compared,
+    in the bucket of the first band they share. All buckets of two classes of different components
+    are open, so that one is always there.
     Registers choose the rows of a cell that may have a link at all; only their full sets are
     shuffled."""
     named = own.select(F.col("id").alias("rep"), F.col("component").alias("c"))
@@ -306,15 +308,17 @@ def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, cla
     outside = large.join(major, "family").filter("component != major").select("rep")
     touched = buckets.join(outside, "rep", "left_semi").select("band").distinct()
     units = kin.filter("not large").select("large", F.col("family").alias("band"), "rep", "component", "n_shingles")
-    members = units.union(buckets.join(touched, "band", "left_semi").join(large, "rep").select("large", "band", "rep", "component", "n_shingles"))
+    # a class has a bucket in each band at most: its buckets are gathered before it is joined, once
+    within = buckets.join(touched, "band", "left_semi").groupBy("rep").agg(F.collect_list("band").alias("bands"))
+    members = units.union(within.join(large, "rep").select("large", F.explode("bands").alias("band"), "rep", "component", "n_shingles"))
     parts = members.groupBy("large", "band", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("n"))
     whole = parts.groupBy("large", "band").agg(F.max(F.struct("k", "component", "n")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     cells = lambda k, n: F.ceil(F.greatest(k / CELL_ROWS, n / CELL_SHINGLES)).cast("int")
     whole = whole.select("large", "band", F.col("top.component").alias("major"), cells(F.col("k"), F.col("n")).alias("blocks"), cells(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("chunks"))
     open_ = stored(members.drop("n_shingles").join(whole, ["large", "band"]), "open")
     place = F.xxhash64("rep")
-    asked = open_.filter("component != major").select("large", "band", F.pmod(place, "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", F.lit(True).alias("asks"))
-    there = open_.select("large", "band", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(place, "blocks").cast("int").alias("block"), "rep", "component", F.lit(False).alias("asks"))
+    asked = F.when(F.col("component") != F.col("major"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.pmod(place, "chunks").cast("int").alias("chunk"), k.alias("block"), F.lit(True).alias("asks")))).otherwise(F.array())
+    there = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(k.alias("chunk"), F.pmod(place, "blocks").cast("int").alias("block"), F.lit(False).alias("asks")))
     n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = lambda rows: rows.repartition(n, *CELL).sortWithinPartitions(*CELL)
 
@@ -328,10 +332,15 @@ def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, cla
             size = t.column("n_shingles").to_numpy().astype(float)
             regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
             hit = np.zeros(len(size), bool)
+            # of the buckets of a large family that two classes share, that of the first band compares them
+            band = int(np.argmax(band_keys(regs[:1])[0].view(np.int64) == t.column("band")[0].as_py())) if t.column("large")[0].as_py() else 0
             for at in range(0, len(q), 64):
                 x, y = np.repeat(q[at : at + 64], len(m)), np.tile(m, len(q[at : at + 64]))
                 likely = (label[x] != label[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
                 x, y = x[likely], y[likely]
+                if band and len(x):
+                    fresh = ~(regs[x, : band * ROWS] == regs[y, : band * ROWS]).reshape(len(x), band, ROWS).all(axis=2).any(axis=1)
+                    x, y = x[fresh], y[fresh]
                 if len(x):
                     likely = estimate(regs[x], regs[y], size[x], size[y]) >= least_estimate(percent, size[x], size[y])
                     hit[x[likely]] = hit[y[likely]] = True
@@ -368,9 +377,13 @@ def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, cla
             found = solve(t)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    seen = asked.union(there).join(classes.select("rep", "n_shingles", "registers"), "rep")
+    own_cells = open_.groupBy("rep").agg(F.collect_list(F.struct("large", "band", "component", "major", "blocks", "chunks")).alias("units")).join(classes.select("rep", "n_shingles", "registers"), "rep")
+    seen = own_cells.select("rep", "n_shingles", "registers", F.explode("units").alias("u")).select("rep", "n_shingles", "registers", "u.*")
+    seen = seen.withColumn("cell", F.explode(F.concat(asked, there))).select("large", "band", "cell.chunk", "cell.block", "rep", "component", "cell.asks", "n_shingles", "registers")
     chosen = stored(dealt(seen).mapInArrow(released(choose), "large boolean, band long, chunk int, block int, rep long, component long, asks boolean"), "chosen")
-    return dealt(chosen.join(sets, "rep")).select(*CELL, "rep", "component", "asks", "members").mapInArrow(released(run), "a long, b long").distinct()
+    held = chosen.groupBy("rep").agg(F.collect_list(F.struct(*CELL, "component", "asks")).alias("cells")).join(sets, "rep").select("rep", "members", F.explode("cells").alias("cell"))
+    return dealt(held.select("cell.*", "rep", "members")).select(*CELL, "rep", "component", "asks", "members").mapInArrow(released(run), "a long, b long").distinct()
+
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:

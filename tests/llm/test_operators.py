@@ -274,6 +274,18 @@ def test_near_duplicates_of_boilerplate_families(spark, monkeypatch):
     assert rows(neardup.near_duplicates(frame(spark, some), 80, 2)) == near_brute(some, 80, 2)
 
 
+def test_a_pair_of_a_large_family_is_compared_in_one_bucket(spark, monkeypatch):
+    """Two texts of 0.75 in common share some ten buckets and are not linked."""
+    monkeypatch.setattr(neardup, "CELL_ROWS", 1)
+    tables, store = {}, neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, kind="table": tables.setdefault(kind, []).append(store(df, kind)) or tables[kind][-1])
+    one = [f"w{k}" for k in range(400)]
+    two = one[:343] + [f"x{k}" for k in range(57)]
+    got = neardup.near_duplicates(spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")).collect()
+    assert all(r.kept for r in got) and tables["open"][0].select("band").distinct().count() > 2
+    assert tables["chosen"][0].count() == 2
+
+
 def test_near_duplicate_cells_are_cut_by_shingles(spark, monkeypatch):
     """Long documents of one family, of which some are linked: cells hold few of them."""
     rng = random.Random(5)
