@@ -14,7 +14,7 @@ class at depth LENGTH - o.
 
 Equal texts are one text with a count, and equal surroundings are one row with a count, both
 combined before they are shuffled. Anchors that very many different surroundings share are not
-sorted in one place: see split().
+sorted in one place: see halved().
 
 Beside the bytes, runs of RUN words that stand in several texts are found the same way, by the
 least RUN_GRAM-word stretch in each run, and confirmed by the hash of the whole run.
@@ -35,8 +35,8 @@ from .words import Words, mix, prefix_hash, span_hash, words
 LENGTH = 400
 GRAM = 128
 SHALLOW = 160
-#: Different surroundings of one anchor that are sorted together; more are split by what follows.
-GROUP = 1000
+#: Different surroundings of one anchor that are sorted together, in about a second; more are halved.
+GROUP = 4000
 PIECE = 16_000  #: surroundings that a task sorts at once, of as many groups as fit
 RUN = 50
 RUN_GRAM = 16
@@ -261,31 +261,41 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def split(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows for the next level, what is known at once) of surroundings whose group is too large:
-    the range of places, low to high - 1 bytes before the anchor, at which strings start is halved.
+#: What tells one half of one row's range, and what it can reach there, from others.
+KEY = ["h", "low", "high", "g", "strong"]
+
+
+def halved(state: DataFrame) -> DataFrame:
+    """Surroundings whose group is too large, once for each half of the range of places, low to
+    high - 1 bytes before the anchor, at which strings start and which their lengths allow.
 
     Two rows can only share a string of a range if they agree in low bytes before the anchor and in
     LENGTH - high + 1 from it on: that is the new group. Rows that agree in all that any string of
-    the range can reach are one row from now on; if they are two or more, all of them are covered
-    as far as the range goes. So each level leaves of a passage only those rows that see its edge,
-    and in a range of one place rows that are still alone share no string.
+    the range can reach are one class, and one row from now on; if they are two or more, all of them
+    are covered as far as the range goes. So each level leaves of a passage only those rows that see
+    its edge, and in a range of one place rows that are still alone share no string.
     """
     middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
     halves = F.array(F.struct("low", middle.alias("high")), F.struct(middle.alias("low"), "high"))
-    own = state.withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")}).filter("low < high")
-    own = own.filter((F.octet_length("before") >= F.col("low")) & (F.octet_length("after") >= LENGTH - F.col("high") + 1))
+    halves = F.filter(halves, lambda x: (F.octet_length("before") >= x.low) & (F.octet_length("after") >= LENGTH - x.high + 1))
+    own = state.withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")})
     one = F.lit(1)
     near, far = F.substr("before", one, F.col("high") - 1), F.substr("after", one, LENGTH - F.col("low"))
     strong = F.md5(F.concat(near, F.lit(b"|"), far, F.octet_length(near).cast("string").cast("binary")))
     g = F.xxhash64("h", "low", F.substr("before", one, "low"), F.substr("after", one, LENGTH - F.col("high") + 1))
-    own = own.select("h", "c", "before", "after", "times", "low", "high", g.alias("g"), strong.alias("strong"))
-    key = ["h", "low", "high", "g", "strong"]
-    classes = own.groupBy(key).agg(F.min(F.struct("c", "before", "after")).alias("r"), F.sum("times").alias("times"))
-    again = own.select(*key, "c", F.least(F.octet_length("before"), F.col("high") - 1).alias("back"), F.least(F.octet_length("after"), LENGTH - F.col("low")).alias("ahead"))
-    known = again.join(classes.filter("times > 1").select(key), key, "left_semi").filter(F.col("back") + F.col("ahead") >= LENGTH).select("h", "c", "back", "ahead")
-    rest = classes.filter("high - low > 1").select("h", "r.c", "r.before", "r.after", "times", "low", "high", "g")
-    return rest, known
+    return own.select("h", "c", "before", "after", "times", "low", "high", g.alias("g"), strong.alias("strong"))
+
+
+def classes_of(own: DataFrame) -> DataFrame:
+    """Each class of halved rows, with one row that stands for it and the times that all occur."""
+    return own.groupBy(KEY).agg(F.min(F.struct("c", "before", "after")).alias("r"), F.sum("times").alias("times")).select(*KEY, "r.*", "times")
+
+
+def known(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, c, back, ahead) of the halved rows in classes that occur twice or more."""
+    back, ahead = F.least(F.octet_length("before"), F.col("high") - 1), F.least(F.octet_length("after"), LENGTH - F.col("low"))
+    again = own.select(*KEY, "c", back.alias("back"), ahead.alias("ahead")).filter(F.col("back") + F.col("ahead") >= LENGTH)
+    return again.join(classes.filter("times > 1").select(KEY), KEY, "left_semi").select("h", "c", "back", "ahead")
 
 
 def covered(kinds: DataFrame) -> DataFrame:
@@ -302,11 +312,13 @@ def covered(kinds: DataFrame) -> DataFrame:
         found.append(stored(solved, "solved"))
         if not hot:
             break
-        rest, known = split(state.join(large, ["low", "g"], "left_semi"))
-        found.append(stored(known, "known"))
-        following = stored(rest, "kinds")
-        discard(state, large)
-        state = following
+        # stored, so that each row of a level is looked up and halved once for both of its uses
+        own = stored(halved(state.join(large, ["low", "g"], "left_semi")), "halves")
+        classes = stored(classes_of(own), "kinds")
+        found.append(stored(known(own, classes), "known"))
+        discard(state, large, own)
+        state = classes.filter("high - low > 1").select("h", "c", "before", "after", "times", "low", "high", "g")
+        state.stored_path = classes.stored_path  # for discard
     discard(state, large)
     out = found[0]
     for more in found[1:]:

@@ -393,6 +393,33 @@ def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch, group):
     assert rows(suffixdedup.remove_repeats(frame(spark, some)).select(BYTES)) == repeats_brute(some, 400)
 
 
+def test_suffix_dedup_halves_a_row_once_a_level(spark, monkeypatch):
+    """The rows of a level are read for the sizes of groups, for the small groups, and to be halved."""
+    monkeypatch.setattr(suffixdedup, "GROUP", 4)
+    read, store, made = spark.sparkContext.accumulator(0), suffixdedup.stored, []
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    def counted(df, kind="table"):
+        out = store(df, kind)
+        if kind != "kinds" or made:
+            return out
+        made.append(out.count())
+        seen = out.mapInArrow(count, out.schema)
+        seen.stored_path = out.stored_path
+        return seen
+
+    monkeypatch.setattr(suffixdedup, "stored", counted)
+    rng = random.Random(19)
+    passage = prose(rng, 90)
+    some = [(k, prose(rng, rng.randrange(1, 40)) + passage + prose(rng, rng.randrange(1, 40)), None, None) for k in range(30)]
+    assert rows(suffixdedup.remove_repeats(frame(spark, some)).select(BYTES)) == repeats_brute(some, 400)
+    assert made[0] > 30 and read.value <= 3 * made[0]
+
+
 def test_suffix_dedup_keeps_one_row_for_each_repeated_row(spark):
     rng = random.Random(15)
     shared = prose(rng, 75)
