@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import discard, flat, released, slices, stored
 from .words import mix, shingle_sets, words
@@ -34,6 +34,8 @@ DEVIATIONS = 6
 CELL_ROWS = 2048
 #: Shingles of each side of a cell, some 32 MB of hashes; a larger document is alone on its side.
 CELL_SHINGLES = 4 << 20
+#: Bits of the map of wanted ids, 8 MB; beyond some tens of millions of ids it lets most texts pass.
+MAP_BITS = 1 << 26
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -177,10 +179,23 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(released(keep), "a long, b long")
 
 
+def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be one of ids: all that are, and others that share a bit
+    with one in a map of MAP_BITS bits. The map has a fixed size, so it can be broadcast."""
+    n = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    bit = F.bitmap_bit_position(at)
+    spots = ids.select(F.bitmap_bucket_number(at).alias("part"), bit.alias("bit")).repartition(n, "part")
+    bits = spots.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return texts.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("part")) & (F.getbit(byte, (bit % 8).cast("int")) == 1), "left_semi")
+
+
 def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """rep and its sorted shingle hashes as bytes, for the classes listed. A class is found by its
     smallest doc_id and its fingerprint, as several texts may bear one doc_id. The ids have no bound
-    in size, so they are joined in one way, by a merge, at every size."""
+    in size, so they are joined in one way, by a merge, at every size; a map of them keeps most
+    texts that are not wanted out of its shuffle."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -188,7 +203,9 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             h, at = shingle_sets(words(data, bounds), b.num_rows, size)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, fingerprints(h, at)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "set_a", "set_b", "members"])
 
-    wanted = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(classes.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    ids = classes.select("doc_id").distinct()
+    texts = likely(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), ids)
+    wanted = texts.join(ids.hint("merge"), "doc_id", "left_semi")
     found = wanted.mapInArrow(released(collect), "doc_id long, set_a long, set_b long, members binary")
     return found.join(classes.select("doc_id", "set_a", "set_b", "rep"), ["doc_id", "set_a", "set_b"]).select("rep", "members").dropDuplicates(["rep"])
 
@@ -403,9 +420,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
     # numbers given while the table is written, and read from it alone
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    keyed = bands(classes)
-    hubs = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    buckets = stored(keyed.join(hubs, "band"), "buckets")
+    # by a window, which shuffles the bands once at every size
+    within = Window.partitionBy("band")
+    keyed = bands(classes).select("band", "rep", F.min("rep").over(within).alias("hub"), F.count("*").over(within).alias("n"))
+    buckets = stored(keyed.filter("n > 1").drop("n"), "buckets")
     pairs = stored(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = stored(classes.select("rep", "doc_id", "set_a", "set_b").join(wanted, "rep"), "wanted")

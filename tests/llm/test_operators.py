@@ -286,6 +286,43 @@ def test_a_pair_of_a_large_family_is_compared_in_one_bucket(spark, monkeypatch):
     assert tables["chosen"][0].count() == 2
 
 
+def written(spark):
+    """Records and bytes that all stages so far have shuffled."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    some = [stages.apply(k) for k in range(stages.size())]
+    return sum(x.shuffleWriteRecords() for x in some), sum(x.shuffleWriteBytes() for x in some)
+
+
+def test_near_duplicates_shuffle_bands_once_and_few_texts(spark):
+    """Of 400 texts two are alike: the others' texts stay where they are."""
+    rng = random.Random(23)
+    texts = [(k, "".join(rng.choice("abcdefghijklmnop ") for _ in range(6000)), None, None) for k in range(400)]
+    texts.append((400, texts[7][1] + " end", None, None))
+    some = frame(spark, texts).cache()
+    some.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        before = written(spark)
+        gone = [r.doc_id for r in neardup.near_duplicates(some, 80, 2).filter("not kept").collect()]
+        records, size = (x - y for x, y in zip(written(spark), before))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        some.unpersist()
+    assert gone == [400]
+    assert 32 * 401 <= records < 60 * 401, records
+    assert 0 < size < 401 * 6000 / 2, size
+
+
+def test_likely_keeps_every_wanted_row(spark, monkeypatch):
+    texts = spark.range(-3000, 3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for bits in (1, 7, 40_000, 1 << 26):
+        monkeypatch.setattr(neardup, "MAP_BITS", bits)
+        found = {r.doc_id for r in neardup.likely(texts, texts.filter("doc_id % 10 = 0").select("doc_id")).collect()}
+        assert found >= set(range(-3000, 3000, 10)) and (bits < 40_000 or len(found) < 1800)
+    assert neardup.likely(texts, texts.filter("false").select("doc_id")).count() == 0
+
+
 def test_near_duplicate_cells_are_cut_by_shingles(spark, monkeypatch):
     """Long documents of one family, of which some are linked: cells hold few of them."""
     rng = random.Random(5)
