@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import discard, flat, read_whole, released, run_dir, slices, stored, write_whole
+from .shared import discard, flat, read_whole, released, run_dir, slices, small_batches, stored, write_whole
 from .words import mix, words
 
 SEED = 5
@@ -240,6 +240,7 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame
                 ["_row", "_hits", "_best", "_cover", "_tiles"],
             )
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(released(run), schema)
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import flat, released, slices
+from .shared import flat, released, slices, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -206,6 +206,7 @@ def _predicted(docs: DataFrame, model: Model) -> DataFrame:
             score = np.where(known, np.clip(prob.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(pred, pa.string()), pa.array(score)], ["_row", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(released(run), schema)
 
 

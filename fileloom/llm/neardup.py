@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import discard, flat, released, slices, stored
+from .shared import discard, flat, released, slices, small_batches, stored
 from .words import mix, shingle_sets, words
 
 REGISTERS = 128
@@ -415,6 +415,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     Components settle in some ten rounds at most for the usual shapes; sixty without an end is an
     error, not a result.
     """
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs, size), "signatures")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import PartTable, cut, gather, per_worker, special_rows
-from .shared import discard, flat, read_bytes, released, run_dir, slices, store, stored, write_whole
+from .shared import discard, flat, read_bytes, released, run_dir, slices, small_batches, store, stored, write_whole
 
 MAGIC = b"FLTOK001"
 FOOTER = struct.Struct("<IQQIB8s")
@@ -168,6 +168,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
             raw, at = ids.tobytes(), (at * encode.kind.itemsize).tolist()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([raw[x:y] + end for x, y in zip(at, at[1:])], pa.binary()), pa.array([encode.kind.itemsize] * b.num_rows, pa.int32())], ["doc_id", "ids", "id_bytes"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, ids binary, id_bytes int")
 
 

@@ -359,6 +359,28 @@ def test_hyperminhash_estimates_similarity():
     assert abs(neardup.estimate(regs[:1], regs[1:], n, n)[0] - 4000 / 6000) < 0.15
 
 
+@pytest.mark.parametrize("run", [lambda d: neardup.near_duplicates(d), lambda d: tokenout.encoded(d, tokenizer_path()), lambda d: decontam.tile(d, d.selectExpr("doc_id item_id", "text"))], ids=["near", "ids", "tiles"])
+def test_batches_of_long_texts_are_bounded_by_bytes(spark, run):
+    """40 MB of long texts, few enough rows for one batch; a bound that the session has is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    long = spark.range(0, 400, 1, 1).selectExpr("id doc_id", "repeat('word ', 20000) text")
+    spark.conf.unset(name)
+    try:
+        run(long.limit(1))
+        got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 40_000_000 and max(got) < 5_000_000, max(got)
+        spark.conf.set(name, "1000000")
+        run(long.limit(1))
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name)
+
+
 # 5 --------------------------------------------------------------------------------------------
 
 
