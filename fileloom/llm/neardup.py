@@ -34,6 +34,8 @@ DEVIATIONS = 6
 CELL_ROWS = 2048
 #: Shingles of each side of a cell, some 32 MB of hashes; a larger document is alone on its side.
 CELL_SHINGLES = 4 << 20
+#: Rows that are compared with one hub in one task.
+STAR_ROWS = 256
 #: Bits of the map of wanted ids, 8 MB; beyond some tens of millions of ids it lets most texts pass.
 MAP_BITS = 1 << 26
 
@@ -179,23 +181,23 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(released(keep), "a long, b long")
 
 
-def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id may be one of ids: all that are, and others that share a bit
+def likely(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key may be one of ids: all that are, and others that share a bit
     with one in a map of MAP_BITS bits. The map has a fixed size, so it can be broadcast."""
-    n = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
     bit = F.bitmap_bit_position(at)
     spots = ids.select(F.bitmap_bucket_number(at).alias("part"), bit.alias("bit")).repartition(n, "part")
     bits = spots.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     byte = F.conv(F.hex(F.substr("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return texts.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("part")) & (F.getbit(byte, (bit % 8).cast("int")) == 1), "left_semi")
+    return rows.join(F.broadcast(bits), (F.bitmap_bucket_number(at) == F.col("part")) & (F.getbit(byte, (bit % 8).cast("int")) == 1), "left_semi")
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """rep and its sorted shingle hashes as bytes, for the classes listed. A class is found by its
-    smallest doc_id and its fingerprint, as several texts may bear one doc_id. The ids have no bound
-    in size, so they are joined in one way, by a merge, at every size; a map of them keeps most
-    texts that are not wanted out of its shuffle."""
+def full_sets(docs: DataFrame, cells: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """The rows of cells(rep, cells) with members, the sorted shingle hashes of rep as bytes. A class
+    is found by its smallest doc_id and its fingerprint, as several texts may bear one doc_id. A map
+    of the ids keeps most texts that are not wanted from being hashed; sets are shuffled once, and
+    joined in one way, by a merge, at every size."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -203,30 +205,42 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             h, at = shingle_sets(words(data, bounds), b.num_rows, size)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, fingerprints(h, at)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["doc_id", "set_a", "set_b", "members"])
 
-    ids = classes.select("doc_id").distinct()
-    texts = likely(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), ids)
-    wanted = texts.join(ids.hint("merge"), "doc_id", "left_semi")
-    found = wanted.mapInArrow(released(collect), "doc_id long, set_a long, set_b long, members binary")
-    return found.join(classes.select("doc_id", "set_a", "set_b", "rep"), ["doc_id", "set_a", "set_b"]).select("rep", "members").dropDuplicates(["rep"])
+    key = ["doc_id", "set_a", "set_b"]
+    asked = stored(cells.join(classes.select("rep", *key), "rep"), "asked")
+    texts = likely(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), asked.select("doc_id"))
+    found = texts.mapInArrow(released(collect), "doc_id long, set_a long, set_b long, members binary")
+    return found.groupBy(*key).agg(F.first("members").alias("members")).join(asked.hint("merge"), key).select("rep", "members", "cells")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets."""
-    left = sets.select(F.col("rep").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("rep").alias("b"), F.col("members").alias("mb"))
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union of their full sets. The pairs of one a
+    are a star around it: the set of a goes to each STAR_ROWS of them, and that of b to its star."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
+    hubs = parts.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    rest = pairs.join(parts, "a").select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("side"))
+    stars = hubs.union(rest).groupBy("rep").agg(F.collect_list(F.struct("hub", "part", "side")).alias("cells"))
+    held = full_sets(docs, stars, classes, size).select("rep", "members", F.explode("cells").alias("cell")).select("cell.*", "rep", "members")
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, x = None, None
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ma"), batch.column("mb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            a, b = [], []
+            for k, rep, members in zip(batch.column("hub").to_pylist(), batch.column("rep").to_pylist(), batch.column("members")):
+                y = np.frombuffer(members.as_buffer(), np.uint64)
+                if k == rep:
+                    hub, x = k, y.copy()
+                    continue
+                if k != hub:
+                    raise ValueError("the documents have changed while they were compared")
                 both = np.sort(np.concatenate([x, y]))
                 inter = int((both[1:] == both[:-1]).sum())
-                good.append(100 * inter >= percent * (len(both) - inter))
-            if good:
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+                if 100 * inter >= percent * (len(both) - inter):
+                    a.append(k)
+                    b.append(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(released(check), "a long, b long")
+    return held.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", "side").select("hub", "rep", "members").mapInArrow(released(check), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -306,7 +320,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join components: each class outside the largest component of its unit
     against all of the unit, in cells of about CELL_ROWS x CELL_ROWS, and of no more than some
     CELL_SHINGLES on a side. Buckets that share members make a family; a family that fits a cell is one unit, so that its members are compared once,
@@ -398,7 +412,8 @@ def compare_outsiders(buckets: DataFrame, family: DataFrame, own: DataFrame, cla
     seen = own_cells.select("rep", "n_shingles", "registers", F.explode("units").alias("u")).select("rep", "n_shingles", "registers", "u.*")
     seen = seen.withColumn("cell", F.explode(F.concat(asked, there))).select("large", "band", "cell.chunk", "cell.block", "rep", "component", "cell.asks", "n_shingles", "registers")
     chosen = stored(dealt(seen).mapInArrow(released(choose), "large boolean, band long, chunk int, block int, rep long, component long, asks boolean"), "chosen")
-    held = chosen.groupBy("rep").agg(F.collect_list(F.struct(*CELL, "component", "asks")).alias("cells")).join(sets, "rep").select("rep", "members", F.explode("cells").alias("cell"))
+    listed = chosen.groupBy("rep").agg(F.collect_list(F.struct(*CELL, "component", "asks")).alias("cells"))
+    held = full_sets(docs, listed, classes, size).select("rep", "members", F.explode("cells").alias("cell"))
     return dealt(held.select("cell.*", "rep", "members")).select(*CELL, "rep", "component", "asks", "members").mapInArrow(released(run), "a long, b long").distinct()
 
 
@@ -426,14 +441,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     keyed = bands(classes).select("band", "rep", F.min("rep").over(within).alias("hub"), F.count("*").over(within).alias("n"))
     buckets = stored(keyed.filter("n > 1").drop("n"), "buckets")
     pairs = stored(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = stored(classes.select("rep", "doc_id", "set_a", "set_b").join(wanted, "rep"), "wanted")
-    sets = stored(full_sets(docs, wanted, size), "sets")
-    links = stored(confirm(plausible(pairs, classes, percent), sets, percent), "links")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = stored(likely(classes, ends, "rep").join(ends.hint("merge"), "rep"), "wanted")
+    links = stored(confirm(stored(plausible(pairs, wanted, percent), "plausible"), wanted, docs, size, percent), "links")
     own = stored(components(links), "linked")
     family = stored(components(pairs), "families")
-    more = stored(compare_outsiders(buckets, family, own, classes, sets, percent), "links")
-    discard(sets, pairs, wanted, buckets)
+    more = stored(compare_outsiders(buckets, family, own, wanted, docs, size, percent), "links")
+    discard(pairs, wanted, buckets)
     linked = components(links.union(more)).select(F.col("id").alias("rep"), "component")
     labels = classes.join(linked, "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), "doc_id", F.coalesce("component", "rep").alias("component"))
     least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))

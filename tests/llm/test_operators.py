@@ -323,6 +323,36 @@ def test_likely_keeps_every_wanted_row(spark, monkeypatch):
     assert neardup.likely(texts, texts.filter("false").select("doc_id")).count() == 0
 
 
+def test_near_duplicates_shuffle_full_sets_twice(spark):
+    """Once to their class and once to the star that they are compared in, at every size."""
+    rng = random.Random(24)
+    texts = []
+    for k in range(60):
+        t = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+        texts += [(2 * k, " ".join(t), None, None), (2 * k + 1, " ".join([*t[:-9], "end"]), None, None)]
+    some = frame(spark, texts).cache()
+    some.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        before = written(spark)
+        gone = sorted(r.doc_id for r in neardup.near_duplicates(some, 80, 2).filter("not kept").collect())
+        size = written(spark)[1] - before[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        some.unpersist()
+    assert gone == list(range(1, 120, 2))
+    assert 0 < size < 2.7 * 120 * 3000 * 8, size
+
+
+def test_near_duplicate_stars_are_cut(spark, monkeypatch):
+    """A form with many variants, in parts of three around its hub."""
+    monkeypatch.setattr(neardup, "STAR_ROWS", 3)
+    rng = random.Random(25)
+    form = prose(rng, 120).split()
+    some = [(k, " ".join([*form[:k], f"x{k}", *form[k + 1 + k % 9 :]]), None, None) for k in range(70)]
+    assert rows(neardup.near_duplicates(frame(spark, some), 80, 2)) == near_brute(some, 80, 2)
+
+
 def test_near_duplicate_cells_are_cut_by_shingles(spark, monkeypatch):
     """Long documents of one family, of which some are linked: cells hold few of them."""
     rng = random.Random(5)
