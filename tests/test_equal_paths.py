@@ -50,3 +50,8 @@ def cut_numbers(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["ag24_action_counts", "q20_delta_report"])
 def test_decisions_on_paths_that_repeat(spark, cut_numbers, name):
     assert of_spark(registry.QUERIES[name](spark, cut_numbers)) == of_duckdb(registry.SQL[name], cut_numbers)
+
+
+@pytest.mark.parametrize("name", ["snk03_refresh"])
+def test_states_and_moves_of_files_of_one_path(spark, copies, name):
+    assert of_spark(registry.QUERIES[name](spark, copies)) == of_duckdb(registry.SQL[name], copies)
