@@ -12,14 +12,16 @@ def lookup(index: DataFrame, md5: str) -> DataFrame:
 
 def path_list(wanted: DataFrame, present: DataFrame, index: DataFrame, least: int = 0, force: bool = False, tolerance: float = 1.0) -> DataFrame:
     """What becomes of each of the paths asked for: missing, too_small, skipped_current (the index
-    has it in this state; not with force) or to_hash."""
-    have = index.select("path", F.col("size").alias("s"), F.col("mtime").alias("m"))
-    rows = wanted.select("path").distinct().join(present.select("path", "size", "mtime"), "path", "left").join(have, "path", "left")
+    has it in this state; not with force) or to_hash. Rows are told apart by path, and by file_id
+    where all three have it, as several files can have one path."""
+    file = ["path", *(["file_id"] if all("file_id" in t.columns for t in (wanted, present, index)) else [])]
+    have = index.select(*file, F.col("size").alias("s"), F.col("mtime").alias("m"))
+    rows = wanted.select(*file).distinct().join(present.select(*file, "size", "mtime"), file, "left").join(have, file, "left")
     current = (F.col("s") == F.col("size")) & (F.abs(F.col("m") - F.col("mtime")) < tolerance)
     state = F.when(F.col("size").isNull(), "missing").when(F.col("size") < least, "too_small")
     if not force:
         state = state.when(current, "skipped_current")
-    return rows.select("path", state.otherwise("to_hash").alias("state"))
+    return rows.select(*file, state.otherwise("to_hash").alias("state"))
 
 
 def superseded(ledger: DataFrame, renames: DataFrame) -> DataFrame:

@@ -52,6 +52,6 @@ def test_decisions_on_paths_that_repeat(spark, cut_numbers, name):
     assert of_spark(registry.QUERIES[name](spark, cut_numbers)) == of_duckdb(registry.SQL[name], cut_numbers)
 
 
-@pytest.mark.parametrize("name", ["snk03_refresh", "snk11_quarantine_plan"])
+@pytest.mark.parametrize("name", ["snk03_refresh", "snk11_quarantine_plan", "src06_path_list"])
 def test_states_and_moves_of_files_of_one_path(spark, copies, name):
     assert of_spark(registry.QUERIES[name](spark, copies)) == of_duckdb(registry.SQL[name], copies)
